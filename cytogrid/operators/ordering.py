@@ -61,9 +61,9 @@ class OrderedBlocks:
     def running(self, name: str, agg: str, value: Column | str, total: str | None = None) -> "OrderedBlocks":
         """Inclusive running ``sum``/``min``/``max`` of ``value`` in the global order."""
         fn = _AGG[agg]
-        self._df = self._df.withColumn("_v", F.col(value) if isinstance(value, str) else value)
-        joined = self._carry({"_a": fn("_v")}, {"_a": agg})
-        here = fn("_v").over(self._local().rowsBetween(W.unboundedPreceding, W.currentRow))
+        self._df = self._df.withColumn("_carried", F.col(value) if isinstance(value, str) else value)
+        joined = self._carry({"_a": fn("_carried")}, {"_a": agg})
+        here = fn("_carried").over(self._local().rowsBetween(W.unboundedPreceding, W.currentRow))
         if agg == "sum":
             combined = here + F.coalesce(F.col("_a_before"), F.lit(0))
         else:
@@ -72,7 +72,7 @@ class OrderedBlocks:
         out = joined.withColumn(name, combined)
         if total:
             out = out.withColumn(total, F.col("_a_total"))
-        self._df = out.drop("_a_before", "_a_total", "_v")
+        self._df = out.drop("_a_before", "_a_total", "_carried")
         return self
 
     def with_column(self, name: str, value: Column) -> "OrderedBlocks":

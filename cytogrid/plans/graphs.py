@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cytogrid.operators import graph as G, spatial as S
 from cytogrid.plans.registry import query, r
+from cytogrid.session import cut
 from cytogrid.sources import driver_tables as D
 
 # fixed region outline on the embedding plane (the dense centre)
@@ -32,11 +33,11 @@ def _roi(spark, d):
 
 
 def _edges(spark, d):
-    return G.radius_graph(_roi(spark, d), 4.0)
+    return cut(G.radius_graph(_roi(spark, d), 4.0))  # read several times by every caller
 
 
 def _backbone(spark, d):
-    return G.alpha_cut(G.disparity(_edges(spark, d).select("src", "dst", "weight")), 0.3)
+    return cut(G.alpha_cut(G.disparity(_edges(spark, d).select("src", "dst", "weight")), 0.3))
 
 
 @query("roi_filter", "P1 S9 D13", f"WITH {ROI_SQL} SELECT cell_id, cell_type, round(x,6) AS x, round(y,6) AS y FROM roi", "points")

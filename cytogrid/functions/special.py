@@ -6,6 +6,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
 
 # fixed values: Abramowitz & Stegun 7.1.26
 ERF_P = 0.3275911
@@ -74,12 +75,12 @@ def _gamma_q(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(x <= 0, 1.0, np.where(x < a + 1, 1 - front * total, front * h))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def lgamma(x: pd.Series) -> pd.Series:
     return pd.Series(_lgamma(x.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
     k = df.to_numpy(float)
     q = _gamma_q(np.maximum(k, 1) / 2, x.to_numpy(float) / 2)
@@ -109,7 +110,7 @@ def _beta_cf(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return h
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     tv, v = t.to_numpy(float), df.to_numpy(float)
     x = v / (v + tv * tv)

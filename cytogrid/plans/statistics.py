@@ -188,10 +188,10 @@ def difference_graph(spark, d):
 nrm AS (SELECT src, dst, w / (1 + t) AS w FROM w JOIN c USING (src)),
 one AS (SELECT cell_id, gene, sum(v) AS v FROM (SELECT cell_id, gene, value AS v FROM expr UNION ALL SELECT src, gene, w * value FROM nrm JOIN expr ON cell_id = dst) GROUP BY 1, 2),
 two AS (SELECT cell_id, gene, sum(v) AS v FROM (SELECT cell_id, gene, v FROM one UNION ALL SELECT src, gene, w * v FROM nrm JOIN one ON cell_id = dst) GROUP BY 1, 2)
-SELECT cell_id, gene, round(v, 5) AS value FROM two""", "cells expr")
+SELECT cell_id, gene, round(v, 9) AS value FROM two""", "cells expr")
 def graph_imputation(spark, d):
     e = _edges(spark, d).withColumn("weight", F.lit(1.0))
-    return A.diffuse(D.expr(spark, d), e, rounds=2).select("cell_id", "gene", r("value", 5).alias("value"))
+    return A.diffuse(D.expr(spark, d), e, rounds=2).select("cell_id", "gene", r("value", 9).alias("value"))
 
 
 @query("graph_low_pass", "M27")

@@ -9,8 +9,6 @@ from cytogrid.operators.autocorrelation import lagged
 from cytogrid.operators.expression import gene_moments
 from cytogrid.operators.spatial import radius_pairs
 
-PAIR = F.concat_ws("-", "ligand", "receptor")
-
 
 def directed(edges: DataFrame) -> DataFrame:
     """Both directions of undirected edges, keeping weight."""
@@ -48,7 +46,7 @@ def signals(expr: DataFrame, lr: DataFrame, weights: DataFrame, cell: str = "cel
 
 
 def pair_totals(sig: DataFrame) -> DataFrame:
-    return sig.groupBy("ligand", "receptor").agg(F.sum("sent").alias("total")).withColumn("pair", PAIR)
+    return sig.groupBy("ligand", "receptor").agg(F.sum("sent").alias("total")).withColumn("pair", F.concat_ws("-", "ligand", "receptor"))
 
 
 def pathway_totals(sig: DataFrame, lr: DataFrame) -> DataFrame:

@@ -42,3 +42,21 @@ def replicate_to_tiles(points: DataFrame, core: float, halo: float, n_cols: int,
 def owned(shapes: DataFrame, core: float, cx: str = "cx", cy: str = "cy") -> DataFrame:
     """Keep a tile's shape only when its centroid lies in that tile's core."""
     return shapes.where((F.floor(F.col(cx) / core) == F.col("tile_col")) & (F.floor(F.col(cy) / core) == F.col("tile_row")))
+
+
+def seam_strips(spark: SparkSession, width: int, height: int, n_cols: int, n_rows: int, margin: int) -> DataFrame:
+    """Strips of ± margin around every inner patch border of an n_rows x n_cols lattice."""
+    pw, ph = width / n_cols, height / n_rows
+    name = lambda k: F.concat(F.lit(f"seam_{k}_"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("seam")
+
+    def around(border: Column, m: int) -> list[Column]:
+        return [F.greatest(F.lit(0.0), border - margin), F.least(F.lit(float(m)), border + margin)]
+
+    def span(i: Column, step: float, m: int) -> list[Column]:
+        return [F.greatest(F.lit(0.0), i * step - margin), F.least(F.lit(float(m)), (i + 1) * step + margin)]
+
+    row, col = F.floor(F.col("id") / n_cols), F.col("id") % n_cols
+    h = spark.range((n_rows - 1) * n_cols).select(name("H"), *[c.alias(n) for c, n in zip(around((row + 1) * ph, height) + span(col, pw, width), ("y0", "y1", "x0", "x1"))])
+    row, col = F.floor(F.col("id") / (n_cols - 1)), F.col("id") % (n_cols - 1)
+    v = spark.range(n_rows * (n_cols - 1)).select(name("V"), *[c.alias(n) for c, n in zip(span(row, ph, height) + around((col + 1) * pw, width), ("y0", "y1", "x0", "x1"))])
+    return h.unionByName(v)

@@ -259,8 +259,8 @@ def segmentation_comparison(spark, d):
     return t.select("metric", *[r(c).alias(c) for c in ("original", "refined", "diff", "pct_change")])
 
 
-@query("merge_containers", "R7 R9", """SELECT region, count(*) AS n, sum(area) AS area FROM (SELECT 'original' AS region, label, count(*) AS area FROM raster GROUP BY label UNION ALL SELECT 'refined', label, count(*) FROM seam GROUP BY label) GROUP BY 1""", "raster seam")
+@query("merge_containers", "R7 R9", """SELECT region, count(*) AS n, CAST(sum(area) AS BIGINT) AS area FROM (SELECT 'original' AS region, label, count(*) AS area FROM raster GROUP BY label UNION ALL SELECT 'refined', label, count(*) FROM seam GROUP BY label) GROUP BY 1""", "raster seam")
 def merge_containers(spark, d):
     tag = lambda px, n: R.region_table(px).select(F.lit(n).alias("region"), F.coalesce(F.col("label").cast("string"), F.lit("0")).alias("instance"), "area")
     u = tag(D.raster(spark, d), "original").unionByName(tag(D.seam(spark, d), "refined"))
-    return u.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum("area").cast("decimal(38,0)").alias("area"))
+    return u.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum("area").alias("area"))

@@ -146,3 +146,10 @@ def split_pair(pair: Column) -> dict[str, Column]:
     """'ligand-receptor' -> both names, split at the first dash."""
     parts = F.split(pair, "-", 2)
     return {"ligand": F.element_at(parts, 1), "receptor": F.try_element_at(parts, F.lit(2))}
+
+
+def negative_binomial_nll(y: Column, mu: Column, theta: Column) -> Column:
+    """Negative log-likelihood of a count under mean mu and dispersion theta."""
+    e = 1e-8
+    both = F.log(theta + mu + e)
+    return -(lgamma(y + theta) - lgamma(theta) - lgamma(y + 1.0) + theta * (F.log(theta + e) - both) + y * (F.log(mu + e) - both))

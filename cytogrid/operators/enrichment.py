@@ -7,20 +7,20 @@ from cytogrid.functions.special import lgamma
 
 
 def overlap_counts(hits: DataFrame, sets: DataFrame, universe: DataFrame, gene: str = "gene", term: str = "term") -> DataFrame:
-    """(term, k hits in the set, m set size, n hits, N universe), counted inside the universe."""
+    """(term, k hits in the set, m set size, hits, universe), counted inside the universe."""
     u = universe.select(gene).distinct()
     h = hits.select(gene).distinct().join(u, gene, "left_semi").withColumn("_h", F.lit(1))
     s = sets.select(term, gene).distinct().join(u, gene, "left_semi").join(h, gene, "left")
-    one = u.agg(F.count(F.lit(1)).alias("N")).crossJoin(h.agg(F.count(F.lit(1)).alias("n")))
+    one = u.agg(F.count(F.lit(1)).alias("universe")).crossJoin(h.agg(F.count(F.lit(1)).alias("hits")))
     return s.groupBy(term).agg(F.coalesce(F.sum("_h"), F.lit(0)).cast("long").alias("k"), F.count(F.lit(1)).alias("m")).crossJoin(F.broadcast(one))  # one row
 
 
 def hypergeometric_tail(counts: DataFrame) -> DataFrame:
-    """P(X >= k): the terms k..min(m, n) are exploded and summed in log space."""
-    top = F.least("m", "n")
+    """P(X >= k): the terms k..min(m, hits) are exploded and summed in log space."""
+    top = F.least("m", "hits")
     lc = lambda a, b: lgamma(a + 1.0) - lgamma(b + 1.0) - lgamma(a - b + 1.0)
-    t = (counts.withColumn("_i", F.explode(F.sequence(F.greatest("k", F.col("m") + F.col("n") - F.col("N")), top)))
-         .withColumn("_lp", lc(F.col("m"), F.col("_i")) + lc(F.col("N") - F.col("m"), F.col("n") - F.col("_i")) - lc(F.col("N"), F.col("n"))))
+    t = (counts.withColumn("_i", F.explode(F.sequence(F.greatest("k", F.col("m") + F.col("hits") - F.col("universe")), top)))
+         .withColumn("_lp", lc(F.col("m"), F.col("_i")) + lc(F.col("universe") - F.col("m"), F.col("hits") - F.col("_i")) - lc(F.col("universe"), F.col("hits"))))
     return t.groupBy(*counts.columns).agg(F.least(F.sum(F.exp("_lp")), F.lit(1.0)).alias("p"))
 
 

@@ -11,7 +11,7 @@ def adjust(df: DataFrame, method: str, p: str = "p", id_col: str = "gene", out:
     """Adjusted p-values.
 
     ``bonferroni``, ``holm_step`` ((n - rank0) * p as is), ``holm_sidak``,
-    ``bh``, ``by`` (Benjamini-Yekutieli) or ``qvalue`` (pi0 = 1). The step-up
+    ``bh``, ``by`` (Benjamini-Yekutieli) or ``qvalue`` (pi0 from the tail above 0.89, 1 below 100 tests). The step-up
     methods take a running minimum from the largest p down, Holm-Sidak a
     running maximum from the smallest p up. ``by`` corrects within groups.
     """
@@ -37,6 +37,11 @@ def adjust(df: DataFrame, method: str, p: str = "p", id_col: str = "gene", out:
             harmonic = b.df.groupBy(*by).agg(F.sum(1.0 / F.col("_r")).alias("_h"))
             res = b.df.join(harmonic, list(by)) if by else b.df.crossJoin(F.broadcast(harmonic))  # one row
             res = res.withColumn(out, F.col(out) * F.col("_h"))
+        elif method == "qvalue":
+            tail = b.df.groupBy(*by).agg(F.when(F.max("_n") < 100, 1.0).otherwise(F.least(
+                F.lit(1.0), F.sum((P > 0.89).cast("long")) / (F.max("_n") * F.lit(1 - 0.89)))).alias("_h"))
+            res = b.df.join(tail, list(by)) if by else b.df.crossJoin(F.broadcast(tail))  # one row
+            res = res.withColumn(out, F.col(out) * F.col("_h"))
         else:
             res = b.df
     else:

@@ -330,3 +330,25 @@ def percentile_stretch(px: DataFrame, value: str = "v", low: float = 0.02, high:
     q = exact_quantiles(px, value, {"_lo": low, "_hi": high})
     s = (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     return px.crossJoin(F.broadcast(q)).withColumn("v8", (F.greatest(F.lit(0.0), F.least(F.lit(1.0), s)) * 255).cast("int")).drop("_lo", "_hi")  # one row
+
+
+def colour_feature(spots: DataFrame, image: DataFrame, beta: int = 49, alpha: float = 1.0) -> DataFrame:
+    """(cell_id, z): third coordinate from the mean colour around each spot.
+
+    Window of +-round(beta/2) pixels; channels weighted by their variance, then
+    z-scaled to the larger coordinate spread. Spots meet pixels through bins.
+    """
+    half = round(beta / 2)
+    size = 2 * half + 1
+    ring = F.sequence(F.lit(0), F.lit(1))
+    # the window spans at most two bins per axis
+    s = (spots.withColumn("_i", F.explode(ring)).withColumn("_j", F.explode(ring))
+         .withColumn("gy", F.floor((F.col("py") - half) / size) + F.col("_i")).withColumn("gx", F.floor((F.col("px") - half) / size) + F.col("_j")))
+    im = image.withColumn("gy", F.floor(F.col("y") / size)).withColumn("gx", F.floor(F.col("x") / size))
+    near = (F.abs(F.col("y") - F.col("py")) <= half) & (F.abs(F.col("x") - F.col("px")) <= half)
+    g = s.join(im, ["gy", "gx"]).where(near).groupBy("cell_id").agg(F.first("px").alias("sx"), F.first("py").alias("sy"), *[F.avg(c).alias(c) for c in ("c0", "c1", "c2")])
+    v = g.agg(*[F.var_pop(c).alias(f"v{c}") for c in ("c0", "c1", "c2")], F.greatest(F.stddev_pop("sx"), F.stddev_pop("sy")).alias("sc"))
+    w = sum((F.col(f"v{c}") for c in ("c0", "c1", "c2")), F.lit(0.0))
+    m = g.crossJoin(F.broadcast(v)).select("cell_id", "sc", (sum((F.col(c) * F.col(f"v{c}") for c in ("c0", "c1", "c2")), F.lit(0.0)) / w).alias("c"))  # one row
+    one = m.agg(F.avg("c").alias("m"), F.stddev_pop("c").alias("s"))
+    return m.crossJoin(F.broadcast(one)).select("cell_id", ((F.col("c") - F.col("m")) / F.col("s") * F.col("sc") * alpha).alias("z"))  # one row

@@ -76,3 +76,13 @@ def majority_label(df: DataFrame, group: str, label: str) -> DataFrame:
     """Most frequent label per group, ties to the smaller label."""
     c = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("_n"))
     return top_per_group(c, [group], [F.desc("_n"), F.asc(label)], 1).select(group, F.col(label).alias("majority"))
+
+
+def soft_assignment(points: DataFrame, centres: DataFrame, dims: tuple[str, ...] = ("x", "y"), alpha: float = 1.0, id_col: str = "cell_id") -> DataFrame:
+    """(id, cluster, q, p): Student-t membership and its sharpened target distribution."""
+    c = centres.select("cluster", *[F.col(x).alias(f"_c{x}") for x in dims])
+    d2 = sum(((F.col(x) - F.col(f"_c{x}")) * (F.col(x) - F.col(f"_c{x}")) for x in dims), F.lit(0.0))
+    u = points.select(id_col, *dims).crossJoin(c).select(id_col, "cluster", F.pow(1 + d2 / alpha, F.lit(-(alpha + 1) / 2)).alias("u"))  # points x clusters
+    q = u.join(u.groupBy(id_col).agg(F.sum("u").alias("s")), id_col).select(id_col, "cluster", (F.col("u") / F.col("s")).alias("q"))
+    f = q.join(q.groupBy("cluster").agg(F.sum("q").alias("t")), "cluster").withColumn("f", F.col("q") * F.col("q") / F.col("t"))
+    return f.join(f.groupBy(id_col).agg(F.sum("f").alias("g")), id_col).select(id_col, "cluster", "q", (F.col("f") / F.col("g")).alias("p"))

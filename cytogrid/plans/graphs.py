@@ -261,3 +261,15 @@ def eigenvector_centrality(spark, d):
 @query("communities", "G15")
 def communities(spark, d):
     return G.label_propagation(_backbone(spark, d), _roi(spark, d))
+
+
+@query("delaunay_graph", "G2")
+def delaunay_graph(spark, d):
+    from cytogrid.operators.delaunay import delaunay_graph as op
+    return op(D.points(spark, d)).select("src", "dst", r("weight").alias("weight"))
+
+
+@query("delaunay_degree_cells", "G2 A33")
+def delaunay_degree_cells(spark, d):
+    from cytogrid.operators.delaunay import delaunay_graph as op
+    return G.degrees(op(D.cells(spark, d))).groupBy("degree").agg(F.count(F.lit(1)).alias("n"))

@@ -264,3 +264,14 @@ def merge_containers(spark, d):
     tag = lambda px, n: R.region_table(px).select(F.lit(n).alias("region"), F.coalesce(F.col("label").cast("string"), F.lit("0")).alias("instance"), "area")
     u = tag(D.raster(spark, d), "original").unionByName(tag(D.seam(spark, d), "refined"))
     return u.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum("area").alias("area"))
+
+
+@query("colour_feature", "M16", """WITH px AS (SELECT y, x, (label * 17 % 256)::DOUBLE AS c0, (label * 31 % 256)::DOUBLE AS c1, (label * 7 % 256)::DOUBLE AS c2 FROM raster), spot AS (SELECT label AS cell_id, CAST(floor(avg(y)) AS INT) AS py, CAST(floor(avg(x)) AS INT) AS px FROM raster GROUP BY 1),
+g AS (SELECT cell_id, any_value(spot.px) AS sx, any_value(spot.py) AS sy, avg(c0) AS c0, avg(c1) AS c1, avg(c2) AS c2 FROM spot JOIN px ON abs(px.y - spot.py) <= 8 AND abs(px.x - spot.px) <= 8 GROUP BY 1),
+v AS (SELECT var_pop(c0) AS v0, var_pop(c1) AS v1, var_pop(c2) AS v2, greatest(stddev_pop(sx), stddev_pop(sy)) AS sc FROM g), c3 AS (SELECT cell_id, (c0 * v0 + c1 * v1 + c2 * v2) / (v0 + v1 + v2) AS c, sc FROM g, v)
+SELECT cell_id, round((c - avg(c) OVER ()) / stddev_pop(c) OVER () * sc, 4) + 0::DOUBLE AS z FROM c3""", "raster")
+def colour_feature(spark, d):
+    px = D.raster(spark, d)
+    img = px.select("y", "x", *[(F.col("label") * k % 256).cast("double").alias(c) for c, k in (("c0", 17), ("c1", 31), ("c2", 7))])
+    spots = R.region_table(px).select(F.col("label").alias("cell_id"), F.col("cy").cast("int").alias("py"), F.col("cx").cast("int").alias("px"))
+    return R.colour_feature(spots, img, beta=16).select("cell_id", r("z", 4).alias("z"))

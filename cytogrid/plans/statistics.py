@@ -215,7 +215,8 @@ query("holm_step", "W5", PRANK + " SELECT gene, round((n - r + 1) * p, 8) AS p_a
 query("benjamini_hochberg", "W4 W7", PRANK + """ SELECT gene, round(least(min(n * p / r) OVER (ORDER BY p DESC, gene DESC ROWS UNBOUNDED PRECEDING), 1), 8) AS p_adj FROM q""", "pvalues")(_adjusted("bh"))
 query("benjamini_yekutieli", "W7", PRANK + """ SELECT gene, round(least(min(n * p / r) OVER (ORDER BY p DESC, gene DESC ROWS UNBOUNDED PRECEDING) * (SELECT sum(1.0::DOUBLE / r) FROM q), 1), 8) AS p_adj FROM q""", "pvalues")(_adjusted("by"))
 query("holm_sidak", "W7", PRANK + """ SELECT gene, round(least(max(1 - pow(1 - p, n - r + 1)) OVER (ORDER BY p, gene ROWS UNBOUNDED PRECEDING), 1), 8) AS p_adj FROM q""", "pvalues")(_adjusted("holm_sidak"))
-query("q_values", "W6 M24", PRANK + """ SELECT gene, round(least(min(n * p / r) OVER (ORDER BY p DESC, gene DESC ROWS UNBOUNDED PRECEDING), 1), 8) AS p_adj FROM q""", "pvalues")(_adjusted("qvalue"))
+query("q_values", "W6 M24", PRANK + """ SELECT gene, round(least(min(n * p / r) OVER (ORDER BY p DESC, gene DESC ROWS UNBOUNDED PRECEDING)
+ * (SELECT CASE WHEN count(*) < 100 THEN 1 ELSE least(1, count(*) FILTER (p > 0.89) / (count(*) * (1 - 0.89::DOUBLE))) END FROM q), 1), 8) AS p_adj FROM q""", "pvalues")(_adjusted("qvalue"))
 
 
 @query("bh_within_groups", "W7 C4", """WITH q AS (SELECT gene, p, gene % 10 AS spot, row_number() OVER (PARTITION BY gene % 10 ORDER BY p, gene) AS r, count(*) OVER (PARTITION BY gene % 10) AS n FROM pvalues)

@@ -40,6 +40,14 @@ def normal_tail(spark, d):
     return D.table(spark, d, "events").select("event_id", r(SP.normal_sf((F.col("value") - 50) / 40), 7).alias("p"))
 
 
+@query("negative_binomial_nll", "F23", """SELECT gene, round(avg(-(lgamma(value + 2) - lgamma(2) - lgamma(value + 1) + 2 * (ln(2 + 1e-8) - ln(2 + 1.5 + 1e-8)) + value * (ln(1.5 + 1e-8) - ln(2 + 1.5 + 1e-8)))), 6) AS nll FROM panel GROUP BY 1""", "panel")
+def negative_binomial_nll(spark, d):
+    n = SP.negative_binomial_nll(F.col("value"), F.lit(1.5), F.lit(2.0))
+    # counts repeat: the likelihood is evaluated once per (gene, value)
+    c = D.panel(spark, d).groupBy("gene", "value").agg(F.count(F.lit(1)).alias("k")).withColumn("nll", n)
+    return c.groupBy("gene").agg(r(F.sum(F.col("nll") * F.col("k")) / F.sum("k")).alias("nll"))
+
+
 @query("string_functions", "F5", """SELECT upper(trim('  ' || p_name || ' ')) AS name, split_part(p_name, ' ', 1) AS head, CAST(contains(p_name, 'ring') AS INT) AS has_ring, CAST(starts_with(p_brand, 'Brand#1') AS INT) AS b1, regexp_replace(p_brand, '[^0-9]', '', 'g') AS num, count(*) AS n FROM part GROUP BY ALL""")
 def string_functions(spark, d):
     p = D.table(spark, d, "part").select(

@@ -97,7 +97,7 @@ def _sets(spark, d):
     return p.select(F.col("p_type").alias("term"), F.col("p_name").alias("gene")), p.where("p_size >= 49").select(F.col("p_name").alias("gene"))
 
 
-@query("enrichment_counts", "M37", f"""WITH {SETS} SELECT term, CAST(count(h.gene) AS BIGINT) AS k, count(*) AS m, (SELECT count(*) FROM hits) AS n, (SELECT count(DISTINCT gene) FROM sets) AS "N" FROM sets LEFT JOIN hits h USING (gene) GROUP BY 1""")
+@query("enrichment_counts", "M37", f"""WITH {SETS} SELECT term, CAST(count(h.gene) AS BIGINT) AS k, count(*) AS m, (SELECT count(*) FROM hits) AS hits, (SELECT count(DISTINCT gene) FROM sets) AS universe FROM sets LEFT JOIN hits h USING (gene) GROUP BY 1""")
 def enrichment_counts(spark, d):
     s, h = _sets(spark, d)
     return E.overlap_counts(h, s, s.select("gene"))
@@ -161,3 +161,22 @@ def score_selection(spark, d):
     g = D.panel(spark, d).groupBy("gene").agg(F.var_pop("value").alias("v"))
     s = g.agg(F.avg("v").alias("mu"), F.stddev_pop("v").alias("sd"))
     return g.crossJoin(F.broadcast(s)).select("gene", r("v").alias("score"), (F.col("v") > F.col("mu") + F.col("sd")).cast("int").alias("spatially_variable"))  # one row
+
+
+# ----------------------------------------------------- cluster assignment
+
+@query("soft_assignment", "M15", """WITH c AS (SELECT cell_type, avg(x) AS mx, avg(y) AS my FROM points GROUP BY 1),
+u AS (SELECT cell_id, c.cell_type AS cluster, 1 / (1 + (x - mx) * (x - mx) + (y - my) * (y - my)) AS u FROM points, c), q AS (SELECT cell_id, cluster, u / sum(u) OVER (PARTITION BY cell_id) AS q FROM u),
+f AS (SELECT cell_id, cluster, q, q * q / sum(q) OVER (PARTITION BY cluster) AS f FROM q)
+SELECT cell_id, cluster, round(q, 6) AS q, round(f / sum(f) OVER (PARTITION BY cell_id), 6) AS p FROM f""", "points")
+def soft_assignment(spark, d):
+    p = D.points(spark, d)
+    c = p.groupBy(F.col("cell_type").alias("cluster")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    return V.soft_assignment(p, c).select("cell_id", "cluster", r("q").alias("q"), r("p").alias("p"))
+
+
+@query("meta_gene", "M14")
+def meta_gene(spark, d):
+    from cytogrid.operators.metagene import find_meta_gene
+    m = find_meta_gene(D.expr(spark, d), D.cells(spark, d), "BUILDING", "Brand#1", max_iter=2)
+    return m.groupBy("name").agg(F.count(F.lit(1)).alias("n_cells"), r(F.avg("meta"), 4).alias("mean"))

@@ -62,7 +62,7 @@ def _cells(box: float):
     return run
 
 
-def delaunay_graph(points: DataFrame, k: int = 16, id_col: str = "cell_id", x: str = "x", y: str = "y", max_rounds: int = 30) -> DataFrame:
+def delaunay_graph(points: DataFrame, k: int = 32, id_col: str = "cell_id", x: str = "x", y: str = "y", max_rounds: int = 30) -> DataFrame:
     """Exact Delaunay edges (src < dst, dist, weight = 1/dist) of distinct points.
 
     A point's cell is final once its k-th neighbour is farther than twice the

@@ -149,18 +149,20 @@ def knn(points: DataFrame, k: int, id_col: str = "cell_id", x: str = "x", y: str
                   .select("id", "px", "py", "fx", "fy").join(serve, ["fx", "fy"])
                   .select("lv", "cx", "cy", F.col("id").alias("dst"), F.col("px").alias("bx"), F.col("py").alias("by")))
     size = F.lit(side) / F.pow(F.lit(2.0), F.col("lv"))
+    # the k-th neighbour is no farther than the farthest corner of the own cell
+    far = lambda c, g, m: F.greatest(F.col(c) - F.lit(m) - F.col(g) * F.col("s"), F.lit(m) + (F.col(g) + 1) * F.col("s") - F.col(c))
+    fx, fy = far("px", "cx0", min_x), far("py", "cy0", min_y)
     asks = (p.where("ask").join(chosen, ["fx", "fy"])
-            .select("id", "px", "py", "lv", up("fx").alias("cx0"), up("fy").alias("cy0"))
-            .select("*", size.alias("s"), ring)
+            .select("id", "px", "py", "lv", up("fx").alias("cx0"), up("fy").alias("cy0")).withColumn("s", size)
+            .withColumn("r2", F.lit(1.000001) * (fx * fx + fy * fy)).select("*", ring)
             .withColumn("cx", F.col("cx0") + F.col("st.i")).withColumn("cy", F.col("cy0") + F.col("st.j")))
-    # cells farther than the diagonal (plus rounding slack) cannot hold a neighbour; level 0 has one cell
     gap = lambda c, g, m: F.greatest(
         F.lit(m) + g * F.col("s") - F.col(c), F.col(c) - F.lit(m) - (g + 1) * F.col("s"), F.lit(0.0))
     gx, gy = gap("px", F.col("cx"), min_x), gap("py", F.col("cy"), min_y)
-    asks = asks.where(gx * gx + gy * gy <= F.lit(2.000001) * F.col("s") * F.col("s"))
+    asks = asks.where(gx * gx + gy * gy <= F.col("r2"))
     d2 = (F.col("bx") - F.col("px")) * (F.col("bx") - F.col("px")) + (F.col("by") - F.col("py")) * (F.col("by") - F.col("py"))
-    met = (asks.select("id", "px", "py", "lv", "cx", "cy").join(candidates, ["lv", "cx", "cy"])
-           .select(F.col("id").alias("src"), "dst", d2.alias("d2")))
+    met = (asks.select("id", "px", "py", "lv", "cx", "cy", "r2").join(candidates, ["lv", "cx", "cy"])
+           .where((d2 <= F.col("r2")) | (F.col("lv") == 0)).select(F.col("id").alias("src"), "dst", d2.alias("d2")))
     if not include_self:
         met = met.where(F.col("src") != F.col("dst"))
     best = W.partitionBy("src").orderBy("d2", "dst")
@@ -219,30 +221,47 @@ def roi_filter(points: DataFrame, ring: Sequence[tuple[float, float]], x: str =
     return boxed.where(~on_edge & (crossings % 2 == 1))
 
 
-def points_in_polygons(points: DataFrame, shapes: DataFrame, bin_size: float, shape_id: str = "cell_id",
-                       ring: str = "ring", x: str = "x", y: str = "y", how: str = "left") -> DataFrame:
-    """Each point with every polygon strictly containing it (``left`` keeps misses).
+def _polygon_hits(points: DataFrame, shapes: DataFrame, bin_size: float, shape_id: str, ring: str, x: str, y: str) -> DataFrame:
+    """Points left-joined to the polygon sides their ray to +x meets: (points…, shape_id, _hit).
 
-    Polygons are copied to the grid bins their bounding box covers; a point is
-    in exactly one bin, so points are never replicated. Bins crowded with
-    polygons are left to the adaptive skew join.
+    Sides, not rings, are joined: each polygon's sides go to the grid bins of
+    the polygon's box whose rows the side spans, and only sides that straddle
+    the point's height survive. All tests are plain generated code. A side
+    through the point weighs a large negative number.
     """
-    s = shapes.select(F.col(shape_id).alias("shape_id"), F.col(ring).alias("_ring"),
-                      *[c.alias(f"_{n}") for n, c in bounds(F.col(ring)).items()])
-    cover = lambda a, b: F.explode(F.sequence(_bin(F.col(a), bin_size), _bin(F.col(b), bin_size)))
-    s = s.withColumn("_gx", cover("_minx", "_maxx")).withColumn("_gy", cover("_miny", "_maxy"))
-    p = points.withColumn("_px", _bin(F.col(x), bin_size)).withColumn("_py", _bin(F.col(y), bin_size))
-    cond = ((F.col("_px") == F.col("_gx")) & (F.col("_py") == F.col("_gy"))
-            & (F.col(x) > F.col("_minx")) & (F.col(x) < F.col("_maxx"))
-            & (F.col(y) > F.col("_miny")) & (F.col(y) < F.col("_maxy"))
-            & inside(F.col(x), F.col(y), F.col("_ring")))
-    return p.join(s, cond, how).select(*points.columns, "shape_id")
-
-
-def assign_first(points: DataFrame, shapes: DataFrame, bin_size: float, keys: Sequence[str], **kw) -> DataFrame:
+    r = F.col(ring)
+    s = (shapes.select(F.col(shape_id).alias("shape_id"), *[c.alias(f"_{n}") for n, c in bounds(r).items()], F.explode(_edges(r)).alias("_e"))
+         .select("shape_id", "_minx", "_miny", "_maxx", "_maxy", F.col("_e.a.x").alias("_ax"), F.col("_e.a.y").alias("_ay"), F.col("_e.b.x").alias("_bx"), F.col("_e.b.y").alias("_by")))
+    # a side is needed from the polygon's left border up to the side's right end
+    cols = F.sequence(_bin(F.col("_minx"), bin_size), _bin(F.greatest("_ax", "_bx"), bin_size))
+    rows = F.sequence(_bin(F.least("_ay", "_by"), bin_size), _bin(F.greatest("_ay", "_by"), bin_size))
+    s = s.withColumn("gx", F.explode(cols)).withColumn("gy", F.explode(rows)).drop("_maxx", "_maxy", "_miny")
+    p = points.withColumn("gx", _bin(F.col(x), bin_size)).withColumn("gy", _bin(F.col(y), bin_size))
+    s, p = _split_hot_bins(s, p, ["gx", "gy"], 50 * BIN_ROWS)
+    px, py = F.col(x), F.col(y)
+    side = (F.col("_bx") - F.col("_ax")) * (py - F.col("_ay")) - (F.col("_by") - F.col("_ay")) * (px - F.col("_ax"))
+    level = (F.least("_ay", "_by") <= py) & (F.greatest("_ay", "_by") >= py) & (F.greatest("_ax", "_bx") >= px) & (px >= F.col("_minx"))
+    on = (side == 0) & (px >= F.least("_ax", "_bx"))
+    crosses = ((F.col("_ay") > py) != (F.col("_by") > py)) & ((side > 0) == (F.col("_by") > F.col("_ay")))
+    cond = ((p["gx"] == s["gx"]) & (p["gy"] == s["gy"]) & (p["_s"] == s["_s"]) & level & (on | crosses))
+    return p.join(s, cond, "left").select(*[p[c] for c in points.columns], "shape_id", F.when(on, -1_000_000).otherwise(1).alias("_hit"))
+
+
+def points_in_polygons(points: DataFrame, shapes: DataFrame, bin_size: float, keys: Sequence[str], shape_id: str = "cell_id",
+                       ring: str = "ring", x: str = "x", y: str = "y") -> DataFrame:
+    """(keys…, shape_id): every polygon strictly containing each point. ``keys`` identify a point."""
+    h = _polygon_hits(points, shapes, bin_size, shape_id, ring, x, y).where(F.col("shape_id").isNotNull())
+    g = h.groupBy(*keys, "shape_id").agg(F.sum("_hit").alias("_h"))
+    return g.where((F.col("_h") > 0) & (F.col("_h") % 2 == 1)).drop("_h")
+
+
+def assign_first(points: DataFrame, shapes: DataFrame, bin_size: float, keys: Sequence[str], shape_id: str = "cell_id",
+                 ring: str = "ring", x: str = "x", y: str = "y") -> DataFrame:
     """One polygon per point: the smallest id of those containing it, NULL if none."""
-    hits = points_in_polygons(points, shapes, bin_size, **kw)
-    return hits.groupBy(*keys).agg(F.min("shape_id").alias("shape_id"))
+    h = _polygon_hits(points, shapes, bin_size, shape_id, ring, x, y)
+    g = h.groupBy(*keys, "shape_id").agg(F.sum("_hit").alias("_h"))
+    odd = (F.col("_h") > 0) & (F.col("_h") % 2 == 1)
+    return g.groupBy(*keys).agg(F.min(F.when(odd, F.col("shape_id"))).alias("shape_id"))
 
 
 def polygon_metrics(shapes: DataFrame, ring: str = "ring") -> DataFrame:

@@ -15,12 +15,17 @@ EDGES = f"WITH {EDGE15}, w AS (SELECT src, dst FROM e UNION ALL SELECT dst, src
 FLOW = EDGES + """, s AS (SELECT src, dst, ligand, receptor, l.value * q.value AS v FROM w JOIN expr l ON l.cell_id = src JOIN lr ON ligand = l.gene JOIN expr q ON q.cell_id = dst AND q.gene = receptor)"""
 
 
+def _x(spark, d):
+    """The count table, materialised: it is derived from three tables and read several times."""
+    return cut(D.expr(spark, d))
+
+
 def _w(spark, d):
     return cut(C.directed(radius_pairs(D.cells(spark, d), 1.5).withColumn("weight", F.lit(1.0))))
 
 
 def _sig(spark, d):
-    return C.signals(D.expr(spark, d), D.lr(spark, d), _w(spark, d))
+    return C.signals(_x(spark, d), D.lr(spark, d), _w(spark, d))
 
 
 @query("lr_pair_totals", "A18 C1 T1", FLOW + " SELECT ligand || '-' || receptor AS pair, sum(v) AS total FROM s GROUP BY 1 ORDER BY total DESC, pair LIMIT 10", "cells expr lr")
@@ -41,20 +46,20 @@ def lr_cell_totals(spark, d):
 
 @query("cci_by_pair", "C5 A22", FLOW + """ SELECT ligand, receptor, a.cell_type AS src_type, b.cell_type AS dst_type, sum(v) AS value FROM s JOIN cells a ON a.cell_id = src JOIN cells b ON b.cell_id = dst GROUP BY 1, 2, 3, 4 HAVING sum(v) >= 40""", "cells expr lr")
 def cci_by_pair(spark, d):
-    return C.type_flow(D.expr(spark, d), D.lr(spark, d), _w(spark, d), D.cells(spark, d), min_ints=40)
+    return C.type_flow(_x(spark, d), D.lr(spark, d), _w(spark, d), D.cells(spark, d), min_ints=40)
 
 
 @query("cci_matrix", "A21", FLOW + """, f AS (SELECT ligand, receptor, a.cell_type AS src_type, b.cell_type AS dst_type, sum(v) AS value FROM s JOIN cells a ON a.cell_id = src JOIN cells b ON b.cell_id = dst GROUP BY 1, 2, 3, 4 HAVING sum(v) >= 40)
 SELECT src_type, dst_type, sum(value) AS value, count(*) AS n_pairs FROM f GROUP BY 1, 2""", "cells expr lr")
 def cci_matrix(spark, d):
-    return C.type_matrix(C.type_flow(D.expr(spark, d), D.lr(spark, d), _w(spark, d), D.cells(spark, d), min_ints=40))
+    return C.type_matrix(C.type_flow(_x(spark, d), D.lr(spark, d), _w(spark, d), D.cells(spark, d), min_ints=40))
 
 
 @query("cci_abundance_normalised", "A37 C10", FLOW + """, k AS (SELECT cell_type, count(*) AS k FROM cells GROUP BY 1)
 SELECT k.cell_type, round(coalesce((SELECT sum(v) FROM s JOIN cells a ON a.cell_id = src WHERE a.cell_type = k.cell_type), 0) / k, 6) AS sent,
 round(coalesce((SELECT sum(v) FROM s JOIN cells a ON a.cell_id = dst WHERE a.cell_type = k.cell_type), 0) / k, 6) AS received FROM k""", "cells expr lr")
 def cci_abundance_normalised(spark, d):
-    m = C.type_matrix(C.type_flow(D.expr(spark, d), D.lr(spark, d), _w(spark, d), D.cells(spark, d), min_ints=0))
+    m = C.type_matrix(C.type_flow(_x(spark, d), D.lr(spark, d), _w(spark, d), D.cells(spark, d), min_ints=0))
     return C.abundance_normalised(m, D.cells(spark, d)).select("cell_type", r("sent").alias("sent"), r("received").alias("received"))
 
 
@@ -69,7 +74,7 @@ ss AS (SELECT gene, sum(z * z) AS ss FROM z GROUP BY 1), o AS (SELECT sum(w) AS
 SELECT ligand, receptor, round(s / sqrt(p.ss * q.ss), 5) AS r, round(s / sqrt(p.ss * q.ss) / sqrt((w2 - w * w / (m * m)) / (m * m)), 3) AS z FROM n JOIN ss p ON p.gene = ligand JOIN ss q ON q.gene = receptor, o""", "cells expr lr")
 def bivariate_moran(spark, d):
     c = D.cells(spark, d)
-    b = C.bivariate_moran(D.expr(spark, d), D.lr(spark, d), cut(C.kernel_weights(c, 1.0)), c)
+    b = C.bivariate_moran(_x(spark, d), D.lr(spark, d), cut(C.kernel_weights(c, 1.0)), c)
     return b.select("ligand", "receptor", r("r", 5).alias("r"), r("z", 3).alias("z"))
 
 
@@ -77,7 +82,7 @@ def bivariate_moran(spark, d):
 SELECT cell_id, ligand, receptor, round(z / sd * coalesce(lz, 0), 4) + 0::DOUBLE AS local_r FROM lr JOIN z ON z.gene = ligand LEFT JOIN lz ON lz.src = cell_id AND lz.gene = receptor""", "cells expr lr")
 def bivariate_moran_local(spark, d):
     c = D.cells(spark, d)
-    b = C.local_bivariate(D.expr(spark, d), D.lr(spark, d), cut(C.kernel_weights(c, 1.0)), c)
+    b = C.local_bivariate(_x(spark, d), D.lr(spark, d), cut(C.kernel_weights(c, 1.0)), c)
     return b.select("cell_id", "ligand", "receptor", r("local_r", 4).alias("local_r"))
 
 
@@ -85,7 +90,7 @@ def bivariate_moran_local(spark, d):
 SELECT ligand, receptor, count(*) AS n_spots FROM lr JOIN z ON z.gene = ligand JOIN lz ON lz.src = cell_id AND lz.gene = receptor WHERE round(z / sd * lz, 6) > 5 GROUP BY 1, 2 HAVING count(*) > 2""", "cells expr lr")
 def selected_spots(spark, d):
     c = D.cells(spark, d)
-    b = C.local_bivariate(D.expr(spark, d), D.lr(spark, d), cut(C.kernel_weights(c, 1.0)), c)
+    b = C.local_bivariate(_x(spark, d), D.lr(spark, d), cut(C.kernel_weights(c, 1.0)), c)
     return b.where(F.round("local_r", 6) > 5).groupBy("ligand", "receptor").agg(F.count(F.lit(1)).alias("n_spots")).where("n_spots > 2")
 
 
@@ -93,7 +98,7 @@ def selected_spots(spark, d):
 SELECT ligand, receptor FROM n QUALIFY row_number() OVER (PARTITION BY ligand ORDER BY s DESC, receptor) = 1 ORDER BY s DESC, ligand LIMIT 6""", "cells expr lr")
 def best_pair_per_ligand(spark, d):
     c = D.cells(spark, d)
-    x = D.expr(spark, d)
+    x = _x(spark, d)
     b = C.bivariate_moran(x, D.lr(spark, d), cut(C.kernel_weights(c, 1.0)), c)
     from cytogrid.operators.expression import gene_moments
     ss = gene_moments(x, c.agg(F.count(F.lit(1)).alias("n"))).select("gene", (F.col("var_pop") * F.col("n")).alias("ss"))
@@ -109,7 +114,7 @@ s AS (SELECT d.src AS cell_id, ligand, receptor, (coalesce(l.value, 0) * coalesc
  LEFT JOIN lag ll ON ll.src = d.src AND ll.gene = ligand LEFT JOIN lag rl ON rl.src = d.src AND rl.gene = receptor)
 SELECT ligand, receptor, count(*) AS n_spots, round(sum(score), 4) AS total FROM s WHERE score > 0 GROUP BY 1, 2 HAVING count(*) >= 5""", "cells expr lr")
 def spot_lr_scores(spark, d):
-    s = C.spot_scores(D.expr(spark, d), D.lr(spark, d), _w(spark, d))
+    s = C.spot_scores(_x(spark, d), D.lr(spark, d), _w(spark, d))
     return s.groupBy("ligand", "receptor").agg(F.count(F.lit(1)).alias("n_spots"), r(F.sum("score"), 4).alias("total"))
 
 
@@ -123,7 +128,7 @@ j AS (SELECT ligand, receptor, a.cell_type AS src_type, b.cell_type AS dst_type,
  FROM lr JOIN cv USING (ligand, receptor) JOIN m a ON a.gene = ligand AND a.prop >= 0.1 JOIN m b ON b.gene = receptor AND b.prop >= 0.1 JOIN mu p ON p.gene = ligand JOIN mu q ON q.gene = receptor, n)
 SELECT ligand, receptor, src_type, dst_type, round(score, 6) AS score, round((score - e) / sqrt(var), 4) AS z FROM j""", "cells expr lr")
 def type_pair_means(spark, d):
-    t = C.type_pair_means(D.expr(spark, d), D.lr(spark, d), D.cells(spark, d))
+    t = C.type_pair_means(_x(spark, d), D.lr(spark, d), D.cells(spark, d))
     return t.select("ligand", "receptor", "src_type", "dst_type", r("score").alias("score"), r("z", 4).alias("z"))
 
 
@@ -133,7 +138,7 @@ s AS (SELECT t.cell_id, ligand, target, t.value * n.v AS score FROM expr t JOIN
 
 def _lt(spark, d):
     pairs = D.lr(spark, d).select("ligand", F.col("receptor").alias("target"))
-    return C.ligand_target_scores(D.expr(spark, d), pairs, _w(spark, d))
+    return C.ligand_target_scores(_x(spark, d), pairs, _w(spark, d))
 
 
 @query("ligand_target_scores", "C6 A36", LT + """ SELECT ligand, target, count(*) AS n, round(sum(score) / (SELECT count(*) FROM cells), 6) AS mean_score FROM s GROUP BY 1, 2""", "cells expr lr")
@@ -172,7 +177,7 @@ def expression_by_type(spark, d):
     c = D.cells(spark, d)
     k = U.crosstab(c, "niche", "cell_type").where("n > 0").select("niche", "cell_type", F.col("share").alias("proportion"))
     comp = c.select("cell_id", "niche").join(k, "niche").drop("niche")
-    return C.expression_by_type(D.expr(spark, d), comp).groupBy("gene", "cell_type").agg(r(F.sum("value"), 4).alias("value"))
+    return C.expression_by_type(_x(spark, d), comp).groupBy("gene", "cell_type").agg(r(F.sum("value"), 4).alias("value"))
 
 
 @query("composition_entropy", "A34", """WITH k AS (SELECT niche, cell_type, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY niche) AS p FROM cells GROUP BY 1, 2) SELECT niche, round(-sum(p * ln(p + 1e-10)), 6) AS entropy FROM k GROUP BY 1""", "cells")

@@ -16,6 +16,11 @@ DENSE = """genes AS (SELECT DISTINCT gene FROM expr), dense AS (SELECT c.cell_id
   LEFT JOIN expr e ON e.cell_id = c.cell_id AND e.gene = g.gene), mu AS (SELECT gene, avg(v) AS m FROM dense GROUP BY 1)"""
 
 
+def _x(spark, d):
+    """The count table, materialised: it is derived from three tables and read several times."""
+    return cut(D.expr(spark, d))
+
+
 def _knn(spark, d, k=5):
     return cut(A.knn_weights(D.cells(spark, d), k))
 
@@ -25,7 +30,7 @@ den AS (SELECT gene, sum(z * z) AS ss, count(*) AS n FROM z GROUP BY 1), w AS (S
 num AS (SELECT a.gene, sum(a.z * b.z) AS i, sum((a.v - b.v) * (a.v - b.v)) AS c FROM knn JOIN z a ON a.cell_id = src JOIN z b ON b.cell_id = dst AND b.gene = a.gene GROUP BY 1)
 SELECT gene, round(n / w * i / ss, 5) AS moran_i, round(n / (2.0 * w) * c / ss, 5) AS geary_c FROM num JOIN den USING (gene), w""", "cells expr")
 def morans_i_gearys_c(spark, d):
-    return A.moran_geary(D.expr(spark, d), D.cells(spark, d), _knn(spark, d)).select("gene", r("moran_i", 5).alias("moran_i"), r("geary_c", 5).alias("geary_c"))
+    return A.moran_geary(_x(spark, d), D.cells(spark, d), _knn(spark, d)).select("gene", r("moran_i", 5).alias("moran_i"), r("geary_c", 5).alias("geary_c"))
 
 
 @query("moran_ranked_genes", "G20 W1 M33", f"""WITH {KNN4}, {DENSE}, z AS (SELECT cell_id, gene, v - m AS z FROM dense JOIN mu USING (gene)),
@@ -33,14 +38,14 @@ den AS (SELECT gene, sum(z * z) AS ss, count(*) AS n FROM z GROUP BY 1), w AS (S
 num AS (SELECT a.gene, sum(a.z * b.z) AS i FROM knn JOIN z a ON a.cell_id = src JOIN z b ON b.cell_id = dst AND b.gene = a.gene GROUP BY 1)
 SELECT gene, row_number() OVER (ORDER BY round(n / w * i / ss, 6) DESC, gene) AS svg_rank FROM num JOIN den USING (gene), w ORDER BY svg_rank LIMIT 10""", "cells expr")
 def moran_ranked_genes(spark, d):
-    s = A.moran_geary(D.expr(spark, d), D.cells(spark, d), _knn(spark, d)).withColumn("k", F.round("moran_i", 6))
+    s = A.moran_geary(_x(spark, d), D.cells(spark, d), _knn(spark, d)).withColumn("k", F.round("moran_i", 6))
     return global_rank(s, [F.desc("k"), F.asc("gene")], "svg_rank").where(F.col("svg_rank") <= 10).select("gene", "svg_rank")
 
 
 @query("moran_significance", "G20 M33")
 def moran_significance(spark, d):
     c, w = D.cells(spark, d), _knn(spark, d)
-    z = A.moran_z(A.moran_geary(D.expr(spark, d), c, w), w, c.agg(F.count(F.lit(1)).alias("n")))
+    z = A.moran_z(A.moran_geary(_x(spark, d), c, w), w, c.agg(F.count(F.lit(1)).alias("n")))
     return MT.adjust(z, "bh").select("gene", r("moran_i", 5).alias("moran_i"), r("z", 4).alias("z"), r("p_adj", 5).alias("p_adj"))
 
 
@@ -119,7 +124,7 @@ ob AS (SELECT a.gene, abs(a.v - b.v) AS v, count(*)::DOUBLE / (SELECT count(*) F
 @query("value_pmf", "A26 D9", f"""WITH {DENSE} SELECT gene, CAST(v AS BIGINT) AS value, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY gene), 6) AS prob FROM dense GROUP BY 1, 2""", "cells expr")
 def value_pmf(spark, d):
     n = D.cells(spark, d).agg(F.count(F.lit(1)).alias("n"))
-    s = D.expr(spark, d).groupBy("gene", F.col("value").cast("long").alias("value")).agg(F.count(F.lit(1)).alias("c"))
+    s = _x(spark, d).groupBy("gene", F.col("value").cast("long").alias("value")).agg(F.count(F.lit(1)).alias("c"))
     z = s.groupBy("gene").agg(F.sum("c").alias("s")).crossJoin(F.broadcast(n)).select("gene", F.lit(0).cast("long").alias("value"), (F.col("n") - F.col("s")).alias("c")).where("c > 0")
     return A.pmf(s.unionByName(z), weight="c").withColumn("prob", r("prob"))
 
@@ -127,7 +132,7 @@ def value_pmf(spark, d):
 @query("abs_difference_pmf", "A27", PMF_SQL + " SELECT gene, CAST(v AS BIGINT) AS value, round(q, 6) AS prob FROM ex", "cells expr")
 def abs_difference_pmf(spark, d):
     n = D.cells(spark, d).agg(F.count(F.lit(1)).alias("n"))
-    s = D.expr(spark, d).groupBy("gene", F.col("value").cast("long").alias("value")).agg(F.count(F.lit(1)).alias("c"))
+    s = _x(spark, d).groupBy("gene", F.col("value").cast("long").alias("value")).agg(F.count(F.lit(1)).alias("c"))
     z = s.groupBy("gene").agg(F.sum("c").alias("s")).crossJoin(F.broadcast(n)).select("gene", F.lit(0).cast("long").alias("value"), (F.col("n") - F.col("s")).alias("c")).where("c > 0")
     return A.abs_difference_pmf(A.pmf(s.unionByName(z), weight="c")).withColumn("prob", r("prob"))
 
@@ -135,12 +140,12 @@ def abs_difference_pmf(spark, d):
 @query("neighbour_entropy", "M17", PMF_SQL + """ SELECT gene, round(sum(CASE WHEN coalesce(o, 0) > 0 THEN o * ln(o / q) ELSE 0 END), 6) AS ent,
 CAST(sum(CASE WHEN q > 1.0::DOUBLE / (SELECT count(*) FROM cells) THEN 1 ELSE 0 END) - 1 AS BIGINT) AS df FROM ex FULL JOIN ob USING (gene, v) GROUP BY 1""", "cells expr")
 def neighbour_entropy(spark, d):
-    return A.neighbour_entropy_test(D.expr(spark, d), D.cells(spark, d), _knn(spark, d)).select("gene", r("ent").alias("ent"), "df")
+    return A.neighbour_entropy_test(_x(spark, d), D.cells(spark, d), _knn(spark, d)).select("gene", r("ent").alias("ent"), "df")
 
 
 @query("neighbour_entropy_test", "M17 W7 M33")
 def neighbour_entropy_test(spark, d):
-    t = A.with_chi2(A.neighbour_entropy_test(D.expr(spark, d), D.cells(spark, d), _knn(spark, d)))
+    t = A.with_chi2(A.neighbour_entropy_test(_x(spark, d), D.cells(spark, d), _knn(spark, d)))
     return t.select("gene", r("ent").alias("ent"), r("p", 6).alias("p"), r("p_adj", 6).alias("p_adj"))
 
 
@@ -152,13 +157,13 @@ cor AS (SELECT c.gene_a, c.gene_b, CASE WHEN p.c * q.c > 0 THEN c.c / sqrt(p.c *
 
 @query("spatial_coexpression", "M18", COEXP_SQL + " SELECT gene_a, gene_b, round(cor, 4) AS cor FROM cor", "cells expr")
 def spatial_coexpression(spark, d):
-    return A.coexpression(D.expr(spark, d), D.cells(spark, d), _knn(spark, d)).withColumn("cor", F.round("cor", 4) + F.lit(0.0))
+    return A.coexpression(_x(spark, d), D.cells(spark, d), _knn(spark, d)).withColumn("cor", F.round("cor", 4) + F.lit(0.0))
 
 
 @query("gene_graph", "M19 A25")
 def gene_graph(spark, d):
     """Co-expression edges that pass FDR 0.05 and the steepest-rise threshold."""
-    c = A.coexpression(D.expr(spark, d), D.cells(spark, d), _knn(spark, d)).where("gene_a > gene_b and cor is not null")
+    c = A.coexpression(_x(spark, d), D.cells(spark, d), _knn(spark, d)).where("gene_a > gene_b and cor is not null")
     n_eff = D.cells(spark, d).count() / 4
     low = cut(A.effective_t(c, n_eff).where("t is not null"))
     t = U.steepest_rise(U.histogram(low, "cor", 100))
@@ -172,7 +177,7 @@ z AS (SELECT cell_id, ligand, receptor, CAST(trunc(round((a.v - a.m) * (b.v - b.
 SELECT ligand, receptor, value, count(*) AS n FROM z JOIN (SELECT ligand, receptor FROM z GROUP BY 1, 2 HAVING sum(value) >= 1) USING (ligand, receptor) GROUP BY 1, 2, 3""", "cells expr lr")
 def colocation(spark, d):
     pairs = D.lr(spark, d).select(F.col("ligand").alias("gene_a"), F.col("receptor").alias("gene_b"))
-    z = A.colocation(D.expr(spark, d), D.cells(spark, d), pairs, "cell_type")
+    z = A.colocation(_x(spark, d), D.cells(spark, d), pairs, "cell_type")
     return z.groupBy(F.col("gene_a").alias("ligand"), F.col("gene_b").alias("receptor"), "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -181,7 +186,7 @@ th AS (SELECT gene, CASE WHEN f < top THEN f + 1 ELSE top + 1 END AS t FROM top
 SELECT least(src, dst) AS src, greatest(src, dst) AS dst, count(*)::DOUBLE AS weight FROM knn JOIN dense a ON a.cell_id = src JOIN dense b ON b.cell_id = dst AND b.gene = a.gene JOIN th ON th.gene = a.gene
 WHERE abs(a.v - b.v) >= t GROUP BY 1, 2""", "cells expr")
 def difference_graph(spark, d):
-    return A.difference_graph(D.expr(spark, d), D.cells(spark, d), _knn(spark, d))
+    return A.difference_graph(_x(spark, d), D.cells(spark, d), _knn(spark, d))
 
 
 @query("graph_imputation", "M21", f"""WITH {EDGE15}, w AS (SELECT src, dst, 1.0::DOUBLE AS w FROM e UNION ALL SELECT dst, src, 1.0 FROM e), c AS (SELECT src, sum(w) AS t FROM w GROUP BY 1),
@@ -191,14 +196,14 @@ two AS (SELECT cell_id, gene, sum(v) AS v FROM (SELECT cell_id, gene, v FROM one
 SELECT cell_id, gene, round(v, 9) AS value FROM two""", "cells expr")
 def graph_imputation(spark, d):
     e = _edges(spark, d).withColumn("weight", F.lit(1.0))
-    return A.diffuse(D.expr(spark, d), e, rounds=2).select("cell_id", "gene", r("value", 9).alias("value"))
+    return A.diffuse(_x(spark, d), e, rounds=2).select("cell_id", "gene", r("value", 9).alias("value"))
 
 
 @query("graph_low_pass", "M27")
 def graph_low_pass(spark, d):
     e = _edges(spark, d).withColumn("weight", F.lit(1.0))
     lap = cut(G.laplacian(e, D.cells(spark, d), normalized=True))
-    return A.low_pass(D.expr(spark, d), lap, c=1.0, order=4).groupBy("gene").agg(r(F.sum("value"), 3).alias("total"))
+    return A.low_pass(_x(spark, d), lap, c=1.0, order=4).groupBy("gene").agg(r(F.sum("value"), 3).alias("total"))
 
 
 # ---------------------------------------------------------- multiple testing

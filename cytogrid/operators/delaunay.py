@@ -11,6 +11,7 @@ from cytogrid.operators.graph import inverse_distance
 from cytogrid.operators.spatial import knn
 from cytogrid.session import cut
 
+SMALL = 1000  # unfinished points that may all meet each other
 FAR = 1e5  # clip box of unbounded cells, in units of the data extent
 
 
@@ -51,10 +52,8 @@ def _cells(box: float):
     def run(batches):
         for pdf in batches:
             out = []
-            for src, x, y, nbrs, horizon in zip(pdf["id"], pdf["px"], pdf["py"], pdf["nbrs"], pdf["horizon"]):
-                ids = np.array([q["id"] for q in nbrs], dtype=np.int64)
-                dx = np.array([q["x"] for q in nbrs], dtype=float) - x
-                dy = np.array([q["y"] for q in nbrs], dtype=float) - y
+            for src, x, y, ids, nx, ny, horizon in zip(pdf["id"], pdf["px"], pdf["py"], pdf["nid"], pdf["nx"], pdf["ny"], pdf["horizon"]):
+                dx, dy = nx - x, ny - y
                 order = np.lexsort((ids, dx * dx + dy * dy))
                 found, reach = _voronoi(dx[order], dy[order], ids[order], box)
                 out.append((src, found, bool(horizon >= 2 * reach)))
@@ -81,6 +80,8 @@ def delaunay_graph(points: DataFrame, k: int = 32, id_col: str = "cell_id", x: s
         n = todo.count()
         if n == 0:
             break
+        if n <= SMALL:  # a bounded rest is settled at once
+            k = max(k, n)
         near = knn(todo, k, "id", "px", "py")
         # with at most k others every candidate is known: the horizon is infinite
         horizon = F.lit(math.inf) if n <= k + 1 else F.max("dist")
@@ -90,8 +91,11 @@ def delaunay_graph(points: DataFrame, k: int = 32, id_col: str = "cell_id", x: s
             known = edges.select(F.col("dst").alias("id"), F.col("src").alias("nid")).join(todo.select("id"), "id", "left_semi")
             cand = cand.select("id", "nid").unionByName(known).distinct()
         packed = (cand.join(p.select(F.col("id").alias("nid"), F.col("px").alias("nx"), F.col("py").alias("ny")), "nid")
-                  .groupBy("id").agg(F.collect_list(F.struct(F.col("nid").alias("id"), F.col("nx").alias("x"), F.col("ny").alias("y"))).alias("nbrs")))
-        work = todo.join(packed, "id").join(reach, "id", "left").withColumn("horizon", F.coalesce("horizon", F.lit(math.inf)))
+                  .groupBy("id").agg(F.collect_list(F.struct("nid", "nx", "ny")).alias("_q"))
+                  .select("id", *[F.col(f"_q.{c}").alias(c) for c in ("nid", "nx", "ny")]))
+        tasks = max(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 50_000)
+        # a fixed partition count: rows are few bytes but cost Python time
+        work = todo.join(packed, "id").join(reach, "id", "left").withColumn("horizon", F.coalesce("horizon", F.lit(math.inf))).repartition(tasks, "id")
         got = cut(work.mapInPandas(_cells(box), "id long, found array<long>, done boolean"))
         final = got.where("done").select(F.col("id").alias("src"), F.explode("found").alias("dst"))
         edges = final if edges is None else edges.unionByName(final)

@@ -90,17 +90,17 @@ def count_by_type(queries: DataFrame, points: DataFrame, radius: float, id_col:
             .agg(F.sum("p_n").alias("n")))
 
 
-def _depth(points: DataFrame, k: int, min_x: float, min_y: float, side: float, n: int) -> int:
-    """Finest quadtree depth: cells hold a bounded number of distinct places."""
+def _depth(points: DataFrame, k: int, min_x: float, min_y: float, side: float, n: int) -> tuple[int, bool]:
+    """Finest quadtree depth (cells hold a bounded number of distinct places) and whether places repeat."""
     limit = 16 * (k + 1)
     depth = max(0, min(24, math.ceil(math.log(max(n, 1) / (k + 1), 4)) + 2))
     for _ in range(4):
         cells = points.select(*_cell(depth, min_x, min_y, side), "px", "py").distinct()
-        fullest = cells.groupBy("fx", "fy").count().agg(F.max("count")).first()[0] or 0
-        if fullest <= limit or depth >= 24:
-            return depth
+        fullest, places = cells.groupBy("fx", "fy").count().agg(F.max("count"), F.sum("count")).first()
+        if (fullest or 0) <= limit or depth >= 24:
+            break
         depth = min(24, depth + max(1, math.ceil(math.log(fullest / limit, 4))))
-    return depth
+    return depth, (places or 0) < n
 
 
 def _cell(depth: int, min_x: float, min_y: float, side: float) -> list[Column]:
@@ -126,7 +126,7 @@ def knn(points: DataFrame, k: int, id_col: str = "cell_id", x: str = "x", y: str
     n = box[4]
     min_x, min_y = box[0] or 0.0, box[2] or 0.0
     side = max((box[1] or 0.0) - min_x, (box[3] or 0.0) - min_y, 1e-9) * (1 + 1e-9)
-    depth = _depth(p, k, min_x, min_y, side, n)
+    depth, stacked = _depth(p, k, min_x, min_y, side, n)
     p = p.select("*", *_cell(depth, min_x, min_y, side))
 
     levels = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("lv")
@@ -135,19 +135,17 @@ def knn(points: DataFrame, k: int, id_col: str = "cell_id", x: str = "x", y: str
     pyramid = occupied.select("*", levels).select("*", up("fx").alias("cx"), up("fy").alias("cy"))
     enough = (pyramid.groupBy("lv", "cx", "cy").agg(F.sum("n").alias("n"))
               .where((F.col("n") >= k + 1) | (F.col("lv") == 0)).drop("n"))
-    chosen = (pyramid.where("ask").join(enough, ["lv", "cx", "cy"]).groupBy("fx", "fy").agg(F.max("lv").alias("lv")))
+    chosen = cut(pyramid.where("ask").join(enough, ["lv", "cx", "cy"]).groupBy("fx", "fy").agg(F.max("lv").alias("lv")))
+    in_use = sorted(row[0] for row in chosen.select("lv").distinct().collect())  # at most 25 numbers
 
     ring = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"))
                                for i in range(-2, 3) for j in range(-2, 3) if abs(i) + abs(j) < 4])).alias("st")
-    wanted = (chosen.select("lv", up("fx").alias("cx"), up("fy").alias("cy")).distinct().select("*", ring)
-              .select("lv", (F.col("cx") + F.col("st.i")).alias("cx"), (F.col("cy") + F.col("st.j")).alias("cy")).distinct())
-    serve = pyramid.join(wanted, ["lv", "cx", "cy"], "left_semi").select("fx", "fy", "lv", "cx", "cy")
-
-    # of points stacked on one place only the k+1 smallest ids can be neighbours
-    places = W.partitionBy("px", "py").orderBy("id")
-    candidates = (p.withColumn("_r", F.row_number().over(places)).where(F.col("_r") <= k + 1)
-                  .select("id", "px", "py", "fx", "fy").join(serve, ["fx", "fy"])
-                  .select("lv", "cx", "cy", F.col("id").alias("dst"), F.col("px").alias("bx"), F.col("py").alias("by")))
+    served = p
+    if stacked:  # of points on one place only the k+1 smallest ids can be neighbours
+        places = W.partitionBy("px", "py").orderBy("id")
+        served = p.withColumn("_r", F.row_number().over(places)).where(F.col("_r") <= k + 1)
+    candidates = (served.select("id", "px", "py", "fx", "fy", F.explode(F.array(*[F.lit(v) for v in in_use] or [F.lit(0)])).alias("lv"))
+                  .select("lv", up("fx").alias("cx"), up("fy").alias("cy"), F.col("id").alias("dst"), F.col("px").alias("bx"), F.col("py").alias("by")))
     size = F.lit(side) / F.pow(F.lit(2.0), F.col("lv"))
     # the k-th neighbour is no farther than the farthest corner of the own cell
     far = lambda c, g, m: F.greatest(F.col(c) - F.lit(m) - F.col(g) * F.col("s"), F.lit(m) + (F.col(g) + 1) * F.col("s") - F.col(c))

@@ -263,7 +263,10 @@ def communities(spark, d):
     return G.label_propagation(_backbone(spark, d), _roi(spark, d))
 
 
-@query("delaunay_graph", "G2")
+@query("delaunay_graph", "G2", """WITH p AS (SELECT a.cell_id AS src, b.cell_id AS dst, (a.x + b.x) / 2 AS mx, (a.y + b.y) / 2 AS my, b.x - a.x AS dx, b.y - a.y AS dy FROM points a JOIN points b ON a.cell_id < b.cell_id),
+t AS (SELECT src, dst, dx * dx + dy * dy AS d2, (c.x - mx) * (c.x - mx) + (c.y - my) * (c.y - my) - (dx * dx + dy * dy) / 4 AS h, (c.y - my) * dx - (c.x - mx) * dy AS un FROM p JOIN points c ON c.cell_id <> src AND c.cell_id <> dst)
+SELECT src, dst, round(1 / sqrt(any_value(d2)), 6) AS weight FROM t GROUP BY 1, 2
+HAVING coalesce(max(CASE WHEN un < 0 THEN h / (2 * un) END), -1e300) <= coalesce(min(CASE WHEN un > 0 THEN h / (2 * un) END), 1e300)""", "points")
 def delaunay_graph(spark, d):
     from cytogrid.operators.delaunay import delaunay_graph as op
     return op(D.points(spark, d)).select("src", "dst", r("weight").alias("weight"))

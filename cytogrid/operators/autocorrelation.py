@@ -27,25 +27,34 @@ def moran_geary(expr: DataFrame, cells: DataFrame, weights: DataFrame, cell: str
     sum w z_i z_j = S_ij - m (R_x + C_x) + m^2 W, with R and C the row and column
     sums of w. C uses N, not N-1.
     """
-    n = cells.agg(F.count(F.lit(1)).alias("n"))
+    one = cells.agg(F.count(F.lit(1)).alias("n")).crossJoin(weights.agg(F.sum(F.col("weight").cast("double")).alias("W")))  # one-row frames
+    g = gene_sums(expr, weights, cell, with_cross=True).crossJoin(F.broadcast(one))
+    mean = F.col("s") / F.col("n")
+    ss = F.col("q") - F.col("s") * mean
+    num_i = F.col("sij") - mean * (F.col("rx") + F.col("cx")) + mean * mean * F.col("W")
+    num_c = F.col("x2") - 2 * F.col("sij")
+    return g.select("gene", F.try_divide(F.col("n") / F.col("W") * num_i, ss).alias("moran_i"),
+                    F.try_divide(F.col("n") / (2 * F.col("W")) * num_c, ss).alias("geary_c"))
+
+
+def gene_sums(expr: DataFrame, weights: DataFrame, cell: str = "cell_id", with_cross: bool = False) -> DataFrame:
+    """Everything centred statistics need, in one pass over the stored values.
+
+    (gene, s, q, rx, cx, x2[, sij]): sum x, sum x^2, row- and column-weighted
+    sums, weighted squares and the cross term sum w_ij x_i x_j.
+    """
     w = weights.select("src", "dst", F.col("weight").cast("double").alias("weight"))
-    total = w.agg(F.sum("weight").alias("W"))
-    row = w.groupBy(F.col("src").alias(cell)).agg(F.sum("weight").alias("r"))
-    col = w.groupBy(F.col("dst").alias(cell)).agg(F.sum("weight").alias("c"))
+    ends = F.explode(F.array(F.struct(F.col("src").alias(cell), F.col("weight").alias("r"), F.lit(0.0).alias("c")),
+                             F.struct(F.col("dst").alias(cell), F.lit(0.0).alias("r"), F.col("weight").alias("c")))).alias("_e")
+    deg = w.select(ends).groupBy(f"_e.{cell}").agg(F.sum("_e.r").alias("r"), F.sum("_e.c").alias("c"))
     x = expr.select(cell, "gene", F.col("value").cast("double").alias("value"))
-    own = (x.join(row, cell, "left").join(col, cell, "left")
-           .groupBy("gene").agg(F.sum(F.col("value") * F.coalesce("r", F.lit(0.0))).alias("rx"),
-                                F.sum(F.col("value") * F.coalesce("c", F.lit(0.0))).alias("cx"),
-                                F.sum(F.col("value") * F.col("value") * (F.coalesce("r", F.lit(0.0)) + F.coalesce("c", F.lit(0.0)))).alias("x2")))
-    cross = (lagged(x, w, cell).withColumnRenamed("src", cell).join(x, [cell, "gene"])
-             .groupBy("gene").agg(F.sum(F.col("lag") * F.col("value")).alias("sij")))
-    m = gene_moments(x, n).select("gene", "n", "mean", (F.col("var_pop") * F.col("n")).alias("ss"))
-    j = m.join(own, "gene").join(cross, "gene", "left").crossJoin(F.broadcast(total))  # one row
-    sij = F.coalesce("sij", F.lit(0.0))
-    num_i = sij - F.col("mean") * (F.col("rx") + F.col("cx")) + F.col("mean") * F.col("mean") * F.col("W")
-    num_c = F.col("x2") - 2 * sij
-    return j.select("gene", F.try_divide(F.col("n") / F.col("W") * num_i, F.col("ss")).alias("moran_i"),
-                    F.try_divide(F.col("n") / (2 * F.col("W")) * num_c, F.col("ss")).alias("geary_c"))
+    v, r, c = F.col("value"), F.coalesce("r", F.lit(0.0)), F.coalesce("c", F.lit(0.0))
+    sums = [F.sum(v).alias("s"), F.sum(v * v).alias("q"), F.sum(v * r).alias("rx"), F.sum(v * c).alias("cx"), F.sum(v * v * (r + c)).alias("x2")]
+    j = x.join(deg, cell, "left")
+    if with_cross:
+        j = j.join(lagged(x, w, cell).withColumnRenamed("src", cell), [cell, "gene"], "left")
+        sums.append(F.coalesce(F.sum(v * F.col("lag")), F.lit(0.0)).alias("sij"))
+    return j.groupBy("gene").agg(*sums)
 
 
 def knn_weights(cells: DataFrame, k: int, **kw) -> DataFrame:
@@ -138,9 +147,8 @@ def nhood_enrichment(edges: DataFrame, cells: DataFrame, id_col: str = "cell_id"
 
 def co_occurrence(cells: DataFrame, step: float, n_steps: int, id_col: str = "cell_id", label: str = "cell_type") -> DataFrame:
     """P(type b within an annulus of type a) / P(type b within it), per annulus."""
-    p = radius_pairs(cells, step * n_steps, id_col)
-    t = cells.select(id_col, label)
-    j = (p.join(t.select(F.col(id_col).alias("src"), F.col(label).alias("ta")), "src").join(t.select(F.col(id_col).alias("dst"), F.col(label).alias("tb")), "dst")
+    p = radius_pairs(cells, step * n_steps, id_col, carry=[label])
+    j = (p.select("dist", F.col(f"src_{label}").alias("ta"), F.col(f"dst_{label}").alias("tb"))
          .withColumn("ring", F.least(F.floor(F.col("dist") / step), F.lit(n_steps - 1)).cast("int")))
     half = j.groupBy("ring", "ta", "tb").agg(F.count(F.lit(1)).alias("n"))
     both = half.unionByName(half.select("ring", F.col("tb").alias("ta"), F.col("ta").alias("tb"), "n"))
@@ -155,9 +163,8 @@ def co_occurrence(cells: DataFrame, step: float, n_steps: int, id_col: str = "ce
 def ripley_l(cells: DataFrame, step: float, n_steps: int, area: float, id_col: str = "cell_id", label: str = "cell_type") -> DataFrame:
     """L(r) = sqrt(K / pi) per type for r = step..step*n_steps, K from same-type pairs."""
     size = cells.groupBy(label).agg(F.count(F.lit(1)).cast("double").alias("k"))
-    t = cells.select(id_col, label)
-    p = radius_pairs(cells, step * n_steps, id_col)
-    j = (p.join(t.select(F.col(id_col).alias("src"), F.col(label).alias("ta")), "src").join(t.select(F.col(id_col).alias("dst"), F.col(label).alias("tb")), "dst")
+    p = radius_pairs(cells, step * n_steps, id_col, carry=[label])
+    j = (p.select("dist", F.col(f"src_{label}").alias("ta"), F.col(f"dst_{label}").alias("tb"))
          .where(F.col("ta") == F.col("tb")).withColumn("ring", F.greatest(F.ceil(F.col("dist") / step), F.lit(1)).cast("int")))
     h = j.groupBy(F.col("ta").alias(label), "ring").agg(F.count(F.lit(1)).alias("n"))
     # cumulate over at most n_steps rings: ring -> every r at or beyond it
@@ -228,12 +235,7 @@ def coexpression(expr: DataFrame, cells: DataFrame, edges: DataFrame, cell: str
     n = cells.agg(F.count(F.lit(1)).alias("n"))
     w = edges.select("src", "dst", F.lit(1.0).alias("weight"))
     x = expr.select(cell, "gene", F.col("value").cast("double").alias("value"))
-    mean = x.groupBy("gene").agg(F.sum("value").alias("s")).crossJoin(F.broadcast(n)).select("gene", (F.col("s") / F.col("n")).alias("m"))
-    outd = w.groupBy(F.col("src").alias(cell)).agg(F.sum("weight").alias("r"))
-    ind = w.groupBy(F.col("dst").alias(cell)).agg(F.sum("weight").alias("c"))
-    rs = x.join(outd, cell).groupBy("gene").agg(F.sum(F.col("value") * F.col("r")).alias("rx"))
-    cs = x.join(ind, cell).groupBy("gene").agg(F.sum(F.col("value") * F.col("c")).alias("cx"))
-    g = mean.join(rs, "gene", "left").join(cs, "gene", "left").fillna(0.0, ["rx", "cx"])
+    g = gene_sums(x, w, cell).crossJoin(F.broadcast(n)).select("gene", (F.col("s") / F.col("n")).alias("m"), "rx", "cx")  # one row
     tot = w.agg(F.sum("weight").alias("W"))
     lag = lagged(x, w, cell).withColumnRenamed("src", cell).select(cell, F.col("gene").alias("gene_b"), "lag")
     s = (x.join(lag, cell).groupBy(F.col("gene").alias("gene_a"), "gene_b").agg(F.sum(F.col("value") * F.col("lag")).alias("s")))

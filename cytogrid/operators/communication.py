@@ -5,7 +5,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cytogrid.operators.autocorrelation import lagged
+from cytogrid.operators.autocorrelation import gene_sums, lagged
 from cytogrid.operators.expression import gene_moments
 from cytogrid.operators.spatial import radius_pairs
 
@@ -89,11 +89,9 @@ def bivariate_moran(expr: DataFrame, lr: DataFrame, weights: DataFrame, cells: D
     one = weights.agg(F.sum("weight").alias("W"), F.sum(F.col("weight") * F.col("weight")).alias("W2"))
     genes = lr.select(F.explode(F.array("ligand", "receptor")).alias("gene")).distinct()
     x = expr.join(genes, "gene", "left_semi").select(cell, "gene", F.col("value").cast("double").alias("value"))
-    row = weights.groupBy(F.col("src").alias(cell)).agg(F.sum("weight").alias("r"))
-    col = weights.groupBy(F.col("dst").alias(cell)).agg(F.sum("weight").alias("c"))
-    edge = (x.join(row, cell, "left").join(col, cell, "left").groupBy("gene").agg(
-        F.sum(F.col("value") * F.coalesce("r", F.lit(0.0))).alias("rx"), F.sum(F.col("value") * F.coalesce("c", F.lit(0.0))).alias("cx")))
-    g = gene_moments(x, n).select("gene", "n", "mean", (F.col("var_pop") * F.col("n")).alias("ss")).join(edge, "gene")
+    mean = F.col("s") / F.col("n")
+    g = gene_sums(x, weights, cell).crossJoin(F.broadcast(n)).select(  # one row
+        "gene", mean.alias("mean"), (F.col("q") - F.col("s") * mean).alias("ss"), "rx", "cx")
     lag = lagged(x, weights, cell).select(F.col("src").alias(cell), F.col("gene").alias("receptor"), "lag")
     s = (x.select(cell, F.col("gene").alias("ligand"), "value").join(lr.select("ligand", "receptor"), "ligand").join(lag, [cell, "receptor"])
          .groupBy("ligand", "receptor").agg(F.sum(F.col("value") * F.col("lag")).alias("s")))

@@ -33,25 +33,28 @@ def _split_hot_bins(probe: DataFrame, build: DataFrame, keys: list[str], rows: i
 
 
 def radius_pairs(points: DataFrame, radius: float, id_col: str = "cell_id",
-                 x: str = "x", y: str = "y", bin_rows: int = BIN_ROWS) -> DataFrame:
-    """Unordered pairs at distance <= radius: (src < dst, dist).
+                 x: str = "x", y: str = "y", bin_rows: int = BIN_ROWS, carry: Sequence[str] = ()) -> DataFrame:
+    """Unordered pairs at distance <= radius: (src < dst, dist, src_/dst_ of ``carry``).
 
     Bins of side ``radius``; each point probes its own bin and four forward
     neighbours, so a pair is generated once instead of twice.
     """
-    p = points.select(F.col(id_col).alias("id"), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py"))
+    p = points.select(F.col(id_col).alias("id"), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py"),
+                      *[F.col(c).alias(f"p_{c}") for c in carry])
     binned = p.withColumn("gx", _bin(F.col("px"), radius)).withColumn("gy", _bin(F.col("py"), radius))
     steps = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"))
                       for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
     probe = (binned.withColumn("st", F.explode(steps))
-             .select(F.col("id").alias("a"), F.col("px").alias("ax"), F.col("py").alias("ay"),
+             .select(F.col("id").alias("a"), F.col("px").alias("ax"), F.col("py").alias("ay"), *[F.col(f"p_{c}").alias(f"a_{c}") for c in carry],
                      (F.col("gx") + F.col("st.i")).alias("gx"), (F.col("gy") + F.col("st.j")).alias("gy"),
                      ((F.col("st.i") == 0) & (F.col("st.j") == 0)).alias("own")))
     probe, build = _split_hot_bins(probe, binned, ["gx", "gy"], bin_rows)
     d2 = (F.col("px") - F.col("ax")) * (F.col("px") - F.col("ax")) + (F.col("py") - F.col("ay")) * (F.col("py") - F.col("ay"))
     pairs = (probe.join(build, ["gx", "gy", "_s"])
              .where((~F.col("own") | (F.col("a") < F.col("id"))) & (d2 <= F.lit(float(radius) * float(radius)))))
-    return pairs.select(F.least("a", "id").alias("src"), F.greatest("a", "id").alias("dst"), F.sqrt(d2).alias("dist"))
+    first = F.col("a") < F.col("id")
+    along = [(F.when(first, F.col(f"{u}_{c}")).otherwise(F.col(f"{v}_{c}"))).alias(f"{end}_{c}") for c in carry for end, u, v in (("src", "a", "p"), ("dst", "p", "a"))]
+    return pairs.select(F.least("a", "id").alias("src"), F.greatest("a", "id").alias("dst"), F.sqrt(d2).alias("dist"), *along)
 
 
 def window_join(queries: DataFrame, points: DataFrame, radius: float, shape: str = "disc",

@@ -20,17 +20,17 @@ def silhouette(points: DataFrame, label: str = "cell_type", dims: tuple[str, ...
     """(id, s) silhouette with squared Euclidean distance, in closed form.
 
     mean |p - q|^2 over a cluster follows from its size, mean and mean square,
-    so the work is points x clusters, not points x points.
+    so each point folds over one small array of cluster summaries: no point
+    pairs, no shuffle beyond the summaries.
     """
     sq = sum((F.col(c) * F.col(c) for c in dims), F.lit(0.0))
-    stats = points.groupBy(F.col(label).alias("_c")).agg(F.count(F.lit(1)).alias("_n"), F.avg(sq).alias("_q"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(dims)])
-    p = points.select(id_col, F.col(label).alias("_l"), *dims).crossJoin(stats)  # points x clusters
-    dot = sum((F.col(c) * F.col(f"_m{i}") for i, c in enumerate(dims)), F.lit(0.0))
-    mean = sq - 2 * dot + F.col("_q")
-    own = F.col("_l") == F.col("_c")
-    p = p.select(id_col, F.when(own, mean * F.col("_n") / F.greatest(F.col("_n") - 1, F.lit(1))).alias("_a"), F.when(~own, mean).alias("_b"), F.when(own, F.col("_n")).alias("_k"))
-    g = p.groupBy(id_col).agg(F.max("_a").alias("a"), F.min("_b").alias("b"), F.max("_k").alias("k"))
-    return g.select(id_col, F.when(F.col("k") == 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("s"))
+    stats = points.groupBy(F.col(label).alias("l")).agg(F.count(F.lit(1)).alias("n"), F.avg(sq).alias("q"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(dims)])
+    table = stats.agg(F.collect_list(F.struct(*stats.columns)).alias("_cl"))  # one entry per cluster
+    mean = lambda c: sq - 2 * sum((F.col(x) * c[f"m{i}"] for i, x in enumerate(dims)), F.lit(0.0)) + c["q"]
+    own = F.filter("_cl", lambda c: c["l"] == F.col(label))[0]
+    rest = F.array_min(F.transform(F.filter("_cl", lambda c: c["l"] != F.col(label)), mean))
+    p = points.crossJoin(F.broadcast(table)).select(id_col, (mean(own) * own["n"] / F.greatest(own["n"] - 1, F.lit(1))).alias("a"), rest.alias("b"), own["n"].alias("k"))  # one row
+    return p.select(id_col, F.when(F.col("k") == 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("s"))
 
 
 def kmeans(points: DataFrame, k: int, dims: tuple[str, ...] = ("x", "y"), seed: int = 0, id_col: str = "cell_id") -> DataFrame:
@@ -79,10 +79,19 @@ def majority_label(df: DataFrame, group: str, label: str) -> DataFrame:
 
 
 def soft_assignment(points: DataFrame, centres: DataFrame, dims: tuple[str, ...] = ("x", "y"), alpha: float = 1.0, id_col: str = "cell_id") -> DataFrame:
-    """(id, cluster, q, p): Student-t membership and its sharpened target distribution."""
-    c = centres.select("cluster", *[F.col(x).alias(f"_c{x}") for x in dims])
-    d2 = sum(((F.col(x) - F.col(f"_c{x}")) * (F.col(x) - F.col(f"_c{x}")) for x in dims), F.lit(0.0))
-    u = points.select(id_col, *dims).crossJoin(c).select(id_col, "cluster", F.pow(1 + d2 / alpha, F.lit(-(alpha + 1) / 2)).alias("u"))  # points x clusters
-    q = u.join(u.groupBy(id_col).agg(F.sum("u").alias("s")), id_col).select(id_col, "cluster", (F.col("u") / F.col("s")).alias("q"))
-    f = q.join(q.groupBy("cluster").agg(F.sum("q").alias("t")), "cluster").withColumn("f", F.col("q") * F.col("q") / F.col("t"))
-    return f.join(f.groupBy(id_col).agg(F.sum("f").alias("g")), id_col).select(id_col, "cluster", "q", (F.col("f") / F.col("g")).alias("p"))
+    """(id, cluster, q, p): Student-t membership and its sharpened target distribution.
+
+    Memberships of a point live in one array; only per-cluster totals shuffle.
+    """
+    table = centres.agg(F.collect_list(F.struct("cluster", *dims)).alias("_c"))  # one entry per cluster
+    d2 = lambda c: sum(((F.col(x) - c[x]) * (F.col(x) - c[x]) for x in dims), F.lit(0.0))
+    total = lambda a, k: F.aggregate(a, F.lit(0.0), lambda s, c: s + c[k])
+    u = points.select(id_col, *dims).crossJoin(F.broadcast(table)).select(id_col, F.transform("_c", lambda c: F.struct(  # one row
+        c["cluster"].alias("cluster"), F.pow(1 + d2(c) / alpha, F.lit(-(alpha + 1) / 2)).alias("u"))).alias("_u"))
+    q = u.withColumn("_s", total(F.col("_u"), "u")).select(id_col, F.transform("_u", lambda c: F.struct(c["cluster"].alias("cluster"), (c["u"] / F.col("_s")).alias("q"))).alias("_q"))
+    mass = q.select(F.explode("_q").alias("c")).groupBy("c.cluster").agg(F.sum("c.q").alias("t"))
+    by = mass.agg(F.map_from_entries(F.collect_list(F.struct("cluster", "t"))).alias("_t"))
+    f = q.crossJoin(F.broadcast(by)).select(id_col, F.transform("_q", lambda c: F.struct(  # one row
+        c["cluster"].alias("cluster"), c["q"].alias("q"), (c["q"] * c["q"] / F.col("_t")[c["cluster"]]).alias("f"))).alias("_f"))
+    return (f.withColumn("_g", total(F.col("_f"), "f")).select(id_col, "_g", F.explode("_f").alias("c"))
+            .select(id_col, F.col("c.cluster").alias("cluster"), F.col("c.q").alias("q"), (F.col("c.f") / F.col("_g")).alias("p")))

@@ -62,12 +62,8 @@ def radius_graph(spark, d):
   FROM cells a JOIN cells b ON a.cell_id < b.cell_id AND abs(a.y-b.y) <= 1.5 AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 2.25
   GROUP BY 1, 2""", "cells")
 def radius_pairs_cells(spark, d):
-    c = D.cells(spark, d)
-    t = c.select("cell_id", "cell_type")
-    e = S.radius_pairs(c, 1.5)
-    j = (e.join(t.select(F.col("cell_id").alias("src"), F.col("cell_type").alias("type_a")), "src")
-         .join(t.select(F.col("cell_id").alias("dst"), F.col("cell_type").alias("type_b")), "dst"))
-    return j.groupBy("type_a", "type_b").agg(F.count(F.lit(1)).alias("n"), r(F.avg("dist")).alias("mean_dist"))
+    e = S.radius_pairs(D.cells(spark, d), 1.5, carry=["cell_type"])
+    return e.groupBy(F.col("src_cell_type").alias("type_a"), F.col("dst_cell_type").alias("type_b")).agg(F.count(F.lit(1)).alias("n"), r(F.avg("dist")).alias("mean_dist"))
 
 
 @query("disparity_scores", "G5", f"WITH {EDGES_SQL} SELECT src, dst, alpha::DOUBLE AS alpha FROM scored WHERE alpha IS NOT NULL", "points")

@@ -26,32 +26,43 @@ def kernel_weights(cells: DataFrame, length: float, cutoff: float = 0.2, id_col:
     return directed(p.withColumn("weight", F.exp(-F.col("dist") * F.col("dist") / (2 * length * length))))
 
 
+def _halves(expr: DataFrame, lr: DataFrame, weights: DataFrame, cell: str):
+    """sent() and received(): (cell, ligand, receptor, value), one row per key.
+
+    Neighbour sums are taken once per (cell, gene); no cell-pair x ligand-pair
+    rows are formed.
+    """
+    keys = lr.select("ligand", "receptor")
+
+    def half(own: str, other: str) -> DataFrame:
+        a = expr.join(lr.select(F.col(own).alias("gene")).distinct(), "gene", "left_semi").select(cell, F.col("gene").alias(own), F.col("value").cast("double").alias("_x"))
+        b = expr.join(lr.select(F.col(other).alias("gene")).distinct(), "gene", "left_semi")
+        lag = lagged(b, weights, cell).select(F.col("src").alias(cell), F.col("gene").alias(other), "lag")
+        return a.join(keys, own).join(lag, [cell, other]).select(cell, "ligand", "receptor", (F.col("_x") * F.col("lag")).alias("value"))
+
+    return (lambda: half("ligand", "receptor")), (lambda: half("receptor", "ligand"))
+
+
 def signals(expr: DataFrame, lr: DataFrame, weights: DataFrame, cell: str = "cell_id") -> DataFrame:
     """(cell, ligand, receptor, sent, received): mass action over weighted neighbours.
 
-    sent = L_i * sum_j w_ij R_j, received = R_i * sum_j w_ij L_j. Neighbour sums
-    are taken once per (cell, gene); no cell-pair x ligand-pair rows are formed.
+    sent = L_i * sum_j w_ij R_j, received = R_i * sum_j w_ij L_j (symmetric w).
     """
-    genes = lr.select(F.explode(F.array("ligand", "receptor")).alias("gene")).distinct()
-    x = expr.join(genes, "gene", "left_semi").select(cell, "gene", F.col("value").cast("double").alias("value"))
-    lag = lagged(x, weights, cell).select(F.col("src").alias(cell), "gene", "lag")
-    keys = lr.select("ligand", "receptor")
-    own = lambda g: x.select(cell, F.col("gene").alias(g), F.col("value").alias("_x"))
-    nbr = lambda g: lag.select(cell, F.col("gene").alias(g), "lag")
-    sent = (own("ligand").join(keys, "ligand").join(nbr("receptor"), [cell, "receptor"])
-            .select(cell, "ligand", "receptor", (F.col("_x") * F.col("lag")).alias("sent"), F.lit(0.0).alias("received")))
-    got = (own("receptor").join(keys, "receptor").join(nbr("ligand"), [cell, "ligand"])
-           .select(cell, "ligand", "receptor", F.lit(0.0).alias("sent"), (F.col("_x") * F.col("lag")).alias("received")))
-    return sent.unionByName(got).groupBy(cell, "ligand", "receptor").agg(F.sum("sent").alias("sent"), F.sum("received").alias("received"))
+    sent, received = _halves(expr, lr, weights, cell)
+    u = sent().select(cell, "ligand", "receptor", F.col("value").alias("sent"), F.lit(0.0).alias("received")).unionByName(
+        received().select(cell, "ligand", "receptor", F.lit(0.0).alias("sent"), F.col("value").alias("received")))
+    return u.groupBy(cell, "ligand", "receptor").agg(F.sum("sent").alias("sent"), F.sum("received").alias("received"))
 
 
-def pair_totals(sig: DataFrame) -> DataFrame:
-    return sig.groupBy("ligand", "receptor").agg(F.sum("sent").alias("total")).withColumn("pair", F.concat_ws("-", "ligand", "receptor"))
+def pair_totals(expr: DataFrame, lr: DataFrame, weights: DataFrame, cell: str = "cell_id") -> DataFrame:
+    """Total signal per pair; only the sending half is computed."""
+    sent, _ = _halves(expr, lr, weights, cell)
+    return sent().groupBy("ligand", "receptor").agg(F.sum("value").alias("total")).withColumn("pair", F.concat_ws("-", "ligand", "receptor"))
 
 
-def pathway_totals(sig: DataFrame, lr: DataFrame) -> DataFrame:
-    """Totals are taken per pair first; the pathway join is pairs-sized."""
-    return pair_totals(sig).join(lr.select("ligand", "receptor", "pathway_name"), ["ligand", "receptor"]).groupBy("pathway_name").agg(F.sum("total").alias("total"))
+def pathway_totals(totals: DataFrame, lr: DataFrame) -> DataFrame:
+    """Pathway sums of pair totals: a join of pair-sized tables."""
+    return totals.join(lr.select("ligand", "receptor", "pathway_name"), ["ligand", "receptor"]).groupBy("pathway_name").agg(F.sum("total").alias("total"))
 
 
 def cell_totals(sig: DataFrame, cells: DataFrame, cell: str = "cell_id", label: str = "cell_type") -> DataFrame:

@@ -25,7 +25,8 @@ def _split_hot_bins(probe: DataFrame, build: DataFrame, keys: list[str], rows: i
            .select(*keys, F.ceil(F.col("_n") / F.lit(rows)).cast("int").alias("_split")))
     split = F.coalesce(F.col("_split"), F.lit(1))
     b = (build.join(hot, keys, "left")
-         .withColumn("_s", F.pmod(F.xxhash64(*[c for c in build.columns if c not in keys]), split).cast("int"))
+         # the input partition spreads identical copies as well
+         .withColumn("_s", F.pmod(F.xxhash64(*[c for c in build.columns if c not in keys]) + F.spark_partition_id(), split).cast("int"))
          .drop("_split"))
     p = (probe.join(hot, keys, "left")
          .withColumn("_s", F.explode(F.sequence(F.lit(0), split - 1))).drop("_split"))

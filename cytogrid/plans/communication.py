@@ -30,12 +30,12 @@ def _sig(spark, d):
 
 @query("lr_pair_totals", "A18 C1 T1", FLOW + " SELECT ligand || '-' || receptor AS pair, sum(v) AS total FROM s GROUP BY 1 ORDER BY total DESC, pair LIMIT 10", "cells expr lr")
 def lr_pair_totals(spark, d):
-    return U.top_k(C.pair_totals(_sig(spark, d)).select("pair", "total"), [F.desc("total"), F.asc("pair")], 10)
+    return U.top_k(C.pair_totals(_x(spark, d), D.lr(spark, d), _w(spark, d)).select("pair", "total"), [F.desc("total"), F.asc("pair")], 10)
 
 
 @query("lr_pathway_totals", "A19 J16", FLOW + " SELECT pathway_name, sum(v) AS total FROM s JOIN lr USING (ligand, receptor) GROUP BY 1", "cells expr lr")
 def lr_pathway_totals(spark, d):
-    return C.pathway_totals(_sig(spark, d), D.lr(spark, d))
+    return C.pathway_totals(C.pair_totals(_x(spark, d), D.lr(spark, d), _w(spark, d)), D.lr(spark, d))
 
 
 @query("lr_cell_totals", "A20 C1", FLOW + """ SELECT c.cell_id, cell_type, coalesce(a.t, 0) AS sent, coalesce(b.t, 0) AS received FROM cells c LEFT JOIN (SELECT src, sum(v) AS t FROM s GROUP BY 1) a ON a.src = c.cell_id

@@ -69,14 +69,17 @@ def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("f.geometry.coordinates")[0], lambda v: F.struct(v[0].alias("x"), v[1].alias("y"))).alias("ring"))
 
 
-def write_tiles(df: DataFrame, path: str) -> None:
+def write_tiles(df: DataFrame, path: str, rows_per_file: int = 2_000_000) -> None:
     """One directory per tile; only the tiles present in ``df`` are replaced.
 
-    Rows are spread over each tile by hash, so a crowded tile is written by
-    several tasks; rerunning a tile is idempotent.
+    A tile is spread over as many writers as its row count asks for, so a
+    crowded one is no bottleneck; rerunning a tile is idempotent.
     """
-    (df.repartition("tile_row", "tile_col", F.pmod(F.xxhash64(*df.columns), F.lit(4)))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tile_row", "tile_col").parquet(path))
+    tile = ["tile_row", "tile_col"]
+    split = df.groupBy(*tile).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).alias("_n"))
+    part = F.pmod(F.xxhash64(*df.columns) + F.spark_partition_id(), F.col("_n"))
+    (df.join(split, tile).withColumn("_p", part).repartition(*tile, "_p").select(*df.columns)
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*tile).parquet(path))
 
 
 def missing_tiles(grid: DataFrame, path: str) -> DataFrame:

@@ -218,7 +218,7 @@ def neighbour_entropy_test(expr: DataFrame, cells: DataFrame, edges: DataFrame,
     observed = pmf(sides.unionByName(rest).where("c > 0"), weight="c")
     j = observed.withColumnRenamed("prob", "o").join(expected.withColumnRenamed("prob", "q"), ["gene", "value"], "full").crossJoin(F.broadcast(n))
     kl = F.when(F.coalesce("o", F.lit(0.0)) > 0, F.col("o") * F.log(F.col("o") / F.col("q"))).otherwise(0.0)
-    g = j.groupBy("gene").agg(F.sum(kl).alias("ent"), (F.sum((F.coalesce("q", F.lit(0.0)) > 1.0 / F.col("n")).cast("long")) - 1).alias("df"), F.first("n").alias("n"))
+    g = j.groupBy("gene").agg(F.sum(kl).alias("ent"), (F.sum((F.coalesce("q", F.lit(0.0)) * F.col("n") > 1 + 1e-9).cast("long")) - 1).alias("df"), F.first("n").alias("n"))
     return g.select("gene", "ent", (2 * F.col("n") * F.col("ent")).alias("g_stat"), "df")
 
 

@@ -130,12 +130,12 @@ def marker_stats(expr: DataFrame, cells: DataFrame, markers: DataFrame, cell: st
     per = (expr.join(markers.select("gene").distinct(), "gene", "left_semi").where(v > 0)
            .join(cells.select(cell, label), cell).groupBy("gene", F.col(label).alias("_t"))
            .agg(F.sum(v).alias("_s"), F.count(F.lit(1)).alias("_p")))
-    tot = per.groupBy("gene").agg(F.sum("_s").alias("_S"), F.sum("_p").alias("_P"))
     size = cells.groupBy(F.col(label).alias("cell_type")).agg(F.count(F.lit(1)).alias("n_cells"))
     all_n = cells.agg(F.count(F.lit(1)).alias("_N"))
-    j = (markers.select("cell_type", "gene").join(size, "cell_type").crossJoin(F.broadcast(all_n))
-         .join(tot, "gene").join(per.withColumnRenamed("_t", "cell_type").withColumnRenamed("_s", "s_in").withColumnRenamed("_p", "p_in"),
-                                 ["cell_type", "gene"], "left"))
+    mine = F.col("_t") == F.col("cell_type")
+    j = (markers.select("cell_type", "gene").join(per, "gene").groupBy("cell_type", "gene").agg(
+        F.sum(F.when(mine, F.col("_s"))).alias("s_in"), F.sum(F.when(mine, F.col("_p"))).alias("p_in"), F.sum("_s").alias("_S"), F.sum("_p").alias("_P"))
+        .join(size, "cell_type").crossJoin(F.broadcast(all_n)))  # one row
     s_in, p_in = F.coalesce("s_in", F.lit(0.0)), F.coalesce("p_in", F.lit(0))
     s_out, p_out = F.col("_S") - s_in, F.col("_P") - p_in
     n_in, n_out = F.col("n_cells"), F.col("_N") - F.col("n_cells")

@@ -58,7 +58,7 @@ def consensus_relabel(cells: DataFrame, threshold: float = 0.5, k: int = 15, sha
     votes = near.join(voter, "dst").groupBy("src", "_vote").agg(F.round(F.sum("_w"), 9).alias("_w"), F.min("rank").alias("_first"))
     win = votes.groupBy("src").agg(F.max_by(F.struct("_vote", "_w"), F.struct(F.col("_w"), -F.col("_first"))).alias("_best"),
                                    F.sum("_w").alias("_all"))
-    win = win.select(F.col("src").alias(id_col), F.col("_best._vote").alias("_to"), (F.col("_best._w") / F.col("_all")).alias("_share"))
+    win = win.select(F.col("src").alias(id_col), F.col("_best._vote").alias("_to"), F.round(F.col("_best._w") / F.col("_all"), 9).alias("_share"))
     moved = F.coalesce((F.col("_share") >= share) & (F.col("_to") != F.col(label)), F.lit(False))
     any_low = (F.col(conf) < threshold)
     return (cells.join(win, id_col, "left")

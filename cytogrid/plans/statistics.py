@@ -138,7 +138,7 @@ def abs_difference_pmf(spark, d):
 
 
 @query("neighbour_entropy", "M17", PMF_SQL + """ SELECT gene, round(sum(CASE WHEN coalesce(o, 0) > 0 THEN o * ln(o / q) ELSE 0 END), 6) AS ent,
-CAST(sum(CASE WHEN q > 1.0::DOUBLE / (SELECT count(*) FROM cells) THEN 1 ELSE 0 END) - 1 AS BIGINT) AS df FROM ex FULL JOIN ob USING (gene, v) GROUP BY 1""", "cells expr")
+CAST(sum(CASE WHEN q * (SELECT count(*) FROM cells) > 1 + 1e-9::DOUBLE THEN 1 ELSE 0 END) - 1 AS BIGINT) AS df FROM ex FULL JOIN ob USING (gene, v) GROUP BY 1""", "cells expr")
 def neighbour_entropy(spark, d):
     return A.neighbour_entropy_test(_x(spark, d), D.cells(spark, d), _knn(spark, d)).select("gene", r("ent").alias("ent"), "df")
 

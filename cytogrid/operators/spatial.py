@@ -24,10 +24,9 @@ def _split_hot_bins(probe: DataFrame, build: DataFrame, keys: list[str], rows: i
     hot = (build.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
            .select(*keys, F.ceil(F.col("_n") / F.lit(rows)).cast("int").alias("_split")))
     split = F.coalesce(F.col("_split"), F.lit(1))
-    b = (build.join(hot, keys, "left")
-         # the input partition spreads identical copies as well
-         .withColumn("_s", F.pmod(F.xxhash64(*[c for c in build.columns if c not in keys]) + F.spark_partition_id(), split).cast("int"))
-         .drop("_split"))
+    # hashed before the join: the input partition tells identical copies apart
+    b = (build.withColumn("_h", F.xxhash64(*[c for c in build.columns if c not in keys]) + F.spark_partition_id())
+         .join(hot, keys, "left").withColumn("_s", F.pmod("_h", split).cast("int")).drop("_split", "_h"))
     p = (probe.join(hot, keys, "left")
          .withColumn("_s", F.explode(F.sequence(F.lit(0), split - 1))).drop("_split"))
     return p, b

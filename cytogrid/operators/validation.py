@@ -5,6 +5,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from cytogrid.operators.ordering import top_per_group
 
+MAX_CLUSTERS = 10_000  # cluster summaries carried by every row
+
+
+def _bounded(table: DataFrame, array: str) -> DataFrame:
+    """Fail instead of copying an unbounded cluster table to every task."""
+    ok = F.when(F.size(array) > MAX_CLUSTERS, F.raise_error(F.lit("too many clusters"))).otherwise(F.lit(True))
+    return table.where(ok)
+
 
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.agg(F.avg((F.col(a) == F.col(b)).cast("double")).alias("agreement"))
@@ -25,7 +33,7 @@ def silhouette(points: DataFrame, label: str = "cell_type", dims: tuple[str, ...
     """
     sq = sum((F.col(c) * F.col(c) for c in dims), F.lit(0.0))
     stats = points.groupBy(F.col(label).alias("l")).agg(F.count(F.lit(1)).alias("n"), F.avg(sq).alias("q"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(dims)])
-    table = stats.agg(F.collect_list(F.struct(*stats.columns)).alias("_cl"))  # one entry per cluster
+    table = _bounded(stats.agg(F.collect_list(F.struct(*stats.columns)).alias("_cl")), "_cl")
     mean = lambda c: sq - 2 * sum((F.col(x) * c[f"m{i}"] for i, x in enumerate(dims)), F.lit(0.0)) + c["q"]
     own = F.filter("_cl", lambda c: c["l"] == F.col(label))[0]
     rest = F.array_min(F.transform(F.filter("_cl", lambda c: c["l"] != F.col(label)), mean))
@@ -83,7 +91,7 @@ def soft_assignment(points: DataFrame, centres: DataFrame, dims: tuple[str, ...]
 
     Memberships of a point live in one array; only per-cluster totals shuffle.
     """
-    table = centres.agg(F.collect_list(F.struct("cluster", *dims)).alias("_c"))  # one entry per cluster
+    table = _bounded(centres.agg(F.collect_list(F.struct("cluster", *dims)).alias("_c")), "_c")
     d2 = lambda c: sum(((F.col(x) - c[x]) * (F.col(x) - c[x]) for x in dims), F.lit(0.0))
     total = lambda a, k: F.aggregate(a, F.lit(0.0), lambda s, c: s + c[k])
     u = points.select(id_col, *dims).crossJoin(F.broadcast(table)).select(id_col, F.transform("_c", lambda c: F.struct(  # one row

@@ -77,8 +77,9 @@ def write_tiles(df: DataFrame, path: str, rows_per_file: int = 2_000_000) -> Non
     """
     tile = ["tile_row", "tile_col"]
     split = df.groupBy(*tile).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).alias("_n"))
-    part = F.pmod(F.xxhash64(*df.columns) + F.spark_partition_id(), F.col("_n"))
-    (df.join(split, tile).withColumn("_p", part).repartition(*tile, "_p").select(*df.columns)
+    # hashed before any shuffle: the input partition tells identical rows apart
+    salted = df.withColumn("_h", F.xxhash64(*df.columns) + F.spark_partition_id())
+    (salted.join(split, tile).withColumn("_p", F.pmod("_h", "_n")).repartition(*tile, "_p").select(*df.columns)
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*tile).parquet(path))
 
 

@@ -93,17 +93,24 @@ def count_by_type(queries: DataFrame, points: DataFrame, radius: float, id_col:
             .agg(F.sum("p_n").alias("n")))
 
 
-def _depth(points: DataFrame, k: int, min_x: float, min_y: float, side: float, n: int) -> tuple[int, bool]:
-    """Finest quadtree depth (cells hold a bounded number of distinct places) and whether places repeat."""
+def _occupancy(points: DataFrame, k: int, min_x: float, min_y: float, side: float, n: int) -> tuple[int, DataFrame, bool]:
+    """Finest quadtree depth, its occupied cells (fx, fy, n, ask) and whether crowded cells remain.
+
+    Cells are counted map-side. Only when a cell is crowded its distinct places
+    are looked at: many places ask for a deeper tree, stacked copies do not.
+    """
     limit = 16 * (k + 1)
     depth = max(0, min(24, math.ceil(math.log(max(n, 1) / (k + 1), 4)) + 2))
-    for _ in range(4):
-        cells = points.select(*_cell(depth, min_x, min_y, side), "px", "py").distinct()
-        fullest, places = cells.groupBy("fx", "fy").count().agg(F.max("count"), F.sum("count")).first()
-        if (fullest or 0) <= limit or depth >= 24:
-            break
-        depth = min(24, depth + max(1, math.ceil(math.log(fullest / limit, 4))))
-    return depth, (places or 0) < n
+    while True:
+        located = points.select("*", *_cell(depth, min_x, min_y, side))
+        occupied = cut(located.groupBy("fx", "fy").agg(F.count(F.lit(1)).alias("n"), F.max("ask").alias("ask")))
+        crowded = (occupied.agg(F.max("n")).first()[0] or 0) > limit
+        if not crowded or depth >= 24:
+            return depth, occupied, crowded
+        places = located.select("fx", "fy", "px", "py").distinct().groupBy("fx", "fy").count().agg(F.max("count")).first()[0]
+        if places <= limit:
+            return depth, occupied, True
+        depth = min(24, depth + max(1, math.ceil(math.log(places / limit, 4))))
 
 
 def _cell(depth: int, min_x: float, min_y: float, side: float) -> list[Column]:
@@ -129,12 +136,11 @@ def knn(points: DataFrame, k: int, id_col: str = "cell_id", x: str = "x", y: str
     n = box[4]
     min_x, min_y = box[0] or 0.0, box[2] or 0.0
     side = max((box[1] or 0.0) - min_x, (box[3] or 0.0) - min_y, 1e-9) * (1 + 1e-9)
-    depth, stacked = _depth(p, k, min_x, min_y, side, n)
+    depth, occupied, crowded = _occupancy(p, k, min_x, min_y, side, n)
     p = p.select("*", *_cell(depth, min_x, min_y, side))
 
     levels = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("lv")
     up = lambda c: F.expr(f"shiftright({c}, {depth} - lv)")
-    occupied = p.groupBy("fx", "fy").agg(F.count(F.lit(1)).alias("n"), F.max("ask").alias("ask"))
     pyramid = occupied.select("*", levels).select("*", up("fx").alias("cx"), up("fy").alias("cy"))
     enough = (pyramid.groupBy("lv", "cx", "cy").agg(F.sum("n").alias("n"))
               .where((F.col("n") >= k + 1) | (F.col("lv") == 0)).drop("n"))
@@ -144,7 +150,7 @@ def knn(points: DataFrame, k: int, id_col: str = "cell_id", x: str = "x", y: str
     ring = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"))
                                for i in range(-2, 3) for j in range(-2, 3) if abs(i) + abs(j) < 4])).alias("st")
     served = p
-    if stacked:  # of points on one place only the k+1 smallest ids can be neighbours
+    if crowded:  # of points on one place only the k+1 smallest ids can be neighbours
         places = W.partitionBy("px", "py").orderBy("id")
         served = p.withColumn("_r", F.row_number().over(places)).where(F.col("_r") <= k + 1)
     candidates = (served.select("id", "px", "py", "fx", "fy", F.explode(F.array(*[F.lit(v) for v in in_use] or [F.lit(0)])).alias("lv"))

@@ -96,7 +96,11 @@ class Words:
 
 
 def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.concatenate([np.zeros(1, dtype=np.result_type(values.dtype, np.int64) if values.dtype.kind in "iub" else np.float64), np.cumsum(values)])
+    """Sums of the segments; of floats each by itself, so that a row's sum does not depend on the rows around it."""
+    if values.dtype.kind == "f":
+        n = len(offsets) - 1
+        return np.bincount(np.repeat(np.arange(n), np.diff(offsets)), values, minlength=n)
+    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
     return total[offsets[1:]] - total[offsets[:-1]]
 
 

@@ -196,7 +196,8 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Classifier
     if not total:
         return Classifier(labels, np.zeros(BUCKETS), 0.0)
     part = 1 << 30
-    chosen = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64(F.col(text)), F.lit(part)) < F.lit(int(min(1.0, sample / total) * part)))
+    chosen = (docs.select(F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h")).where(F.pmod("h", F.lit(part)) < F.lit(int(min(1.0, sample / total) * part)))
+              .distinct())  # copies of one text count once
 
     def features():
         def compute(texts):
@@ -206,8 +207,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Classifier
         return compute
 
     fields = [T.StructField("pattern", T.LongType()), T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.FloatType()))]
-    # the hash order keeps the rows the same from run to run; copies of one text count once
-    rows = map_text(chosen.distinct(), features, fields, "text", []).limit(2 * sample).toArrow().combine_chunks()
+    rows = map_text(chosen, features, fields, "text", ["h"]).limit(2 * sample).toArrow().sort_by("h").combine_chunks()  # alike in every run
     if not rows.num_rows:
         return Classifier(labels, np.zeros(BUCKETS), 0.0)
     buckets, values = (rows.column(c).combine_chunks() for c in ("buckets", "values"))

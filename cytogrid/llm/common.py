@@ -135,12 +135,33 @@ class TokenTable:
     text are those of its words in order. Nor does it merge an ASCII letter with
     the punctuation behind it, and it folds case: a word that ends in ENDS after
     such a letter is put together from its two parts, and ASCII parts are looked
-    up in lower case. At most about ``limit`` parts are remembered.
+    up in lower case. The first ``limit`` parts, which hold the frequent ones,
+    are remembered; later ones are encoded again for each batch.
     """
 
     def __init__(self, path: str, limit: int = 600_000):
         self.encoder, self.limit = tokenizer(path), limit
         self.known = worker_state().setdefault("token_tables", {}).setdefault(path, {})
+        self.dot = self.encoder.encode(".", add_special_tokens=False).ids
+
+    def encode(self, words: list[str]) -> dict[str, bytes]:
+        """Little-endian ids of each word. Plain Latin words go many to a call, with a full stop between them: it is a token of its own there."""
+        plain = [w for w in words if w.isalpha() and (w.isascii() or max(w) < "\u0250")] if len(self.dot) == 1 else []
+        out = {}
+        for i in range(0, len(plain), 100):
+            some = plain[i:i + 100]
+            ids = np.array(self.encoder.encode(".".join(some), add_special_tokens=False).ids, dtype="<u4")
+            stops = np.flatnonzero(ids == self.dot[0]).tolist() + [len(ids)]
+            raw, at = ids.tobytes(), 0
+            for word, stop in zip(some, stops):
+                out[word] = raw[4 * at:4 * stop]
+                at = stop + 1
+        rest = [w for w in words if w not in out]
+        for i in range(0, len(rest), 20_000):
+            some = rest[i:i + 20_000]
+            for word, found in zip(some, self.encoder.encode_batch(some, add_special_tokens=False)):
+                out[word] = np.array(found.ids, dtype="<u4").tobytes()
+        return out
 
     def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         core = pc.utf8_rtrim(words, ENDS)
@@ -150,14 +171,13 @@ class TokenTable:
         core = pc.if_else(pc.string_is_ascii(core), pc.ascii_lower(core), core).dictionary_encode()
         tail = tail.dictionary_encode()
         texts = core.dictionary.to_pylist() + tail.dictionary.to_pylist()
-        if len(self.known) > self.limit:
-            self.known.clear()
-        new = list({w: None for w in texts if w not in self.known})
-        for i in range(0, len(new), 20_000):
-            some = new[i:i + 20_000]
-            for word, found in zip(some, self.encoder.encode_batch(some, add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, dtype=np.uint32).tobytes()
-        ids = [self.known[w] for w in texts]
+        ids = list(map(self.known.get, texts))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        new = self.encode(list({texts[i]: None for i in missing}))
+        for i in missing:
+            ids[i] = new[texts[i]]
+        if len(self.known) < self.limit:
+            self.known.update(new)
         offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)])
         both = np.stack([core.indices.to_numpy(), tail.indices.to_numpy().astype(np.int64) + len(core.dictionary)], axis=1).reshape(-1)
         out, at = ragged(np.frombuffer(b"".join(ids), dtype=np.uint32), offsets, both)

@@ -139,7 +139,7 @@ class TokenTable:
     are remembered; later ones are encoded again for each batch.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 450_000):
         self.encoder, self.limit = tokenizer(path), limit
         self.known = worker_state().setdefault("token_tables", {}).setdefault(path, {})
         self.dot = self.encoder.encode(".", add_special_tokens=False).ids

@@ -128,8 +128,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     prints = durable(found.groupBy("fp").agg(F.min(doc_id).alias("first_id")))
     roots = components(links(prints.select("fp"))).withColumnRenamed("node", "fp")
     smallest = prints.join(roots, "fp").groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = durable(roots.join(smallest, "root"))
-    every = prints.join(labels, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"))
+    labels = roots.join(smallest, "root")
+    # written first: the last join then shuffles both sides for itself, and Spark splits the partition of a fingerprint that many rows share
+    every = durable(prints.join(labels, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id")))
     return found.join(every, "fp").select(*[c for c in found.columns if c != "fp"], "fp", "root", "component_id")
 
 

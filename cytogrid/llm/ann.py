@@ -4,7 +4,10 @@ Centroids come from a bounded sample by k-means with a penalty on full clusters.
 Every vector is written to the list of its nearest centroid and, near a boundary,
 to those of other centroids at nearly the same distance. Centroids are searched
 by a walk on an in-memory neighbour graph; a query reads the lists whose centroid
-lies within a ratio of its nearest one. The ratio is measured on the sample.
+lies within a ratio of its nearest one. The ratio is measured on the sample. The
+nearest FIRST lists are read before the others: the k-th distance in them bounds
+what the others return, and names the lists that cannot be passed over where
+vectors lie close together.
 Long lists are dealt out in parts, so identical vectors do not gather in a task.
 """
 from __future__ import annotations
@@ -25,6 +28,7 @@ REPLICAS = 4
 BOUNDARY = 1.05
 DEGREE = 16
 RECALL = 0.97
+FIRST = 8
 SLACK = 1.02
 
 
@@ -166,13 +170,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "
     index = fit(valid, k)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shared = spark.sparkContext.broadcast(index)  # at most MOST_LISTS centroids
+    # the index travels with the functions: at most MOST_LISTS centroids
 
     def post(batches):
         for b in batches:
             for i in range(0, b.num_rows, 1024):
                 part = b.slice(i, 1024)
-                written = shared.value.lists(matrix(part.column("v")))
+                written = index.lists(matrix(part.column("v")))
                 row = np.repeat(np.arange(part.num_rows), [len(w) for w in written])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(written).astype(np.int32)), *[part.column(c).take(pa.array(row)) for c in ("vec_id", "v")]], names=["list", "vec_id", "v"])
 
@@ -182,25 +186,32 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "
     parts = np.maximum(1, -(-length // PART))
     ratio = index.ratio
 
-    def probe(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                at, d = shared.value.search(matrix(part.column("v")), len(length))
-                # enough lists for k neighbours, whatever the ratio
-                some = np.cumsum(np.where(at >= 0, length[at], 0), axis=1) - length[at] < 4 * (k + 1)
-                row, col = np.nonzero((at >= 0) & ((d <= ratio * d[:, :1] + 1e-12) | some))
-                lists = at[row, col]
-                times = parts[lists]
-                piece = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                row = pa.array(np.repeat(row, times))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(lists, times).astype(np.int32)), pa.array(piece.astype(np.int32)), *[part.column(c).take(row) for c in ("vec_id", "v")]],
-                                                 names=["list", "part", "vec_id", "v"])
+    def probe(near: bool):
+        def run(batches):
+            for b in batches:
+                for i in range(0, b.num_rows, 512):
+                    part = b.slice(i, 512)
+                    at, d = index.search(matrix(part.column("v")), len(length))
+                    if near:  # the first lists, and as many as hold enough vectors
+                        wanted = np.cumsum(np.where(at >= 0, length[at], 0), axis=1) - length[at] < 4 * (k + 1)
+                        wanted[:, :FIRST] = True
+                    else:  # a neighbour within the bound is in a list at most twice the bound farther than the nearest: where few lists are, all are read
+                        limit = d[:, 0] + 2 * part.column("bound").to_numpy()
+                        limit = np.maximum(ratio * d[:, 0], np.where(limit <= np.median(d, axis=1), limit, 0)) + 1e-12
+                        wanted = (d <= limit[:, None]) & ~(np.cumsum(np.where(at >= 0, length[at], 0), axis=1) - length[at] < 4 * (k + 1))
+                        wanted[:, :FIRST] = False
+                    wanted &= at >= 0
+                    row, col = np.nonzero(wanted)
+                    lists = at[row, col]
+                    times = parts[lists]
+                    piece = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    row = pa.array(np.repeat(row, times))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(lists, times).astype(np.int32)), pa.array(piece.astype(np.int32)),
+                                                      *[part.column(c).take(row) for c in ("vec_id", "v", "bound")]], names=["list", "part", "vec_id", "v", "bound"])
+        return run
 
     of_list = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("list") + 1)
     dealt = postings.withColumn("part", F.pmod(F.xxhash64("vec_id"), of_list).cast("int"))
-    probes = asked.mapInArrow(probe, "list int, part int, vec_id long, v array<double>")
-
     def compare(ask: pa.Table, base: pa.Table) -> pa.Table:
         out = []
         if ask.num_rows and base.num_rows:
@@ -208,13 +219,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "
             x = matrix(base.column("v").combine_chunks())
             q_ids = ask.column("vec_id").to_numpy()
             qs = matrix(ask.column("v").combine_chunks())
+            bounds = ask.column("bound").to_numpy()
             for i in range(0, len(qs), 256):
                 q = qs[i:i + 256]
                 rough = square_distances(q, x)
                 rough[q_ids[i:i + 256, None] == ids[None]] = np.inf
                 last = np.partition(rough, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
-                row, col = np.nonzero((rough <= last[:, None] * (1 + 1e-9) + 1e-9) & np.isfinite(rough))
+                most = np.minimum(last, bounds[i:i + 256] ** 2)
+                row, col = np.nonzero((rough <= most[:, None] * (1 + 1e-9) + 1e-9) & np.isfinite(rough))
                 score = np.sqrt(((q[row] - x[col]) ** 2).sum(axis=1))
+                within = score <= bounds[i + row]
+                row, col, score = row[within], col[within], score[within]
                 order = np.lexsort((ids[col], score, row))
                 row, col, score = row[order], col[order], score[order]
                 first = np.searchsorted(row, row)
@@ -223,7 +238,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "
         done = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table([pa.array(c) for c in done], names=["query_id", "vec_id", "score"])
 
-    found = probes.groupBy("list", "part").cogroup(dealt.groupBy("list", "part")).applyInArrow(compare, "query_id long, vec_id long, score double")
-    one = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
-    return one.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def read(asking: DataFrame, near: bool) -> DataFrame:
+        probes = asking.select("vec_id", "v", "bound").mapInArrow(probe(near), "list int, part int, vec_id long, v array<double>, bound double")
+        return probes.groupBy("list", "part").cogroup(dealt.groupBy("list", "part")).applyInArrow(compare, "query_id long, vec_id long, score double")
+
+    def best(found: DataFrame) -> DataFrame:
+        one = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        return one.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
+
+    endless = F.lit(float("inf"))
+    first = durable(best(read(asked.withColumn("bound", endless), True)))
+    bounds = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count(F.lit(1)) == k, F.max("score")).alias("kth"))
+    rest = read(asked.join(bounds, "vec_id", "left").withColumn("bound", F.coalesce("kth", endless)), False)
+    return best(first.drop("rank").union(rest)).select("query_id", "rank", "vec_id", "score")

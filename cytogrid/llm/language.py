@@ -151,8 +151,8 @@ def predict(docs: DataFrame, model: Identifier, text: str = "text", keep: list[s
 
     Null text and text without letters give ``und`` with score 0. Ties go to the first language by name.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most TABLE n-grams for each language
-    return map_text(docs, lambda: lambda texts: shared.value.judge(texts), FIELDS, text, keep)
+    # the model travels with the function: at most TABLE n-grams for each language
+    return map_text(docs, lambda: model.judge, FIELDS, text, keep)
 
 
 def calibrate(predicted: DataFrame, share: float = 0.999, slack: float = 1.25) -> DataFrame:

@@ -225,5 +225,5 @@ def classify(docs: DataFrame, model: Classifier, text: str = "text", keep: list[
 
     A text without words (null included) scores 0. Repeated rows are judged alike.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights and at most 3 ** LABELLERS posteriors
-    return map_text(docs, lambda: lambda texts: shared.value.judge(texts, threshold), FIELDS, text, keep)
+    # the model travels with the function: BUCKETS weights and one posterior for each pattern seen
+    return map_text(docs, lambda: lambda texts: model.judge(texts, threshold), FIELDS, text, keep)

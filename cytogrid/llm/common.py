@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from cytogrid.session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 BROADCAST_ROWS = 100_000
 
 
@@ -139,7 +139,7 @@ class TokenTable:
     are remembered; later ones are encoded again for each batch.
     """
 
-    def __init__(self, path: str, limit: int = 450_000):
+    def __init__(self, path: str, limit: int = 400_000):
         self.encoder, self.limit = tokenizer(path), limit
         self.known = worker_state().setdefault("token_tables", {}).setdefault(path, {})
         self.dot = self.encoder.encode(".", add_special_tokens=False).ids

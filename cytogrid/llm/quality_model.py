@@ -10,6 +10,7 @@ judges every document.
 """
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -43,9 +44,8 @@ def echoes(w: Words, times: int = 1) -> np.ndarray:
     return segment_sums(same, w.offsets)
 
 
-def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
+def statistics(texts: pa.Array, w: Words) -> dict[str, np.ndarray]:
     """Shares and means that the labellers read; all are 0 for a text without words."""
-    w = Words(texts)
     number = lambda x: x.to_numpy(zero_copy_only=False).astype(np.float64)
     count = lambda pattern: w.sums(number(pc.count_substring_regex(w.words, pattern)))
     chars, n = w.sums(number(pc.utf8_length(w.words))), w.counts.astype(np.float64)
@@ -64,9 +64,9 @@ def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
             "echo_share": share(echoes(w), n), "stutter_share": share(echoes(w, 2), n), "variety": np.where(n < 50, 1.0, share(distinct, np.minimum(n, 400)))}
 
 
-def votes(texts: pa.Array) -> np.ndarray:
+def votes(texts: pa.Array, w: Words) -> np.ndarray:
     """One column per labeller: 2 good, 0 bad, 1 no vote. A text without words is bad by length and has no other vote."""
-    stats = statistics(texts)
+    stats = statistics(texts, w)
     out = np.ones((len(texts), LABELLERS), np.int64)
     for k, (_, name, low, high, good_from, good_to) in enumerate(RULES):
         x = stats[name]
@@ -81,7 +81,7 @@ def pattern(vote: np.ndarray) -> np.ndarray:
 
 def vote_patterns(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Kept columns and the vote pattern of every text (null text: empty)."""
-    return map_text(docs, lambda: lambda texts: {"pattern": pattern(votes(texts))}, [T.StructField("pattern", T.LongType(), False)], text, keep)
+    return map_text(docs, lambda: lambda texts: {"pattern": pattern(votes(texts, Words(texts)))}, [T.StructField("pattern", T.LongType(), False)], text, keep)
 
 
 @dataclass
@@ -125,33 +125,30 @@ def fit_labels(counts: dict[int, int], rounds: int = 100, prior: float = 0.8) ->
 
 # ------------------------------------------------------------------ scorer
 
-def shape(word: str) -> str:
-    """Letter case, digits and punctuation of a word, with runs of one kind shortened to two."""
-    out: list[str] = []
-    for c in word:
-        kind = ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c
-        if out[-2:] != [kind, kind]:
-            out.append(kind)
-    return "".join(out)
+def shapes(words: pa.Array) -> tuple[np.ndarray, list[str]]:
+    """Letter case, digits and punctuation of each word, with runs of one kind shortened to two: codes and distinct shapes."""
+    for kind, mark in ((r"\p{Lu}", "A"), (r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}\p{M}]", "a"), (r"\p{N}", "0"), ("a{3,}", "aa"), ("A{3,}", "AA"), ("0{3,}", "00")):
+        words = pc.replace_substring_regex(words, kind, mark)
+    found = words.dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False), [re.sub(r"(.)\1{2,}", r"\1\1", x, flags=re.S) for x in found.dictionary.to_pylist()]
 
 
-def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hashed(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse rows: offsets, buckets and weights. A word gives one feature for itself and one for its shape; a row's weights of each kind add up to 1.
     The share of words that repeat the word before is a feature of its own, in the last bucket."""
-    w = Words(texts)
-    words = w.words.to_pylist()
-    shapes: dict[str, int] = {}
-    own = np.fromiter((zlib.crc32(x.lower().encode("utf-8", "surrogatepass")) % (BUCKETS // 2) for x in words), np.int64, len(words))
-    form = np.fromiter((shapes.setdefault(s, zlib.crc32(s.encode("utf-8", "surrogatepass")) % (BUCKETS // 2 - 1)) for s in map(shape, words)), np.int64, len(words)) + BUCKETS // 2
+    bucket = lambda x, n: zlib.crc32(x.encode("utf-8", "surrogatepass")) % n
+    own = np.fromiter((bucket(x, BUCKETS // 2) for x in pc.utf8_lower(w.words).to_pylist()), np.int64, len(w.words))
+    code, distinct = shapes(w.words)
+    form = np.array([bucket(x, BUCKETS // 2 - 1) for x in distinct], dtype=np.int64)[code] + BUCKETS // 2
     rows = w.rows
     key = np.concatenate([rows * BUCKETS + own[w.codes], rows * BUCKETS + form[w.codes]])
     found, n = np.unique(key, return_counts=True)
     n = n.astype(np.float64)
-    found = np.concatenate([found, np.arange(len(texts)) * BUCKETS + BUCKETS - 1])
+    found = np.concatenate([found, np.arange(len(w.counts)) * BUCKETS + BUCKETS - 1])
     order = np.argsort(found, kind="stable")
     found, n = found[order], np.concatenate([n, echoes(w).astype(np.float64)])[order]
     row = found // BUCKETS
-    return np.searchsorted(row, np.arange(len(texts) + 1)), found % BUCKETS, n / np.maximum(w.counts, 1)[row]
+    return np.searchsorted(row, np.arange(len(w.counts) + 1)), found % BUCKETS, n / np.maximum(w.counts, 1)[row]
 
 
 def train(offsets: np.ndarray, buckets: np.ndarray, weights: np.ndarray, target: np.ndarray, rounds: int = 200, ridge: float = 1e-4, rate: float = 2.0) -> tuple[np.ndarray, float]:
@@ -177,10 +174,11 @@ class Classifier:
     bias: float
 
     def judge(self, texts: pa.Array, threshold: float) -> dict:
-        offsets, buckets, values = hashed(texts)
+        w = Words(texts)
+        offsets, buckets, values = hashed(w)
         score = 1 / (1 + np.exp(-np.clip(segment_sums(self.weights[buckets] * values, offsets) + self.bias, -50, 50)))
-        posterior = np.array([self.labels.posterior.get(k, self.labels.prior) for k in pattern(votes(texts)).tolist()])
-        n = Words(texts).counts
+        posterior = np.array([self.labels.posterior.get(k, self.labels.prior) for k in pattern(votes(texts, w)).tolist()])
+        n = w.counts
         score[n == 0] = 0.0
         return {"n_words": n, "posterior": posterior, "score": score, "kept": score >= threshold}
 
@@ -201,8 +199,9 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Classifier
 
     def features():
         def compute(texts):
-            offsets, buckets, values = hashed(texts)
-            return {"pattern": pattern(votes(texts)), "buckets": pa.ListArray.from_arrays(offsets.astype(np.int32), buckets.astype(np.int32)),
+            w = Words(texts)
+            offsets, buckets, values = hashed(w)
+            return {"pattern": pattern(votes(texts, w)), "buckets": pa.ListArray.from_arrays(offsets.astype(np.int32), buckets.astype(np.int32)),
                     "values": pa.ListArray.from_arrays(offsets.astype(np.int32), values.astype(np.float32))}
         return compute
 

@@ -110,11 +110,18 @@ def search_length(cells: DataFrame, p: float, start: float, end: float, tol: flo
 # ------------------------------------------------ interactions by type
 
 def interaction_matrix(edges: DataFrame, cells: DataFrame, id_col: str = "cell_id", label: str = "cell_type") -> DataFrame:
-    """Directed counts of edges between types (each undirected edge counts both ways)."""
+    """Directed counts of edges between all pairs of types (each undirected edge counts both ways), zeros included."""
     t = cells.select(id_col, label)
-    return (both_ways(edges.select("src", "dst")).join(t.select(F.col(id_col).alias("node"), F.col(label).alias("type_a")), "node")
+    found = (both_ways(edges.select("src", "dst")).join(t.select(F.col(id_col).alias("node"), F.col(label).alias("type_a")), "node")
             .join(t.select(F.col(id_col).alias("nbr"), F.col(label).alias("type_b")), "nbr")
             .groupBy("type_a", "type_b").agg(F.count(F.lit(1)).alias("n")))
+    return _type_pairs(cells, label).join(found, ["type_a", "type_b"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+
+
+def _type_pairs(cells: DataFrame, label: str) -> DataFrame:
+    """All ordered pairs of the types of ``cells``: the rows of a type x type table."""
+    types = cells.select(label).distinct()
+    return types.select(F.col(label).alias("type_a")).crossJoin(types.select(F.col(label).alias("type_b")))
 
 
 def nhood_enrichment(edges: DataFrame, cells: DataFrame, id_col: str = "cell_id", label: str = "cell_type") -> DataFrame:
@@ -146,7 +153,11 @@ def nhood_enrichment(edges: DataFrame, cells: DataFrame, id_col: str = "cell_id"
 
 
 def co_occurrence(cells: DataFrame, step: float, n_steps: int, id_col: str = "cell_id", label: str = "cell_type") -> DataFrame:
-    """P(type b within an annulus of type a) / P(type b within it), per annulus."""
+    """P(type b within an annulus of type a) / P(type b within it), per annulus and pair of types.
+
+    Pairs that never meet have n = 0 and ratio 0; the ratio is null where a type
+    has no pair at all in the annulus.
+    """
     p = radius_pairs(cells, step * n_steps, id_col, carry=[label])
     j = (p.select("dist", F.col(f"src_{label}").alias("ta"), F.col(f"dst_{label}").alias("tb"))
          .withColumn("ring", F.least(F.floor(F.col("dist") / step), F.lit(n_steps - 1)).cast("int")))
@@ -156,12 +167,14 @@ def co_occurrence(cells: DataFrame, step: float, n_steps: int, id_col: str = "ce
     ra = c.groupBy("ring", "type_a").agg(F.sum("n").alias("na"))
     rb = c.groupBy("ring", "type_b").agg(F.sum("n").alias("nb"))
     rt = c.groupBy("ring").agg(F.sum("n").alias("nt"))
-    out = c.join(ra, ["ring", "type_a"]).join(rb, ["ring", "type_b"]).join(rt, "ring")
-    return out.select("ring", "type_a", "type_b", "n", ((F.col("n") / F.col("na")) / (F.col("nb") / F.col("nt"))).alias("ratio"))
+    every = _type_pairs(cells, label).withColumn("ring", F.explode(F.sequence(F.lit(0), F.lit(n_steps - 1))))
+    out = (every.join(c, ["ring", "type_a", "type_b"], "left").join(ra, ["ring", "type_a"], "left").join(rb, ["ring", "type_b"], "left").join(rt, "ring", "left")
+           .withColumn("n", F.coalesce("n", F.lit(0)).cast("long")))
+    return out.select("ring", "type_a", "type_b", "n", F.try_divide(F.col("n") / F.col("na"), F.col("nb") / F.col("nt")).alias("ratio"))
 
 
 def ripley_l(cells: DataFrame, step: float, n_steps: int, area: float, id_col: str = "cell_id", label: str = "cell_type") -> DataFrame:
-    """L(r) = sqrt(K / pi) per type for r = step..step*n_steps, K from same-type pairs."""
+    """L(r) = sqrt(K / pi) per type for r = step..step*n_steps, K from same-type pairs; 0 before the first pair, null for a type of one cell."""
     size = cells.groupBy(label).agg(F.count(F.lit(1)).cast("double").alias("k"))
     p = radius_pairs(cells, step * n_steps, id_col, carry=[label])
     j = (p.select("dist", F.col(f"src_{label}").alias("ta"), F.col(f"dst_{label}").alias("tb"))
@@ -169,8 +182,9 @@ def ripley_l(cells: DataFrame, step: float, n_steps: int, area: float, id_col: s
     h = j.groupBy(F.col("ta").alias(label), "ring").agg(F.count(F.lit(1)).alias("n"))
     # cumulate over at most n_steps rings: ring -> every r at or beyond it
     up = h.withColumn("ring", F.explode(F.sequence(F.col("ring"), F.lit(n_steps)))).groupBy(label, "ring").agg(F.sum("n").alias("n"))
-    kk = F.lit(float(area)) * 2 * F.col("n") / (F.col("k") * (F.col("k") - 1))
-    return up.join(size, label).select(label, (F.col("ring") * step).alias("r"), F.sqrt(kk / math.pi).alias("l"))
+    kk = F.try_divide(F.lit(float(area)) * 2 * F.coalesce("n", F.lit(0)), F.col("k") * (F.col("k") - 1))
+    every = size.withColumn("ring", F.explode(F.sequence(F.lit(1), F.lit(n_steps))))
+    return every.join(up, [label, "ring"], "left").select(label, (F.col("ring") * step).alias("r"), F.sqrt(kk / math.pi).alias("l"))
 
 
 # ------------------------------------------- neighbour-difference entropy

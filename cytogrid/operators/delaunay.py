@@ -61,6 +61,45 @@ def _cells(box: float):
     return run
 
 
+def _chain(x: np.ndarray, y: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Positions of the convex hull's points in turn, points on its sides included."""
+    order = np.lexsort((ids, y, x)).tolist()
+    xs, ys = x.tolist(), y.tolist()
+
+    def half(run):
+        out = []
+        for i in run:
+            while len(out) > 1 and (xs[out[-1]] - xs[out[-2]]) * (ys[i] - ys[out[-2]]) - (ys[out[-1]] - ys[out[-2]]) * (xs[i] - xs[out[-2]]) < 0:
+                out.pop()
+            out.append(i)
+        return out
+    low, high = half(order), half(order[::-1])
+    return np.array(low[:-1] + high[:-1] if len(order) > 1 else order, dtype=np.int64)
+
+
+def hull_edges(points: DataFrame) -> DataFrame:
+    """Sides of the convex hull of (id, px, py): they are edges of every triangulation, however flat the rim is.
+
+    Hulls of partitions are merged in ever fewer partitions, so that the last
+    task sees hull points only.
+    """
+    def prune(batches):
+        rows = pd.concat(list(batches) or [pd.DataFrame({"id": [], "px": [], "py": []})])
+        keep = rows.iloc[np.unique(_chain(rows.px.to_numpy(float), rows.py.to_numpy(float), rows.id.to_numpy()))] if len(rows) else rows
+        yield keep.astype({"id": "int64"})
+
+    def sides(batches):
+        rows = pd.concat(list(batches) or [pd.DataFrame({"id": [], "px": [], "py": []})])
+        ids = rows.id.to_numpy()[_chain(rows.px.to_numpy(float), rows.py.to_numpy(float), rows.id.to_numpy())] if len(rows) else rows.id.to_numpy()
+        pairs = {(min(a, b), max(a, b)) for a, b in zip(ids.tolist(), np.roll(ids, -1).tolist()) if a != b}
+        yield pd.DataFrame({"src": [int(a) for a, _ in pairs], "dst": [int(b) for _, b in pairs]}, dtype="int64")
+
+    rows = points.select(F.col("id").cast("long").alias("id"), "px", "py").mapInPandas(prune, "id long, px double, py double")
+    for n in (64, 8):
+        rows = rows.repartition(n).mapInPandas(prune, "id long, px double, py double")
+    return rows.repartition(1).mapInPandas(sides, "src long, dst long")
+
+
 def delaunay_graph(points: DataFrame, k: int = 32, id_col: str = "cell_id", x: str = "x", y: str = "y", max_rounds: int = 30) -> DataFrame:
     """Exact Delaunay edges (src < dst, dist, weight = 1/dist) of distinct points.
 
@@ -105,6 +144,7 @@ def delaunay_graph(points: DataFrame, k: int = 32, id_col: str = "cell_id", x: s
         todo = left
     else:
         raise RuntimeError("Delaunay cells did not settle")
+    edges = edges.unionByName(hull_edges(p))
     und = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     at = lambda end: p.select(F.col("id").alias(end), F.col("px").alias(f"x_{end}"), F.col("py").alias(f"y_{end}"))
     d = F.sqrt((F.col("x_src") - F.col("x_dst")) ** 2 + (F.col("y_src") - F.col("y_dst")) ** 2)

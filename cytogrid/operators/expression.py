@@ -124,7 +124,8 @@ def marker_stats(expr: DataFrame, cells: DataFrame, markers: DataFrame, cell: st
 
     mean_in/out divide by all cells of the side, pos_mean_in/out by positive
     cells; fold and specificity add 1e-10 below. Sums are taken per (type of
-    the cell, gene) first, so no cell x marker-type product is formed.
+    the cell, gene) first, so no cell x marker-type product is formed. Markers
+    without a positive value and types without cells have zeros.
     """
     v = F.col("value").cast("double")
     per = (expr.join(markers.select("gene").distinct(), "gene", "left_semi").where(v > 0)
@@ -133,9 +134,10 @@ def marker_stats(expr: DataFrame, cells: DataFrame, markers: DataFrame, cell: st
     size = cells.groupBy(F.col(label).alias("cell_type")).agg(F.count(F.lit(1)).alias("n_cells"))
     all_n = cells.agg(F.count(F.lit(1)).alias("_N"))
     mine = F.col("_t") == F.col("cell_type")
-    j = (markers.select("cell_type", "gene").join(per, "gene").groupBy("cell_type", "gene").agg(
+    j = (markers.select("cell_type", "gene").distinct().join(per, "gene", "left").groupBy("cell_type", "gene").agg(
         F.sum(F.when(mine, F.col("_s"))).alias("s_in"), F.sum(F.when(mine, F.col("_p"))).alias("p_in"), F.sum("_s").alias("_S"), F.sum("_p").alias("_P"))
-        .join(size, "cell_type").crossJoin(F.broadcast(all_n)))  # one row
+        .join(size, "cell_type", "left").crossJoin(F.broadcast(all_n)))  # one row
+    j = j.fillna(0, ["n_cells", "_S", "_P"])
     s_in, p_in = F.coalesce("s_in", F.lit(0.0)), F.coalesce("p_in", F.lit(0))
     s_out, p_out = F.col("_S") - s_in, F.col("_P") - p_in
     n_in, n_out = F.col("n_cells"), F.col("_N") - F.col("n_cells")
@@ -170,7 +172,8 @@ def gene_set_score(expr: DataFrame, cells: DataFrame, sets: DataFrame, n_bins: i
     """(cell, set, score): mean over the set minus mean over all genes of the same expression bins.
 
     Deterministic form of the random-control score: controls are every gene
-    outside the set in bins the set touches.
+    outside the set in bins the set touches. Every cell has a row for every set
+    that shares a gene with the data; without reads in either side it scores 0.
     """
     n = cells.agg(F.count(F.lit(1)).alias("n"))
     ranked = global_rank(gene_moments(expr, n).select("gene", "mean"), ["mean", "gene"], "_r", "_g")
@@ -180,7 +183,9 @@ def gene_set_score(expr: DataFrame, cells: DataFrame, sets: DataFrame, n_bins: i
     weights = (in_set.select("set", "gene", F.lit(1).alias("_side")).unionByName(control.select("set", "gene", F.lit(-1).alias("_side"))))
     size = weights.groupBy("set").agg(F.sum((F.col("_side") == 1).cast("long")).alias("_a"), F.sum((F.col("_side") == -1).cast("long")).alias("_b"))
     part = F.when(F.col("_side") == 1, F.col("value") / F.col("_a")).otherwise(-F.col("value") / F.col("_b"))
-    return (expr.join(weights, "gene").join(size, "set").groupBy(cell, "set").agg(F.sum(part).alias("score")))
+    read = expr.join(weights, "gene").join(size, "set").groupBy(cell, "set").agg(F.sum(part).alias("score"))
+    every = cells.select(cell).distinct().crossJoin(size.select("set"))  # cells x sets: the table itself
+    return every.join(read, [cell, "set"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def welch_t(expr: DataFrame, cells: DataFrame, in_group: Column, cell: str = "cell_id") -> DataFrame:

@@ -194,6 +194,8 @@ def components(edges: DataFrame, nodes: DataFrame, id_col: str = "cell_id", max_
         cur = cut(small)
         if cur.exceptAll(before).isEmpty() and before.exceptAll(cur).isEmpty():
             break
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     root = cur.groupBy("dst").agg(F.min("src").alias("component"))
     return (nodes.select(F.col(id_col).alias("dst")).join(root, "dst", "left")
             .select(F.col("dst").alias(id_col), F.coalesce("component", "dst").alias("component")))
@@ -220,6 +222,8 @@ def bfs_levels(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -
         if here.isEmpty():
             break
         levels.append(here)
+    else:
+        raise RuntimeError(f"a shortest path is longer than {max_rounds - 1} steps")
     out = levels[0]
     for part in levels[1:]:
         out = out.unionByName(part)

@@ -261,13 +261,13 @@ def blend_tiles(values: DataFrame, uncovered: float = -10.0, grid: DataFrame | N
     return grid.join(out, ["y", "x"], "left").withColumn("v", F.coalesce("v", F.lit(float(uncovered))))
 
 
-def outlines(px: DataFrame, max_area: int = 5000) -> DataFrame:
-    """Longest closed outline per label as (label, ring, n_vertices).
+def outlines(px: DataFrame, max_area: int | None = None) -> DataFrame:
+    """Outline of the largest part of each label as (label, ring, n_vertices).
 
-    Labels above ``max_area`` pixels are the artefacts the size filter removes
-    first, so one group is at most a few thousand boundary segments.
+    Labels of any size are traced; ``max_area`` removes larger ones first, where
+    that is wanted. One group holds the boundary sides of one label.
     """
-    kept = remove_large(px, max_area)
+    kept = px if max_area is None else remove_large(px, max_area)
     inner = boundary(kept)
     # directed unit sides of boundary pixels whose outer neighbour differs, interior on the left
     sides = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(ax).alias("ax"), F.lit(ay).alias("ay"), F.lit(bx).alias("bx"), F.lit(by).alias("by"))

@@ -256,17 +256,20 @@ def _polygon_hits(points: DataFrame, shapes: DataFrame, bin_size: float, shape_i
 
 def points_in_polygons(points: DataFrame, shapes: DataFrame, bin_size: float, keys: Sequence[str], shape_id: str = "cell_id",
                        ring: str = "ring", x: str = "x", y: str = "y") -> DataFrame:
-    """(keys…, shape_id): every polygon strictly containing each point. ``keys`` identify a point."""
-    h = _polygon_hits(points, shapes, bin_size, shape_id, ring, x, y).where(F.col("shape_id").isNotNull())
-    g = h.groupBy(*keys, "shape_id").agg(F.sum("_hit").alias("_h"))
-    return g.where((F.col("_h") > 0) & (F.col("_h") % 2 == 1)).drop("_h")
+    """(keys…, shape_id): every polygon strictly containing a point. Rows with the same keys and place are one point."""
+    at = list(dict.fromkeys([*keys, x, y]))
+    h = _polygon_hits(points.select(*at).distinct(), shapes, bin_size, shape_id, ring, x, y).where(F.col("shape_id").isNotNull())
+    g = h.groupBy(*at, "shape_id").agg(F.sum("_hit").alias("_h"))
+    inside = g.where((F.col("_h") > 0) & (F.col("_h") % 2 == 1)).select(*keys, "shape_id")
+    return inside if {x, y} <= set(keys) else inside.distinct()
 
 
 def assign_first(points: DataFrame, shapes: DataFrame, bin_size: float, keys: Sequence[str], shape_id: str = "cell_id",
                  ring: str = "ring", x: str = "x", y: str = "y") -> DataFrame:
-    """One polygon per point: the smallest id of those containing it, NULL if none."""
-    h = _polygon_hits(points, shapes, bin_size, shape_id, ring, x, y)
-    g = h.groupBy(*keys, "shape_id").agg(F.sum("_hit").alias("_h"))
+    """One polygon per key: the smallest id of those containing it, NULL if none. Rows with the same keys and place are one point."""
+    at = list(dict.fromkeys([*keys, x, y]))
+    h = _polygon_hits(points.select(*at).distinct(), shapes, bin_size, shape_id, ring, x, y)
+    g = h.groupBy(*at, "shape_id").agg(F.sum("_hit").alias("_h"))
     odd = (F.col("_h") > 0) & (F.col("_h") % 2 == 1)
     return g.groupBy(*keys).agg(F.min(F.when(odd, F.col("shape_id"))).alias("shape_id"))
 

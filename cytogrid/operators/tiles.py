@@ -24,13 +24,15 @@ def _span(c: Column, core: float, halo: float, count: int) -> Column:
     lo = F.greatest(F.floor((c - halo) / core), F.lit(0))
     # tile i covers [i*core - halo, (i+1)*core + halo)
     hi = F.least(F.floor((c + halo) / core), F.lit(count - 1))
-    return F.sequence(lo, hi)
+    return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
 
 
 def replicate_to_tiles(points: DataFrame, core: float, halo: float, n_cols: int, n_rows: int, x: str = "x", y: str = "y") -> DataFrame:
     """Each point once per tile whose core + halo contains it, with an ``owned`` flag.
 
     A row-local explode (no join): at most 4 copies while halo < core / 2.
+    Points off the grid belong to a tile only as far as its halo reaches; beyond
+    that they are dropped.
     """
     own = (F.floor(F.col(x) / core) == F.col("tile_col")) & (F.floor(F.col(y) / core) == F.col("tile_row"))
     inside = ((F.col(x) >= F.col("tile_col") * core - halo) & (F.col(x) < (F.col("tile_col") + 1) * core + halo)

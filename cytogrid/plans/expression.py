@@ -113,10 +113,11 @@ def lr_table_filter(spark, d):
     return l.groupBy("pathway_name", "signaling_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("subsample_cells", "P20")
+@query("subsample_cells", "P20", """SELECT cell_type, count(*) AS n FROM cells WHERE ('0x' || substr(md5(cell_id::VARCHAR || ':42'), 1, 8))::BIGINT < 0.2 * 4294967296 GROUP BY 1""", "cells")
 def subsample_cells(spark, d):
-    """Seeded fraction of the cells; sampling is the feature."""
-    return D.cells(spark, d).sample(fraction=0.2, seed=42).groupBy("cell_type").agg(F.count(F.lit(1)).alias("n"))
+    """Seeded fraction of the cells by a hash of their id, whatever the partitioning; sampling is the feature."""
+    h = F.conv(F.substring(F.md5(F.concat(F.col("cell_id").cast("string"), F.lit(":42"))), 1, 8), 16, 10).cast("long")
+    return D.cells(spark, d).where(h < 0.2 * 2 ** 32).groupBy("cell_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ------------------------------------------------------- equi joins, ids
@@ -184,10 +185,11 @@ def count_matrix(spark, d):
 
 
 @query("count_matrix_wide", "A1 C11", """SELECT cell_id, CAST(count(*) FILTER (feature_name = 'AF') AS BIGINT) AS AF, CAST(count(*) FILTER (feature_name = 'AO') AS BIGINT) AS AO,
-CAST(count(*) FILTER (feature_name = 'NF') AS BIGINT) AS NF, CAST(count(*) FILTER (feature_name = 'RO') AS BIGINT) AS RO FROM transcripts GROUP BY 1""", "transcripts")
+CAST(count(*) FILTER (feature_name = 'NF') AS BIGINT) AS NF, CAST(count(*) FILTER (feature_name = 'NO') AS BIGINT) AS NO,
+CAST(count(*) FILTER (feature_name = 'RF') AS BIGINT) AS RF, CAST(count(*) FILTER (feature_name = 'RO') AS BIGINT) AS RO FROM transcripts GROUP BY 1""", "transcripts")
 def count_matrix_wide(spark, d):
     m = X.count_matrix(D.transcripts(spark, d))
-    return m.groupBy("cell_id").pivot("feature_name", ["AF", "AO", "NF", "RO"]).sum("n").fillna(0)
+    return m.groupBy("cell_id").pivot("feature_name", ["AF", "AO", "NF", "NO", "RF", "RO"]).sum("n").fillna(0)
 
 
 @query("value_counts", "A3 A4 F18", """SELECT cell_type, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM cells GROUP BY 1""", "cells")
@@ -360,20 +362,20 @@ def marker_availability(spark, d):
     return X.marker_availability(m.unionByName(extra), D.expr(spark, d))
 
 
-@query("markers_from_matrix", "M4 D10", """SELECT t AS cell_type, p_brand AS gene FROM (SELECT p_brand, 'SMALL' AS t, count(*) FILTER (p_type = 'SMALL' AND p_size > 40) AS n FROM part GROUP BY 1
-UNION ALL SELECT p_brand, 'LARGE', count(*) FILTER (p_type = 'LARGE' AND p_size > 40) FROM part GROUP BY 1) WHERE n > 0""")
+@query("markers_from_matrix", "M4 D10", """SELECT DISTINCT p_type AS cell_type, p_brand AS gene FROM part WHERE p_size > 40""")
 def markers_from_matrix(spark, d):
     p = D.table(spark, d, "part").withColumn("w", (F.col("p_size") > 40).cast("int"))
-    wide = p.groupBy(F.col("p_brand").alias("gene")).pivot("p_type", ["SMALL", "LARGE"]).sum("w")
-    return X.markers_from_matrix(wide, ["SMALL", "LARGE"])
+    wide = p.groupBy(F.col("p_brand").alias("gene")).pivot("p_type").sum("w")
+    return X.markers_from_matrix(wide, [c for c in wide.columns if c != "gene"])
 
 
 @query("gene_set_score", "M5", f"""WITH {MARKERS_SQL}, n AS (SELECT count(*) AS n FROM cells), g AS (SELECT gene, sum(value) / n AS mean FROM expr, n GROUP BY gene, n),
 b AS (SELECT gene, CAST(floor((row_number() OVER (ORDER BY mean, gene) - 1) * 5 / count(*) OVER ()) AS INT) AS bin FROM g),
 s AS (SELECT cell_type AS set, gene, bin FROM markers JOIN b USING (gene)),
 c AS (SELECT DISTINCT s.set, b.gene FROM s JOIN b USING (bin) WHERE (s.set, b.gene) NOT IN (SELECT (set, gene) FROM s)),
-w AS (SELECT set, gene, 1.0 / count(*) OVER (PARTITION BY set) AS w FROM s UNION ALL SELECT set, gene, -1.0 / count(*) OVER (PARTITION BY set) FROM c)
-SELECT cell_id, set, round(sum(value * w), 5) + 0::DOUBLE AS score FROM expr JOIN w USING (gene) GROUP BY 1, 2""", "cells expr")
+w AS (SELECT set, gene, 1.0 / count(*) OVER (PARTITION BY set) AS w FROM s UNION ALL SELECT set, gene, -1.0 / count(*) OVER (PARTITION BY set) FROM c),
+x AS (SELECT cell_id, set, sum(value * w) AS score FROM expr JOIN w USING (gene) GROUP BY 1, 2)
+SELECT c.cell_id, k.set, round(coalesce(x.score, 0), 5) + 0::DOUBLE AS score FROM cells c CROSS JOIN (SELECT DISTINCT set FROM s) k LEFT JOIN x ON x.cell_id = c.cell_id AND x.set = k.set""", "cells expr")
 def gene_set_score(spark, d):
     s = X.gene_set_score(D.expr(spark, d), D.cells(spark, d), _markers(spark, d), n_bins=5)
     return s.select("cell_id", "set", r("score", 5).alias("score"))

@@ -59,7 +59,8 @@ def _edges(spark, d):
     return cut(S.radius_pairs(D.cells(spark, d), 1.5))
 
 
-@query("interaction_matrix", "G20", f"WITH {EDGE15} SELECT * FROM inter", "cells")
+@query("interaction_matrix", "G20", f"""WITH {EDGE15}, t AS (SELECT DISTINCT cell_type FROM cells)
+SELECT a.cell_type AS type_a, b.cell_type AS type_b, coalesce(i.n, 0)::BIGINT AS n FROM t a CROSS JOIN t b LEFT JOIN inter i ON i.type_a = a.cell_type AND i.type_b = b.cell_type""", "cells")
 def interaction_matrix(spark, d):
     return A.interaction_matrix(_edges(spark, d), D.cells(spark, d))
 
@@ -78,7 +79,9 @@ def neighbourhood_enrichment(spark, d):
 
 @query("co_occurrence", "G20", """WITH p AS (SELECT a.cell_type AS ta, b.cell_type AS tb, CAST(least(floor(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))), 2) AS INT) AS ring
  FROM cells a JOIN cells b ON a.cell_id <> b.cell_id AND abs(a.y-b.y) <= 3 AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 9),
-c AS (SELECT ring, ta, tb, count(*) AS n FROM p GROUP BY 1, 2, 3)
+t AS (SELECT DISTINCT cell_type FROM cells),
+c AS (SELECT g.ring::INT AS ring, a.cell_type AS ta, b.cell_type AS tb, count(p.ring) AS n FROM t a CROSS JOIN t b CROSS JOIN range(0, 3) g(ring)
+ LEFT JOIN p ON p.ring = g.ring AND p.ta = a.cell_type AND p.tb = b.cell_type GROUP BY 1, 2, 3)
 SELECT ring, ta AS type_a, tb AS type_b, n, round((n / sum(n) OVER (PARTITION BY ring, ta)) / (sum(n) OVER (PARTITION BY ring, tb) / sum(n) OVER (PARTITION BY ring)), 6) AS ratio FROM c""", "cells")
 def co_occurrence(spark, d):
     return A.co_occurrence(D.cells(spark, d), 1.0, 3).withColumn("ratio", r("ratio"))
@@ -87,7 +90,7 @@ def co_occurrence(spark, d):
 @query("ripley_l", "G20", """WITH p AS (SELECT a.cell_type AS t, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS d FROM cells a JOIN cells b
  ON a.cell_id < b.cell_id AND a.cell_type = b.cell_type AND abs(a.y-b.y) <= 4 AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 16),
 k AS (SELECT cell_type, count(*)::DOUBLE AS k FROM cells GROUP BY 1)
-SELECT cell_type, r::DOUBLE AS r, round(sqrt(1600 * 2 * count(*) / (k * (k - 1)) / pi()), 6) AS l FROM k JOIN p ON t = cell_type JOIN range(1, 5) s(r) ON d <= r GROUP BY cell_type, k, r""", "cells")
+SELECT cell_type, r::DOUBLE AS r, round(sqrt(1600 * 2 * count(d) / (k * (k - 1)) / pi()), 6) AS l FROM k CROSS JOIN range(1, 5) s(r) LEFT JOIN p ON t = cell_type AND d <= r GROUP BY cell_type, k, r""", "cells")
 def ripley_l(spark, d):
     return A.ripley_l(D.cells(spark, d), 1.0, 4, 1600.0).select("cell_type", F.col("r").cast("double").alias("r"), r("l").alias("l"))
 

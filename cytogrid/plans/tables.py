@@ -76,10 +76,13 @@ def array_functions(spark, d):
                                                   F.array_position(e, F.array_max(e)).cast("int").alias("argmax"))
 
 
-@query("one_hot", "F9", """SELECT niche, CAST(sum(CASE WHEN cell_type = 'BUILDING' THEN 1 ELSE 0 END) AS BIGINT) AS is_building, CAST(sum(CASE WHEN cell_type = 'MACHINERY' THEN 1 ELSE 0 END) AS BIGINT) AS is_machinery FROM cells GROUP BY 1""", "cells")
+@query("one_hot", "F9", """SELECT niche, CAST(sum(CASE WHEN cell_type = 'AUTOMOBILE' THEN 1 ELSE 0 END) AS BIGINT) AS is_automobile, CAST(sum(CASE WHEN cell_type = 'BUILDING' THEN 1 ELSE 0 END) AS BIGINT) AS is_building,
+CAST(sum(CASE WHEN cell_type = 'FURNITURE' THEN 1 ELSE 0 END) AS BIGINT) AS is_furniture, CAST(sum(CASE WHEN cell_type = 'HOUSEHOLD' THEN 1 ELSE 0 END) AS BIGINT) AS is_household,
+CAST(sum(CASE WHEN cell_type = 'MACHINERY' THEN 1 ELSE 0 END) AS BIGINT) AS is_machinery FROM cells GROUP BY 1""", "cells")
 def one_hot(spark, d):
-    hot = lambda t: F.sum((F.col("cell_type") == t).cast("long")).alias(f"is_{t.lower()}")
-    return D.cells(spark, d).groupBy("niche").agg(hot("BUILDING"), hot("MACHINERY"))
+    cells = D.cells(spark, d)
+    types = [t.cell_type for t in cells.select("cell_type").distinct().orderBy("cell_type").collect()]  # one output column each
+    return cells.groupBy("niche").agg(*[F.sum((F.col("cell_type") == t).cast("long")).alias(f"is_{t.lower()}") for t in types])
 
 
 @query("category_codes", "W8", """SELECT niche, CAST(dense_rank() OVER (ORDER BY niche) - 1 AS BIGINT) AS code FROM (SELECT DISTINCT niche FROM cells)""", "cells")

@@ -28,13 +28,16 @@ def get_session(app: str = "cytogrid", master: str | None = None, **conf: str) -
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster shares for checkpoints.
 
-    ``spark.checkpoint.dir`` wins. Only when neither it nor a programmatic
-    checkpoint directory is set (local tests) a temporary one is created.
+    ``spark.checkpoint.dir`` wins. When neither it nor a programmatic checkpoint
+    directory is set, a local session gets a temporary one; on a cluster that
+    folder would be another one on each machine, so there it is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     current = sc.getCheckpointDir()
     if current is None:
+        if not configured and not (sc.master or "").split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="cytogrid-ckpt-"))
         current = sc.getCheckpointDir()
     return configured or current

@@ -5,8 +5,10 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cytogrid.functions.special import normal_log_sf, normal_sf
 from cytogrid.operators.autocorrelation import gene_sums, lagged
 from cytogrid.operators.expression import gene_moments
+from cytogrid.operators.multitest import adjust
 from cytogrid.operators.spatial import radius_pairs
 
 
@@ -208,3 +210,13 @@ def expression_by_type(expr: DataFrame, composition: DataFrame, spot: str = "cel
 def entropy(p: Column) -> Column:
     """Aggregate -sum p ln(p + 1e-10)."""
     return -F.sum(p * F.log(p + 1e-10))
+
+
+def significant_pairs(expr: DataFrame, lr: DataFrame, weights: DataFrame, cells: DataFrame, level: float = 0.05, cell: str = "cell_id") -> DataFrame:
+    """Global bivariate Moran of every pair with its one-sided p, log10 of p, BH-adjusted p and whether that is at most ``level``.
+
+    Pairs without variance have no test and are left out of the correction.
+    """
+    tested = bivariate_moran(expr, lr.select("ligand", "receptor").distinct(), weights, cells, cell).where(F.col("z").isNotNull())
+    tested = tested.select("ligand", "receptor", "r", "z", normal_sf(F.col("z")).alias("p"), (normal_log_sf(F.col("z")) / F.lit(math.log(10))).alias("log10_p"), F.concat_ws("~", "ligand", "receptor").alias("_pair"))
+    return adjust(tested, "bh", id_col="_pair").drop("_pair").withColumn("significant", F.col("p_adj") <= level)

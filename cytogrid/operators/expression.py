@@ -9,7 +9,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cytogrid.operators.ordering import exact_quantiles, global_rank
+from cytogrid.functions.special import t_two_sided
+from cytogrid.operators.multitest import adjust
+from cytogrid.operators.ordering import exact_quantiles, global_rank, top_per_group
 
 # fixed values: substrings that mark control features
 CONTROL_KEYWORDS = ("NegControlProbe", "Intergenic_Region", "NegControlCodeword", "UnassignedCodeword", "DeprecatedCodeword")
@@ -308,3 +310,44 @@ def sanitise(df: DataFrame, strings: Mapping[str, str] | None = None) -> DataFra
     for c in strings or {}:
         df = df.withColumn(c, F.col(c).cast("string"))
     return df.fillna("NA")
+
+
+def de_all_groups(expr: DataFrame, cells: DataFrame, cell: str = "cell_id", label: str = "cell_type") -> DataFrame:
+    """Every group against the rest in one pass: Welch t with two-sided p and BH-adjusted p per group, means, detection fractions, fold.
+
+    Stored values are summed once per (group, gene); the rest of a group is the
+    total less the group. Genes a group never shows have a row, as all groups x
+    genes are the result. Groups of one cell, or with one cell outside, have null t and p.
+    """
+    v = F.col("value").cast("double")
+    g = F.col(label).alias("group")
+    per = (expr.join(cells.select(cell, g), cell).groupBy("group", "gene")
+           .agg(F.sum(v).alias("s"), F.sum(v * v).alias("q"), F.sum((v > 0).cast("double")).alias("p")))
+    total = per.groupBy("gene").agg(*[F.sum(c).alias(f"{c}_all") for c in "sqp"])
+    size = cells.groupBy(g).agg(F.count(F.lit(1)).cast("double").alias("n1")).crossJoin(F.broadcast(cells.agg(F.count(F.lit(1)).cast("double").alias("n"))))  # one row
+    j = size.crossJoin(total).join(per, ["group", "gene"], "left").fillna(0.0, ["s", "q", "p"]).withColumn("n0", F.col("n") - F.col("n1"))  # groups x genes: the table itself
+    m1, m0 = F.col("s") / F.col("n1"), F.try_divide(F.col("s_all") - F.col("s"), F.col("n0"))
+    spread = lambda q, s, m, n: F.try_divide(F.greatest(q - s * m, F.lit(0.0)), (n - 1) * n)
+    v1 = spread(F.col("q"), F.col("s"), m1, F.col("n1"))
+    v0 = spread(F.col("q_all") - F.col("q"), F.col("s_all") - F.col("s"), m0, F.col("n0"))
+    stats = j.select("group", "gene", m1.alias("mean_in"), m0.alias("mean_out"), (F.col("p") / F.col("n1")).alias("frac_in"), F.try_divide(F.col("p_all") - F.col("p"), F.col("n0")).alias("frac_out"),
+                     (m1 / (m0 + 1e-9)).alias("fold"), F.when(v1 + v0 > 0, (m1 - m0) / F.sqrt(v1 + v0)).when(v1 + v0 == 0, 0.0).alias("t"),
+                     F.try_divide((v1 + v0) * (v1 + v0), v1 * v1 / (F.col("n1") - 1) + v0 * v0 / (F.col("n0") - 1)).alias("dof"))
+    tested = stats.withColumn("p", F.when(F.col("t") == 0, 1.0).when(F.col("dof").isNotNull(), t_two_sided(F.col("t"), F.col("dof"))))
+    return adjust(tested, "bh", by=("group",))
+
+
+def marker_validation(expr: DataFrame, cells: DataFrame, markers: DataFrame, cell: str = "cell_id", label: str = "cell_type") -> DataFrame:
+    """Per type over all its measured markers: n_cells, n_markers, mean over (cells x markers) inside and outside the type, fold."""
+    measured = markers.join(expr.select("gene").distinct(), "gene", "left_semi")
+    s = marker_stats(expr, cells, measured, cell, label)
+    g = s.groupBy("cell_type").agg(F.first("n_cells").alias("n_cells"), F.count(F.lit(1)).alias("n_markers"), F.avg("mean_in").alias("mean_in"), F.avg("mean_out").alias("mean_out"))
+    return g.withColumn("fold", F.col("mean_in") / (F.col("mean_out") + 1e-10))
+
+
+def top_listed_markers(expr: DataFrame, cells: DataFrame, listed: DataFrame, n: int, cell: str = "cell_id", label: str = "cell_type") -> DataFrame:
+    """Best ``n`` markers of each type by the mean of positive values in the type, among the first 2n of ``listed`` (cell_type, gene, place)."""
+    first = top_per_group(listed, ["cell_type"], [F.asc("place"), F.asc("gene")], 2 * n)
+    mine = (expr.where(F.col("value") > 0).join(cells.select(cell, F.col(label).alias("cell_type")), cell).join(first, ["cell_type", "gene"])
+            .groupBy("cell_type", "gene").agg(F.round(F.avg("value"), 9).alias("pos_mean")))
+    return top_per_group(mine, ["cell_type"], [F.desc("pos_mean"), F.asc("gene")], n, rank="rank")

@@ -183,3 +183,17 @@ def expression_by_type(spark, d):
 @query("composition_entropy", "A34", """WITH k AS (SELECT niche, cell_type, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY niche) AS p FROM cells GROUP BY 1, 2) SELECT niche, round(-sum(p * ln(p + 1e-10)), 6) AS entropy FROM k GROUP BY 1""", "cells")
 def composition_entropy(spark, d):
     return U.crosstab(D.cells(spark, d), "niche", "cell_type").where("n > 0").groupBy("niche").agg(r(C.entropy(F.col("share"))).alias("entropy"))
+
+
+@query("significant_pairs", "C3", KERNEL + """, n AS (SELECT ligand, receptor, sum(w * a.z * b.z) AS s FROM (SELECT DISTINCT ligand, receptor FROM lr) JOIN z a ON a.gene = ligand JOIN k ON src = a.cell_id JOIN z b ON b.cell_id = dst AND b.gene = receptor GROUP BY 1, 2),
+ss AS (SELECT gene, sum(z * z) AS ss FROM z GROUP BY 1), o AS (SELECT sum(w) AS w, sum(w * w) AS w2, (SELECT count(*)::DOUBLE FROM cells) AS m FROM k),
+t AS (SELECT ligand, receptor, s / sqrt(p.ss * q.ss) / sqrt((w2 - w * w / (m * m)) / (m * m)) AS z FROM n JOIN ss p ON p.gene = ligand JOIN ss q ON q.gene = receptor, o),
+e AS (SELECT *, 1 / (1 + 0.3275911::DOUBLE * abs(z) / sqrt(2)) AS t FROM t),
+f AS (SELECT *, t * (0.254829592::DOUBLE + t * (-0.284496736::DOUBLE + t * (1.421413741::DOUBLE + t * (-1.453152027::DOUBLE + t * 1.061405429::DOUBLE)))) * exp(-z * z / 2) AS tail FROM e),
+p AS (SELECT ligand, receptor, z, 0.5 * CASE WHEN z >= 0 THEN tail ELSE 2 - tail END AS p FROM f),
+q AS (SELECT *, row_number() OVER (ORDER BY p, ligand || '~' || receptor) AS i, count(*) OVER () AS n FROM p)
+SELECT ligand, receptor, round(z, 3) AS z, round(p, 5) AS p, round(least(1, min(n * p / i) OVER (ORDER BY p DESC, ligand || '~' || receptor DESC ROWS UNBOUNDED PRECEDING)), 5) AS p_adj FROM q""", "cells expr lr")
+def significant_pairs(spark, d):
+    c = D.cells(spark, d)
+    b = C.significant_pairs(_x(spark, d), D.lr(spark, d), cut(C.kernel_weights(c, 1.0)), c)
+    return b.select("ligand", "receptor", r("z", 3).alias("z"), r("p", 5).alias("p"), r("p_adj", 5).alias("p_adj"))

@@ -408,3 +408,44 @@ def top_markers_per_group(spark, d):
     m = (D.expr(spark, d).where(F.col("value") > 0).join(D.cells(spark, d).select("cell_id", "cell_type"), "cell_id")
          .groupBy("cell_type", "gene").agg(F.round(F.avg("value"), 9).alias("m")))
     return top_per_group(m, ["cell_type"], [F.desc("m"), F.asc("gene")], 5, rank="rank").select("cell_type", "gene", "rank")
+
+
+@query("de_all_groups", "M8 A15", """WITH f AS (SELECT t.cell_type AS grp, g.gene, c.cell_type = t.cell_type AS inn, coalesce(value, 0) AS v
+ FROM cells c CROSS JOIN (SELECT DISTINCT gene FROM expr) g CROSS JOIN (SELECT DISTINCT cell_type FROM cells) t LEFT JOIN expr e ON e.cell_id = c.cell_id AND e.gene = g.gene),
+s AS (SELECT grp, gene, avg(v) FILTER (inn) AS m1, avg(v) FILTER (NOT inn) AS m0, var_samp(v) FILTER (inn) / count(*) FILTER (inn) AS v1, var_samp(v) FILTER (NOT inn) / count(*) FILTER (NOT inn) AS v0,
+ count(*) FILTER (inn) AS n1, count(*) FILTER (NOT inn) AS n0, avg(CASE WHEN v > 0 THEN 1 ELSE 0 END) FILTER (inn) AS f1, avg(CASE WHEN v > 0 THEN 1 ELSE 0 END) FILTER (NOT inn) AS f0 FROM f GROUP BY 1, 2),
+w AS (SELECT *, (m1 - m0) / sqrt(v1 + v0) AS t, (v1 + v0) * (v1 + v0) / (v1 * v1 / (n1 - 1) + v0 * v0 / (n0 - 1)) AS dof FROM s),
+a AS (SELECT *, atan(abs(t) / sqrt(dof)) / 2000 AS h, exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / sqrt(pi()) AS c FROM w),
+p AS (SELECT grp, gene, greatest(0, 1 - 2 * any_value(c * h) / 3 * sum((CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(cos(i * h), dof - 1))) AS p FROM a CROSS JOIN range(0, 2001) r(i) GROUP BY 1, 2),
+q AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY p, gene) AS k, count(*) OVER (PARTITION BY grp) AS n FROM p),
+b AS (SELECT grp, gene, p, least(1, min(n * p / k) OVER (PARTITION BY grp ORDER BY p DESC, gene DESC ROWS UNBOUNDED PRECEDING)) AS p_adj FROM q)
+SELECT grp AS "group", gene, round(m1, 6) AS mean_in, round(m0, 6) AS mean_out, round(f1, 6) AS frac_in, round(f0, 6) AS frac_out, round(m1 / (m0 + 1e-9), 6) AS fold, round(t, 5) AS t, round(dof, 3) AS dof,
+ round(p, 6) AS p, round(p_adj, 5) AS p_adj FROM w JOIN b USING (grp, gene)""", "cells expr")
+def de_all_groups(spark, d):
+    w = X.de_all_groups(D.expr(spark, d), D.cells(spark, d))
+    return w.select("group", "gene", *[r(c).alias(c) for c in ("mean_in", "mean_out", "frac_in", "frac_out", "fold")], r("t", 5).alias("t"), r("dof", 3).alias("dof"), r("p").alias("p"), r("p_adj", 5).alias("p_adj"))
+
+
+ALL_MARKERS = """markers AS (SELECT ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'][p_partkey % 5 + 1] AS cell_type, p_brand AS gene, min(p_partkey) AS place FROM part GROUP BY 1, 2)"""
+
+
+def _all_markers(spark, d):
+    types = F.array(*[F.lit(t) for t in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")])
+    return (D.table(spark, d, "part").select(F.element_at(types, (F.col("p_partkey") % 5 + 1).cast("int")).alias("cell_type"), F.col("p_brand").alias("gene"), "p_partkey")
+            .groupBy("cell_type", "gene").agg(F.min("p_partkey").alias("place")))
+
+
+@query("marker_validation_by_type", "A15", f"""WITH {ALL_MARKERS}, f AS (SELECT m.cell_type, m.gene, c.cell_id, c.cell_type = m.cell_type AS inn, coalesce(value, 0) AS v
+ FROM markers m CROSS JOIN cells c LEFT JOIN expr e ON e.cell_id = c.cell_id AND e.gene = m.gene WHERE m.gene IN (SELECT gene FROM expr)),
+s AS (SELECT cell_type, count(DISTINCT cell_id) FILTER (inn) AS n_cells, count(DISTINCT gene) AS n_markers, avg(v) FILTER (inn) AS m1, avg(v) FILTER (NOT inn) AS m0 FROM f GROUP BY 1)
+SELECT cell_type, n_cells, n_markers, round(m1, 6) AS mean_in, round(m0, 6) AS mean_out, round(m1 / (m0 + 1e-10), 6) AS fold FROM s""", "cells expr")
+def marker_validation_by_type(spark, d):
+    m = X.marker_validation(D.expr(spark, d), D.cells(spark, d), _all_markers(spark, d).select("cell_type", "gene"))
+    return m.select("cell_type", "n_cells", "n_markers", *[r(c).alias(c) for c in ("mean_in", "mean_out", "fold")])
+
+
+@query("top_listed_markers", "T4", f"""WITH {ALL_MARKERS}, l AS (SELECT cell_type, gene FROM markers QUALIFY row_number() OVER (PARTITION BY cell_type ORDER BY place, gene) <= 10),
+m AS (SELECT cell_type, gene, round(avg(value), 9) AS pos_mean FROM expr JOIN cells USING (cell_id) JOIN l USING (cell_type, gene) WHERE value > 0 GROUP BY 1, 2)
+SELECT cell_type, gene, CAST(row_number() OVER (PARTITION BY cell_type ORDER BY pos_mean DESC, gene) AS INT) AS rank FROM m QUALIFY rank <= 5""", "cells expr")
+def top_listed_markers(spark, d):
+    return X.top_listed_markers(D.expr(spark, d), D.cells(spark, d), _all_markers(spark, d), 5).select("cell_type", "gene", "rank")

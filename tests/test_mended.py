@@ -93,3 +93,17 @@ def test_no_local_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         shared_dir(Session())
+
+
+def test_normal_tail_far_out(spark):
+    """Tails against the asymptotic series 1 - 1/z^2 + 3/z^4 - 15/z^6 + 105/z^8."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    from cytogrid.functions import special as SP
+    for z in (10.0, 20.0, 37.0, 60.0):
+        want = -z * z / 2 - math.log(z * math.sqrt(2 * math.pi)) + math.log(1 - z**-2 + 3 * z**-4 - 15 * z**-6 + 105 * z**-8)
+        got = spark.range(1).select(SP.normal_log_sf(F.lit(z)), SP.normal_sf(F.lit(z))).first()
+        assert abs(got[0] - want) < 1e-4 * 10 ** (-z / 40)
+        assert z > 37 or abs(got[1] / math.exp(want) - 1) < 1e-4

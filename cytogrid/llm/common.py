@@ -15,6 +15,7 @@ from cytogrid.session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 4 << 20
+TOKEN_CHUNK_BYTES = 8 << 20  # more words at a time repeat more often
 BROADCAST_ROWS = 100_000
 
 
@@ -25,8 +26,8 @@ def worker_state() -> dict:
 
 # ----------------------------------------------------------------- batches
 
-def text_chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Row slices of at most CHUNK_BYTES of text each; a longer single text stays whole in a slice of its own."""
+def text_chunks(batches: Iterator[pa.RecordBatch], text: str, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Row slices of at most ``size`` bytes of text each; a longer single text stays whole in a slice of its own."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -34,13 +35,13 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.Rec
         before = np.cumsum(sizes) - sizes
         start = 0
         while start < len(sizes):
-            stop = max(start + 1, int(np.searchsorted(before, before[start] + CHUNK_BYTES)))
+            stop = max(start + 1, int(np.searchsorted(before, before[start] + size)))
             yield batch.slice(start, stop - start)
             start = stop
 
 
 def map_text(df: DataFrame, make: Callable[[], Callable[[pa.Array], dict]], fields: Sequence[T.StructField], text: str = "text",
-             keep: Sequence[str] | None = None) -> DataFrame:
+             keep: Sequence[str] | None = None, size: int = CHUNK_BYTES) -> DataFrame:
     """Columns ``keep`` (all by default) of every row plus the columns computed from its text.
 
     ``make()`` runs once per task and returns a function from a string array to
@@ -55,7 +56,7 @@ def map_text(df: DataFrame, make: Callable[[], Callable[[pa.Array], dict]], fiel
 
     def run(batches):
         compute = make()
-        for chunk in text_chunks(batches, "__text"):
+        for chunk in text_chunks(batches, "__text", size):
             made = compute(pc.fill_null(chunk.column("__text"), ""))
             if "__rows" in made:
                 chunk = chunk.take(pa.array(made["__rows"]))
@@ -148,8 +149,8 @@ class TokenTable:
         """Little-endian ids of each word. Plain Latin words go many to a call, with a full stop between them: it is a token of its own there."""
         plain = [w for w in words if w.isalpha() and (w.isascii() or max(w) < "\u0250")] if len(self.dot) == 1 else []
         out = {}
-        for i in range(0, len(plain), 100):
-            some = plain[i:i + 100]
+        for i in range(0, len(plain), 50):
+            some = plain[i:i + 50]
             ids = np.array(self.encoder.encode(".".join(some), add_special_tokens=False).ids, dtype="<u4")
             stops = np.flatnonzero(ids == self.dot[0]).tolist() + [len(ids)]
             raw, at = ids.tobytes(), 0

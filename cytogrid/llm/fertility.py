@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cytogrid.llm.common import TokenTable, Words, durable, join_small, map_text, ragged, segment_sums, worker_state
+from cytogrid.llm.common import TOKEN_CHUNK_BYTES, TokenTable, Words, durable, join_small, map_text, ragged, segment_sums, worker_state
 
 WINDOW = 5
 SYMBOLS = r"[#*$%&|<>]"
@@ -147,7 +147,7 @@ def text_metrics(docs: DataFrame, vocabulary: str, pieces: str, text: str = "tex
                           "token_entropy": pa.array(entropies(ids, at), mask=none), "script": pa.array(names[script].tolist())}
         return metrics
 
-    return map_text(docs, make, FIELDS, text, keep)
+    return map_text(docs, make, FIELDS, text, keep, TOKEN_CHUNK_BYTES)
 
 
 def bands(metrics: DataFrame, group: str, reach: float = 4.0, least: int = 50) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cytogrid.llm.common import TokenTable, durable, map_text, salted_rank
+from cytogrid.llm.common import TOKEN_CHUNK_BYTES, TokenTable, durable, map_text, salted_rank
 
 CAPACITY = 2048
 PIECE = [T.StructField("start", T.LongType(), False), T.StructField("length", T.LongType(), False), T.StructField("ids_crc32", T.LongType(), False),
@@ -51,7 +51,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end: int = 1, capacity: int =
             return out
         return pieces
 
-    return map_text(docs, make, PIECE + [IDS] * with_ids, text, keep)
+    return map_text(docs, make, PIECE + [IDS] * with_ids, text, keep, TOKEN_CHUNK_BYTES)
 
 
 @dataclass

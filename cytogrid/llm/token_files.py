@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from cytogrid.llm.common import TokenTable, join_small, text_chunks
+from cytogrid.llm.common import TOKEN_CHUNK_BYTES, TokenTable, join_small, text_chunks
 from cytogrid.session import shared_dir
 
 BLOCK = 512
@@ -42,8 +42,11 @@ def encode_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[byte
     parts: list[bytes] = [b""] * n
     for w in np.unique(width).tolist():
         rows = np.flatnonzero(width == w)
-        bits = ((delta[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
-        packed = np.packbits(bits.reshape(len(rows), BLOCK * w), axis=1, bitorder="little")
+        if w % 8 == 0:  # whole bytes
+            packed = delta[rows].astype("<u4").view(np.uint8).reshape(len(rows), BLOCK, 4)[:, :, :w // 8].reshape(len(rows), BLOCK * w // 8)
+        else:
+            bits = ((delta[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
+            packed = np.packbits(bits.reshape(len(rows), BLOCK * w), axis=1, bitorder="little")
         for r, body in zip(rows.tolist(), packed):
             where = np.flatnonzero(outside[r])
             head = np.array([(minimum[r], w, len(where))], dtype=HEADER)
@@ -65,6 +68,11 @@ def decode_blocks(payload: bytes, starts: np.ndarray, lo: int, hi: int) -> np.nd
     for w in np.unique(heads["width"]).tolist():
         rows = np.flatnonzero(heads["width"] == w)
         packed = raw[body[rows][:, None] + np.arange(BLOCK * w // 8)]
+        if w % 8 == 0:
+            whole = np.zeros((len(rows), BLOCK, 4), np.uint8)
+            whole[:, :, :w // 8] = packed.reshape(len(rows), BLOCK, w // 8)
+            out[rows] = whole.view("<u4")[:, :, 0]
+            continue
         bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
         value = np.zeros((len(rows), BLOCK), dtype=np.uint32)
         for k in range(w):
@@ -85,7 +93,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end: int = 2,
     """
     def encode(batches):
         table, shard, first = TokenTable(vocabulary), TaskContext.get().partitionId(), 0
-        for number, chunk in enumerate(text_chunks(batches, "text")):
+        for number, chunk in enumerate(text_chunks(batches, "text", TOKEN_CHUNK_BYTES)):
             ids, at = table.rows(chunk.column("text"), end)
             payload, starts = encode_blocks(ids, percentile)
             row = {"shard": [shard], "chunk": [number], "first": [first], "n_ids": [len(ids)], "doc_ids": [chunk.column("doc_id").to_pylist()],

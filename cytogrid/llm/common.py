@@ -146,8 +146,9 @@ class TokenTable:
         self.dot = self.encoder.encode(".", add_special_tokens=False).ids
 
     def encode(self, words: list[str]) -> dict[str, bytes]:
-        """Little-endian ids of each word. Plain Latin words go many to a call, with a full stop between them: it is a token of its own there."""
-        plain = [w for w in words if w.isalpha() and (w.isascii() or max(w) < "\u0250")] if len(self.dot) == 1 else []
+        """Little-endian ids of each word. Plain Latin words go many to a call, with a full stop between them: it is a token of its own
+        behind a letter, and of these letters only U+0130 ends in something else when its case is folded."""
+        plain = [w for w in words if w.isalpha() and (w.isascii() or max(w) < "\u0250" and "\u0130" not in w)] if len(self.dot) == 1 else []
         out = {}
         for i in range(0, len(plain), 50):
             some = plain[i:i + 50]

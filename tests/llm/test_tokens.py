@@ -28,7 +28,13 @@ def test_word_table_equals_whole_text():
         assert ids[at[i]:at[i + 1]].tolist() == ids_of(t, 1)
 
 
-@settings(max_examples=150, deadline=None)
+def test_letters_that_fold_to_more_than_a_letter():
+    texts = ["s\u0130", "s\u0130. b", "\u0130\u0130 x\u0130", "".join(chr(c) + "a " for c in range(0xC0, 0x250))]
+    ids, at = TokenTable(WORD_VOCABULARY).rows(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet="aAbI'stsd.,!?;:-$<|>̱̇éİ \n\t ​1", max_size=30), max_size=5))
 def test_word_table_on_odd_strings(texts):
     ids, at = TokenTable(WORD_VOCABULARY).rows(pa.array(texts, pa.string()))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from cytogrid.session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 TOKEN_CHUNK_BYTES = 8 << 20  # more words at a time repeat more often
 BROADCAST_ROWS = 100_000
 
@@ -57,6 +57,7 @@ def map_text(df: DataFrame, make: Callable[[], Callable[[pa.Array], dict]], fiel
     def run(batches):
         compute = make()
         for chunk in text_chunks(batches, "__text", size):
+            pa.default_memory_pool().release_unused()
             made = compute(pc.fill_null(chunk.column("__text"), ""))
             if "__rows" in made:
                 chunk = chunk.take(pa.array(made["__rows"]))
@@ -109,7 +110,9 @@ def ragged(values: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tuple[
     """Concatenation of ``values[offsets[c]:offsets[c+1]]`` over ``codes`` and the running lengths."""
     lens = (offsets[1:] - offsets[:-1])[codes]
     ends = np.concatenate([[0], np.cumsum(lens)])
-    index = np.arange(ends[-1]) + np.repeat(offsets[codes] - ends[:-1], lens)
+    small = np.int32 if max(len(values), ends[-1]) < 1 << 31 else np.int64
+    index = np.repeat((offsets[codes] - ends[:-1]).astype(small), lens)
+    index += np.arange(ends[-1], dtype=small)
     return values[index], ends
 
 
@@ -140,7 +143,7 @@ class TokenTable:
     are remembered; later ones are encoded again for each batch.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 120_000):
         self.encoder, self.limit = tokenizer(path), limit
         self.known = worker_state().setdefault("token_tables", {}).setdefault(path, {})
         self.dot = self.encoder.encode(".", add_special_tokens=False).ids

@@ -192,7 +192,7 @@ def count_matrix_wide(spark, d):
     return m.groupBy("cell_id").pivot("feature_name", ["AF", "AO", "NF", "NO", "RF", "RO"]).sum("n").fillna(0)
 
 
-@query("value_counts", "A3 A4 F18", """SELECT cell_type, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM cells GROUP BY 1""", "cells")
+@query("value_counts", "A3 A4", """SELECT cell_type, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM cells GROUP BY 1""", "cells")
 def value_counts(spark, d):
     c = D.cells(spark, d).groupBy("cell_type").agg(F.count(F.lit(1)).alias("n"))
     return c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("t")))).select("cell_type", "n", r(100.0 * F.col("n") / F.col("t")).alias("pct"))
@@ -337,7 +337,7 @@ s AS (SELECT cell_type, gene, avg(v) FILTER (inn) AS mean_in, avg(v) FILTER (NOT
 k AS (SELECT *, mean_in / (mean_out + 1e-10) AS fold, pct_in / (pct_out + 1e-10) AS spec, pos_in / (pos_out + 1e-10) AS pos_fold FROM s)"""
 
 
-@query("marker_stats", "A15 A16 D10", STATS_SQL + """ SELECT cell_type, gene, n_cells, round(mean_in, 6) AS mean_in, round(mean_out, 6) AS mean_out, round(pos_in, 6) AS pos_mean_in,
+@query("marker_stats", "A16 D10", STATS_SQL + """ SELECT cell_type, gene, n_cells, round(mean_in, 6) AS mean_in, round(mean_out, 6) AS mean_out, round(pos_in, 6) AS pos_mean_in,
 round(pos_out, 6) AS pos_mean_out, round(pct_in, 6) AS pct_in, round(pct_out, 6) AS pct_out, round(fold, 6) AS fold, round(spec, 6) AS specificity FROM k""", "cells expr")
 def marker_stats(spark, d):
     m = X.marker_stats(D.expr(spark, d), D.cells(spark, d), _markers(spark, d))
@@ -345,7 +345,7 @@ def marker_stats(spark, d):
         "mean_in", "mean_out", "pos_mean_in", "pos_mean_out", "pct_in", "pct_out", "fold", "specificity")])
 
 
-@query("marker_summary", "A17 F11 K6", STATS_SQL + """ SELECT cell_type, count(*) AS n_markers, round(avg(pos_fold), 2) AS fold, round(avg(spec), 2) AS specificity, round(avg(pct_in), 2) AS pct,
+@query("marker_summary", "A17 F11", STATS_SQL + """ SELECT cell_type, count(*) AS n_markers, round(avg(pos_fold), 2) AS fold, round(avg(spec), 2) AS specificity, round(avg(pct_in), 2) AS pct,
 CASE WHEN avg(pos_fold) >= 2 AND avg(pct_in) >= 30 THEN 'Excellent' WHEN avg(pos_fold) >= 1.5 OR avg(pct_in) >= 20 THEN 'Good' ELSE 'Poor' END AS quality FROM k GROUP BY 1""", "cells expr")
 def marker_summary(spark, d):
     m = X.marker_stats(D.expr(spark, d), D.cells(spark, d), _markers(spark, d))

@@ -12,7 +12,7 @@ HELPERS = {
     "S16": "`expression.map_with_fallback`", "S18": "not built (models)", "K7": "parquet instead", "K8": "not built (plots)", "K10": "schema is in the catalogue",
     "P4": "defect, not reproduced", "F17": "configuration only", "G31": "not built", "M23": "dense eigen-decomposition, not built; table steps in W2, W6, J5",
     "M26": "dense eigen-decomposition, not built; see M27, M28, M30", "M34": "table step A24; wrappers not built", "C13": "commented out in the reference",
-    "R1": "not built (segmentation model)", "R3": "not built (segmentation model)", "R4": "tile preparation and ownership only (G26, G27, J14)", "R10": "not built (plots)",
+    "R1": "not built (segmentation model)", "R3": "not built (segmentation model)", "R4": "tile preparation and ownership only (G26, G27, J14)", "R10": "not built (plots)", "F18": "not built (plot palette)", "K6": "table only: `marker_summary`",
 }
 by = {}
 for q, ids in COVERS.items():

@@ -92,7 +92,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end: int = 2,
     text, so a doc_id that many rows share is spread over shards.
     """
     def encode(batches):
-        table, shard, first = TokenTable(vocabulary), TaskContext.get().partitionId(), 0
+        table, shard, first = TokenTable(vocabulary, 350_000), TaskContext.get().partitionId(), 0
         for number, chunk in enumerate(text_chunks(batches, "text", TOKEN_CHUNK_BYTES)):
             ids, at = table.rows(chunk.column("text"), end)
             payload, starts = encode_blocks(ids, percentile)

@@ -75,11 +75,11 @@ def align_to_panel(spark, d):
 
 
 @query("min_transcripts", "P11 P19", """SELECT cell_id, coalesce(n, 0) AS n FROM cells LEFT JOIN
-(SELECT o_custkey AS cell_id, count(*) AS n FROM orders WHERE o_orderpriority = '2-HIGH' GROUP BY 1) USING (cell_id) WHERE coalesce(n, 0) >= 3""", "cells")
+(SELECT o_custkey AS cell_id, count(*) AS n FROM orders GROUP BY 1) USING (cell_id) WHERE coalesce(n, 0) >= 10""", "cells")
 def min_transcripts(spark, d):
-    o = D.table(spark, d, "orders").where(F.col("o_orderpriority") == "2-HIGH").groupBy(F.col("o_custkey").alias("cell_id")).agg(F.count(F.lit(1)).alias("n"))
+    o = D.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("cell_id")).agg(F.count(F.lit(1)).alias("n"))
     n = F.coalesce("n", F.lit(0))
-    return D.cells(spark, d).select("cell_id").join(o, "cell_id", "left").where(n >= 3).select("cell_id", n.alias("n"))
+    return D.cells(spark, d).select("cell_id").join(o, "cell_id", "left").where(n >= 10).select("cell_id", n.alias("n"))
 
 
 @query("positive_scores", "P15 F13", """SELECT event_type, count(*) AS n, round(max(greatest(value - 100, 0)), 6) AS top FROM events WHERE value - 100 > 0 GROUP BY 1""")
@@ -323,13 +323,14 @@ def confidence_threshold(spark, d):
 # ------------------------------------------------------- markers and tests
 
 def _markers(spark, d):
-    return D.table(spark, d, "part").where(F.col("p_size") == 7).select(
-        F.element_at(F.array(*[F.lit(x) for x in SEGMENTS]), (F.col("p_partkey") % 5 + 1).cast("int")).alias("cell_type"), F.col("p_brand").alias("gene")).distinct()
+    """Each brand marks the type that its number falls to."""
+    number = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
+    return D.table(spark, d, "part").select(F.element_at(F.array(*[F.lit(x) for x in SEGMENTS]), number % 5 + 1).alias("cell_type"), F.col("p_brand").alias("gene")).distinct()
 
 
 # fixed values: the five customer segments
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
-MARKERS_SQL = """markers AS (SELECT DISTINCT ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'][p_partkey % 5 + 1] AS cell_type, p_brand AS gene FROM part WHERE p_size = 7)"""
+MARKERS_SQL = """markers AS (SELECT DISTINCT ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'][CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INT) % 5 + 1] AS cell_type, p_brand AS gene FROM part)"""
 STATS_SQL = f"""WITH {MARKERS_SQL}, f AS (SELECT m.cell_type, m.gene, c.cell_type = m.cell_type AS inn, coalesce(value, 0) AS v
  FROM markers m CROSS JOIN cells c LEFT JOIN expr e ON e.cell_id = c.cell_id AND e.gene = m.gene),
 s AS (SELECT cell_type, gene, avg(v) FILTER (inn) AS mean_in, avg(v) FILTER (NOT inn) AS mean_out, avg(v) FILTER (inn AND v > 0) AS pos_in, avg(v) FILTER (NOT inn AND v > 0) AS pos_out,

@@ -16,9 +16,8 @@ ROI_SQL = "ring AS (SELECT * FROM (VALUES " + ", ".join(
     for (ax, ay), (bx, by) in zip(ROI, ROI[1:] + ROI[:1])) + """) t(x1, y1, x2, y2)),
 roi AS (SELECT cell_id, x, y, cell_type FROM points JOIN ring ON TRUE GROUP BY ALL
   HAVING sum(CASE WHEN (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 THEN 1 ELSE 0 END) % 2 = 1)"""
-EDGES_SQL = ROI_SQL + """,
-edges AS (SELECT a.cell_id AS src, b.cell_id AS dst, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS dist
-  FROM roi a JOIN roi b ON a.cell_id < b.cell_id AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 16::DOUBLE),
+GRAPH_SQL = """edges AS (SELECT a.cell_id AS src, b.cell_id AS dst, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS dist
+  FROM {n} a JOIN {n} b ON a.cell_id < b.cell_id AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 16::DOUBLE),
 wedges AS (SELECT src, dst, CASE WHEN dist <> 0 THEN 1/dist ELSE 0 END AS weight FROM edges),
 sym AS (SELECT src AS node, dst AS nbr, weight FROM wedges UNION ALL SELECT dst, src, weight FROM wedges),
 deg AS (SELECT node, count(*) AS k, sum(abs(weight)) AS s FROM sym GROUP BY 1),
@@ -26,18 +25,19 @@ scored AS (SELECT e.src, e.dst, e.weight, coalesce(
    CASE WHEN b.k > 1 THEN round(pow(greatest(1 - abs(weight)/b.s, 0), b.k - 1), 4) END,
    CASE WHEN a.k > 1 THEN round(pow(greatest(1 - abs(weight)/a.s, 0), a.k - 1), 4) END) AS alpha
    FROM wedges e JOIN deg a ON a.node = e.src JOIN deg b ON b.node = e.dst)"""
+EDGES_SQL = GRAPH_SQL.format(n="points")
 
 
 def _roi(spark, d):
     return S.roi_filter(D.points(spark, d), ROI)
 
 
-def _edges(spark, d):
-    return cut(G.radius_graph(_roi(spark, d), 4.0))  # read several times by every caller
+def _edges(spark, d, nodes=None):
+    return cut(G.radius_graph(D.points(spark, d) if nodes is None else nodes, 4.0))  # read several times by every caller
 
 
-def _backbone(spark, d):
-    return cut(G.alpha_cut(G.disparity(_edges(spark, d).select("src", "dst", "weight")), 0.3))
+def _backbone(spark, d, nodes=None):
+    return cut(G.alpha_cut(G.disparity(_edges(spark, d, nodes).select("src", "dst", "weight")), 0.3))
 
 
 @query("roi_filter", "P1 S9 D13", f"WITH {ROI_SQL} SELECT cell_id, cell_type, round(x,6) AS x, round(y,6) AS y FROM roi", "points")
@@ -82,22 +82,23 @@ kd AS (SELECT node, count(*) AS deg FROM ksym GROUP BY 1),
 tri AS (SELECT p.node, count(*) / 2 AS t FROM ksym p JOIN ksym q ON p.nbr = q.node JOIN ksym s ON q.nbr = s.node AND s.nbr = p.node GROUP BY 1),
 local AS (SELECT cell_id, coalesce(deg, 0) AS deg, coalesce(t, 0) AS t,
   CASE WHEN coalesce(deg, 0) < 2 THEN 0 ELSE 2.0 * coalesce(t, 0) / (deg * (deg - 1)) END AS c
-  FROM roi LEFT JOIN kd ON kd.node = cell_id LEFT JOIN tri ON tri.node = cell_id)"""
+  FROM {n} LEFT JOIN kd ON kd.node = cell_id LEFT JOIN tri ON tri.node = cell_id)"""
 
 
-@query("spatial_network_summary", "P1 J9 G8 G10 A33", f"""WITH {EDGES_SQL}{SUMMARY_SQL}
+@query("spatial_network_summary", "P1 J9 G8 G10 A33", f"""WITH {ROI_SQL}, {(GRAPH_SQL + SUMMARY_SQL).format(n="roi")}
 SELECT count(*) AS nodes, CAST(sum(deg) / 2 AS BIGINT) AS edges, round(avg(deg), 4) AS avg_degree, round(avg(c), 6) AS avg_clustering FROM local""", "points")
 def spatial_network_summary(spark, d):
-    local = G.clustering(_backbone(spark, d), _roi(spark, d))
+    roi = _roi(spark, d)
+    local = G.clustering(_backbone(spark, d, roi), roi)
     return local.agg(F.count(F.lit(1)).alias("nodes"), F.expr("cast(sum(degree) / 2 as bigint)").alias("edges"),
                      r(F.avg("degree"), 4).alias("avg_degree"), r(F.avg("clustering")).alias("avg_clustering"))
 
 
-@query("graph_clustering", "G9 G10", f"""WITH {EDGES_SQL}{SUMMARY_SQL}
+@query("graph_clustering", "G9 G10", f"""WITH {EDGES_SQL}{SUMMARY_SQL.format(n="points")}
 SELECT cell_id, CAST(deg AS BIGINT) AS degree, CAST(t AS BIGINT) AS triangles, round(c, 6) AS clustering,
-  round(deg / (SELECT count(*) - 1 FROM roi), 6) AS centrality FROM local""", "points")
+  round(deg / (SELECT count(*) - 1 FROM points), 6) AS centrality FROM local""", "points")
 def graph_clustering(spark, d):
-    e, n = _backbone(spark, d), _roi(spark, d)
+    e, n = _backbone(spark, d), D.points(spark, d)
     return (G.clustering(e, n).join(G.degree_centrality(e, n).drop("degree"), "cell_id")
             .select("cell_id", "degree", "triangles", r("clustering").alias("clustering"), r("centrality").alias("centrality")))
 
@@ -138,10 +139,10 @@ def alpha_cut_directed(spark, d):
 
 @query("strongest_edges", "G4 T6", f"""WITH {EDGES_SQL} SELECT src, dst FROM (SELECT src, dst,
   row_number() OVER (ORDER BY round(weight, 9) DESC, src, dst) AS rn FROM wedges)
-  WHERE rn <= (SELECT CAST(floor(1.5 * count(*)) AS BIGINT) FROM roi)""", "points")
+  WHERE rn <= (SELECT CAST(floor(1.5 * count(*)) AS BIGINT) FROM points)""", "points")
 def strongest_edges(spark, d):
     e = _edges(spark, d).select("src", "dst", F.round("weight", 9).alias("weight"))
-    return G.strongest_edges(e, _roi(spark, d)).select("src", "dst")
+    return G.strongest_edges(e, D.points(spark, d)).select("src", "dst")
 
 
 KNN_SQL = """WITH knn AS (SELECT * FROM (SELECT a.cell_id AS src, b.cell_id AS dst, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) AS d2,
@@ -191,23 +192,23 @@ def neighbouring_domains(spark, d):
     return op(D.cells(spark, d), "BUILDING", 2.0, 0.5)
 
 
-@query("modularity", "G16", f"""WITH {EDGES_SQL}, j AS (SELECT a.cell_type AS la, b.cell_type AS lb FROM sym JOIN roi a ON a.cell_id = node JOIN roi b ON b.cell_id = nbr),
+@query("modularity", "G16", f"""WITH {EDGES_SQL}, j AS (SELECT a.cell_type AS la, b.cell_type AS lb FROM sym JOIN points a ON a.cell_id = node JOIN points b ON b.cell_id = nbr),
 c AS (SELECT la, count(*) AS k, sum(CASE WHEN la = lb THEN 1 ELSE 0 END) AS i FROM j GROUP BY 1)
 SELECT round(sum(i / m - (k / m) * (k / m)), 6) AS modularity FROM c, (SELECT sum(k)::DOUBLE AS m FROM c)""", "points")
 def modularity(spark, d):
-    return G.modularity(_edges(spark, d), _roi(spark, d), label="cell_type").select(r("modularity").alias("modularity"))
+    return G.modularity(_edges(spark, d), D.points(spark, d), label="cell_type").select(r("modularity").alias("modularity"))
 
 
 @query("laplacian", "G17 D8", f"""WITH {EDGES_SQL} SELECT node AS i, nbr AS j, round(-weight, 6) AS v FROM sym
 UNION ALL SELECT node, node, round(s, 6) FROM deg""", "points")
 def laplacian(spark, d):
-    return G.laplacian(_edges(spark, d), _roi(spark, d)).select("i", "j", r("v").alias("v"))
+    return G.laplacian(_edges(spark, d), D.points(spark, d)).select("i", "j", r("v").alias("v"))
 
 
 @query("laplacian_normalised", "G17", f"""WITH {EDGES_SQL} SELECT node AS i, nbr AS j, round(-weight / sqrt(a.s * b.s), 6) AS v
-FROM sym JOIN deg a USING (node) JOIN deg b ON b.node = nbr UNION ALL SELECT cell_id, cell_id, 1::DOUBLE FROM roi""", "points")
+FROM sym JOIN deg a USING (node) JOIN deg b ON b.node = nbr UNION ALL SELECT cell_id, cell_id, 1::DOUBLE FROM points""", "points")
 def laplacian_normalised(spark, d):
-    return G.laplacian(_edges(spark, d), _roi(spark, d), normalized=True).select("i", "j", r("v").alias("v"))
+    return G.laplacian(_edges(spark, d), D.points(spark, d), normalized=True).select("i", "j", r("v").alias("v"))
 
 
 @query("symmetrise_max", "C12", """SELECT least(l_partkey, l_suppkey) AS src, greatest(l_partkey, l_suppkey) AS dst, max(l_quantity) AS weight
@@ -218,50 +219,45 @@ def symmetrise_max(spark, d):
 
 
 @query("connected_components", "G14", f"""WITH RECURSIVE {EDGES_SQL},
-reach AS (SELECT cell_id AS root, cell_id AS node FROM roi UNION SELECT root, nbr FROM reach JOIN
+reach AS (SELECT cell_id AS root, cell_id AS node FROM points UNION SELECT root, nbr FROM reach JOIN
   (SELECT src AS node, dst AS nbr FROM scored WHERE alpha < 0.3 UNION ALL SELECT dst, src FROM scored WHERE alpha < 0.3) USING (node))
 SELECT node AS cell_id, min(root) AS component FROM reach GROUP BY 1""", "points")
 def connected_components(spark, d):
-    return G.components(_backbone(spark, d), _roi(spark, d))
+    return G.components(_backbone(spark, d), D.points(spark, d))
 
 
 @query("closeness", "G11", f"""WITH RECURSIVE {EDGES_SQL},
-adj AS (SELECT src AS node, dst AS nbr FROM scored WHERE alpha < 0.05 UNION ALL SELECT dst, src FROM scored WHERE alpha < 0.05),
-walk AS (SELECT cell_id AS root, cell_id AS node, 0 AS depth FROM roi UNION
-  SELECT root, nbr, depth + 1 FROM walk JOIN adj USING (node) WHERE depth < 12),
-best AS (SELECT root, node, min(depth) AS depth FROM walk GROUP BY 1, 2),
+adj AS (SELECT src AS node, dst AS nbr FROM scored WHERE alpha < 0.3 UNION ALL SELECT dst, src FROM scored WHERE alpha < 0.3),
+best(root, node, depth) USING KEY (root, node) AS (SELECT cell_id, cell_id, 0 FROM points UNION
+  SELECT w.root, a.nbr, min(w.depth) + 1 FROM best w JOIN adj a ON a.node = w.node LEFT JOIN recurring.best k ON k.root = w.root AND k.node = a.nbr WHERE k.root IS NULL GROUP BY 1, 2),
 g AS (SELECT root, count(*) AS r, sum(depth) AS total FROM best GROUP BY 1)
-SELECT root AS cell_id, round(CASE WHEN total > 0 THEN (r - 1) * (r - 1) / (total * ((SELECT count(*) FROM roi) - 1.0)) ELSE 0 END, 6) AS closeness FROM g""", "points")
+SELECT root AS cell_id, round(CASE WHEN total > 0 THEN (r - 1) * (r - 1) / (total * ((SELECT count(*) FROM points) - 1.0)) ELSE 0 END, 6) AS closeness FROM g""", "points")
 def closeness(spark, d):
-    e = G.alpha_cut(G.disparity(_edges(spark, d).select("src", "dst", "weight")), 0.05)
-    return G.closeness(e, _roi(spark, d)).select("cell_id", r("closeness").alias("closeness"))
+    return G.closeness(_backbone(spark, d), D.points(spark, d)).select("cell_id", r("closeness").alias("closeness"))
 
 
 @query("betweenness", "G12")
 def betweenness(spark, d):
-    e = G.alpha_cut(G.disparity(_edges(spark, d).select("src", "dst", "weight")), 0.05)
-    return G.betweenness(e, _roi(spark, d)).select("cell_id", r("betweenness").alias("betweenness"))
+    return G.betweenness(_backbone(spark, d), D.points(spark, d)).select("cell_id", r("betweenness").alias("betweenness"))
 
 
 @query("global_efficiency", "G11", f"""WITH RECURSIVE {EDGES_SQL},
-adj AS (SELECT src AS node, dst AS nbr FROM scored WHERE alpha < 0.05 UNION ALL SELECT dst, src FROM scored WHERE alpha < 0.05),
-walk AS (SELECT cell_id AS root, cell_id AS node, 0 AS depth FROM roi UNION
-  SELECT root, nbr, depth + 1 FROM walk JOIN adj USING (node) WHERE depth < 12),
-best AS (SELECT root, node, min(depth) AS depth FROM walk GROUP BY 1, 2), n AS (SELECT count(*)::DOUBLE AS n FROM roi)
+adj AS (SELECT src AS node, dst AS nbr FROM scored WHERE alpha < 0.3 UNION ALL SELECT dst, src FROM scored WHERE alpha < 0.3),
+best(root, node, depth) USING KEY (root, node) AS (SELECT cell_id, cell_id, 0 FROM points UNION
+  SELECT w.root, a.nbr, min(w.depth) + 1 FROM best w JOIN adj a ON a.node = w.node LEFT JOIN recurring.best k ON k.root = w.root AND k.node = a.nbr WHERE k.root IS NULL GROUP BY 1, 2), n AS (SELECT count(*)::DOUBLE AS n FROM points)
 SELECT round(coalesce((SELECT sum(1.0::DOUBLE / depth) FROM best WHERE depth > 0), 0) / (n * (n - 1)), 6) AS efficiency FROM n""", "points")
 def global_efficiency(spark, d):
-    e = G.alpha_cut(G.disparity(_edges(spark, d).select("src", "dst", "weight")), 0.05)
-    return G.global_efficiency(e, _roi(spark, d)).select(r("efficiency").alias("efficiency"))
+    return G.global_efficiency(_backbone(spark, d), D.points(spark, d)).select(r("efficiency").alias("efficiency"))
 
 
 @query("eigenvector_centrality", "G13")
 def eigenvector_centrality(spark, d):
-    return G.eigenvector_centrality(_backbone(spark, d), _roi(spark, d), rounds=30).select("cell_id", r("centrality", 4).alias("centrality"))
+    return G.eigenvector_centrality(_backbone(spark, d), D.points(spark, d)).select("cell_id", r("centrality", 4).alias("centrality"))
 
 
 @query("communities", "G15")
 def communities(spark, d):
-    return G.label_propagation(_backbone(spark, d), _roi(spark, d))
+    return G.label_propagation(_backbone(spark, d), D.points(spark, d))
 
 
 @query("delaunay_graph", "G2", """WITH p AS (SELECT a.cell_id AS src, b.cell_id AS dst, (a.x + b.x) / 2 AS mx, (a.y + b.y) / 2 AS my, b.x - a.x AS dx, b.y - a.y AS dy FROM points a JOIN points b ON a.cell_id < b.cell_id),

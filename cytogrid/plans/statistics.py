@@ -103,7 +103,7 @@ def kernel_mass(spark, d):
 
 @query("kernel_length_search", "M11")
 def kernel_length_search(spark, d):
-    l = A.search_length(D.cells(spark, d), 3.0, 0.3, 1.5, tol=0.05)
+    l = A.search_length(D.cells(spark, d), 3.0, 0.3, 1.5)
     return D.cells(spark, d).agg(F.count(F.lit(1)).alias("n_cells")).withColumn("length", F.lit(l).cast("double"))
 
 
@@ -206,7 +206,7 @@ def graph_imputation(spark, d):
 def graph_low_pass(spark, d):
     e = _edges(spark, d).withColumn("weight", F.lit(1.0))
     lap = cut(G.laplacian(e, D.cells(spark, d), normalized=True))
-    return A.low_pass(_x(spark, d), lap, c=1.0, order=4).groupBy("gene").agg(r(F.sum("value"), 3).alias("total"))
+    return A.low_pass(_x(spark, d), lap, c=1.0).groupBy("gene").agg(r(F.sum("value"), 3).alias("total"))
 
 
 # ---------------------------------------------------------- multiple testing

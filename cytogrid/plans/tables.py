@@ -166,11 +166,11 @@ def exact_quantiles_by_group(spark, d):
 
 # -------------------------------------------------------------------- sets
 
-SETS = "s AS (SELECT DISTINCT 'm' || (l_linenumber % 4) AS method, l_partkey AS gene FROM lineitem WHERE l_quantity > 46)"
+SETS = "s AS (SELECT DISTINCT 'm' || (l_linenumber % 4) AS method, l_orderkey AS gene FROM lineitem)"
 
 
 def _sets(spark, d):
-    return D.table(spark, d, "lineitem").where("l_quantity > 46").select(F.concat(F.lit("m"), (F.col("l_linenumber") % 4).cast("string")).alias("method"), F.col("l_partkey").alias("gene")).distinct()
+    return D.table(spark, d, "lineitem").select(F.concat(F.lit("m"), (F.col("l_linenumber") % 4).cast("string")).alias("method"), F.col("l_orderkey").alias("gene")).distinct()
 
 
 @query("consensus_genes", "U1", f"WITH {SETS} SELECT gene FROM s GROUP BY 1 HAVING count(DISTINCT method) = (SELECT count(DISTINCT method) FROM s)")
@@ -188,10 +188,10 @@ def pairwise_set_overlap(spark, d):
     return U.pairwise_overlap(_sets(spark, d))
 
 
-@query("set_difference", "U3 U6", """SELECT DISTINCT p_partkey AS gene FROM part WHERE p_size > 40 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 46)""")
+@query("set_difference", "U3 U6", f"WITH {SETS} SELECT gene FROM s WHERE method = 'm1' EXCEPT SELECT gene FROM s WHERE method = 'm2'")
 def set_difference(spark, d):
-    p = D.table(spark, d, "part").where("p_size > 40").select(F.col("p_partkey").alias("gene"))
-    return p.join(_sets(spark, d).select("gene"), "gene", "left_anti").distinct()
+    s = _sets(spark, d)
+    return s.where("method = 'm1'").select("gene").join(s.where("method = 'm2'").select("gene"), "gene", "left_anti")
 
 
 # ------------------------------------------------------------ round trips

@@ -69,20 +69,23 @@ def majority_voting(spark, d):
 
 @query("kmeans_clusters", "M20 M31")
 def kmeans_clusters(spark, d):
-    k = V.kmeans(D.points(spark, d), 5)
+    v, dims = D.vectors(spark, d)
+    k = V.kmeans(v, 5, dims)
     return k.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), r(F.avg("d2"), 4).alias("mean_d2"))
 
 
 @query("cluster_number_elbow", "M20 T9")
 def cluster_number_elbow(spark, d):
-    curve = cut(V.cluster_curve(D.points(spark, d), range(2, 7)))
+    v, dims = D.vectors(spark, d)
+    curve = cut(V.cluster_curve(v, range(2, 7), dims))
     return U.elbow(curve, "k", "score")
 
 
 @query("expression_pca", "M31 M36")
 def expression_pca(spark, d):
-    genes = [f"Brand#{i}" for i in range(1, 26)]
-    wide = D.expr(spark, d).groupBy("cell_id").pivot("gene", genes).sum("value").fillna(0.0)
+    genes = [g.gene for g in D.genes(spark, d).orderBy("gene").collect()]  # one dimension each
+    read = D.expr(spark, d).groupBy("cell_id").pivot("gene", genes).sum("value")
+    wide = D.cells(spark, d).select("cell_id").join(read, "cell_id", "left").fillna(0.0, genes)
     p = V.principal_components(wide, [f"`{g}`" if "." in g else g for g in genes], 3)
     return p.select("cell_id", *[r(F.abs(F.col("pc")[i]), 4).alias(f"pc{i + 1}") for i in range(3)])
 
@@ -114,12 +117,11 @@ def enrichment_test(spark, d):
     return t.select("term", "k", "m", r("p", 6).alias("p"), r("p_adj", 6).alias("p_adj"))
 
 
-UNITS = "mem AS (SELECT DISTINCT l_suppkey AS cell_id, 'u' || (l_partkey % 6) AS unit FROM lineitem WHERE l_quantity > 49 AND l_partkey % 3 <> l_suppkey % 3)"
+UNITS = "mem AS (SELECT DISTINCT l_orderkey AS cell_id, 'u' || (l_suppkey % 6) AS unit FROM lineitem)"
 
 
 def _units(spark, d):
-    return (D.table(spark, d, "lineitem").where((F.col("l_quantity") > 49) & (F.col("l_partkey") % 3 != F.col("l_suppkey") % 3))
-            .select(F.col("l_suppkey").alias("cell_id"), F.concat(F.lit("u"), (F.col("l_partkey") % 6).cast("string")).alias("unit")).distinct())
+    return D.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("cell_id"), F.concat(F.lit("u"), (F.col("l_suppkey") % 6).cast("string")).alias("unit")).distinct()
 
 
 @query("unit_overlap", "M28 M39", f"WITH {UNITS} SELECT a.unit AS unit_a, b.unit AS unit_b, count(*) AS shared FROM mem a JOIN mem b USING (cell_id) WHERE a.unit < b.unit GROUP BY 1, 2")
@@ -128,9 +130,9 @@ def unit_overlap(spark, d):
 
 
 @query("unit_overlap_score", "M28", f"""WITH {UNITS}, p AS (SELECT count(*) AS s FROM mem a JOIN mem b USING (cell_id) WHERE a.unit < b.unit), k AS (SELECT count(DISTINCT unit) AS u FROM mem)
-SELECT round(s / (u * (u - 1) / 2.0) / (SELECT count(*) FROM supplier), 6) AS score FROM p, k""")
+SELECT round(s / (u * (u - 1) / 2.0) / (SELECT count(*) FROM orders), 6) AS score FROM p, k""")
 def unit_overlap_score(spark, d):
-    n = D.table(spark, d, "supplier").agg(F.count(F.lit(1)).alias("n"))
+    n = D.table(spark, d, "orders").agg(F.count(F.lit(1)).alias("n"))
     return E.overlap_score(_units(spark, d), n).select(r("score").alias("score"))
 
 
@@ -182,5 +184,5 @@ def soft_assignment(spark, d):
 @query("meta_gene", "M14")
 def meta_gene(spark, d):
     from cytogrid.operators.metagene import find_meta_gene
-    m = find_meta_gene(D.expr(spark, d), D.cells(spark, d), "BUILDING", "Brand#1", max_iter=2)
+    m = find_meta_gene(D.expr(spark, d), D.cells(spark, d), "BUILDING", "Brand#1")
     return m.groupBy("name").agg(F.count(F.lit(1)).alias("n_cells"), r(F.avg("meta"), 4).alias("mean"))

@@ -33,6 +33,14 @@ def points(spark: SparkSession, d: str) -> DataFrame:
         (e[1].cast("double") * 100).alias("y"), F.concat(F.lit("type_"), F.col("label").cast("string")).alias("cell_type"))
 
 
+def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, tuple[str, ...]]:
+    """Whole embeddings with one column for each dimension, and the names of those columns."""
+    e = table(spark, d, "embeddings").where(F.col("embedding").isNotNull())
+    n = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    dims = tuple(f"e{i}" for i in range(n))
+    return e.select(F.col("vec_id").alias("cell_id"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(dims)]), dims
+
+
 def _counts(spark: SparkSession, d: str, gene) -> DataFrame:
     li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("cell_id"))

@@ -201,8 +201,15 @@ def components(edges: DataFrame, nodes: DataFrame, id_col: str = "cell_id", max_
             .select(F.col("dst").alias(id_col), F.coalesce("component", "dst").alias("component")))
 
 
-def bfs_levels(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """Hop distance and number of shortest paths from each source: (source, node, depth, sigma).
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _levels(edges: DataFrame, sources: DataFrame, max_rounds: int) -> list[DataFrame]:
+    """One durable table (source, node, depth, sigma) for each hop distance.
 
     All sources advance together, one join per level. In an undirected graph a
     level only touches itself, the one before and the next, so a new level is
@@ -224,10 +231,17 @@ def bfs_levels(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -
         levels.append(here)
     else:
         raise RuntimeError(f"a shortest path is longer than {max_rounds - 1} steps")
-    out = levels[0]
-    for part in levels[1:]:
-        out = out.unionByName(part)
-    return out
+    return levels
+
+
+def bfs_levels(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """Hop distance and number of shortest paths from each source: (source, node, depth, sigma)."""
+    return _all(_levels(edges, sources, max_rounds))
+
+
+def pivots(nodes: DataFrame, most: int = 1000, id_col: str = "cell_id") -> DataFrame:
+    """All nodes, or ``most`` of them picked by a hash of their id: the sources of an estimate."""
+    return nodes.select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(most)
 
 
 def closeness(edges: DataFrame, nodes: DataFrame, sources: DataFrame | None = None, id_col: str = "cell_id") -> DataFrame:
@@ -245,32 +259,24 @@ def global_efficiency(edges: DataFrame, nodes: DataFrame, id_col: str = "cell_id
     return lv.agg((F.coalesce(F.sum(1.0 / F.col("depth")), F.lit(0.0)) / F.lit(float(max(n * (n - 1), 1)))).alias("efficiency"))
 
 
-def betweenness(edges: DataFrame, nodes: DataFrame, pivots: DataFrame | None = None, id_col: str = "cell_id") -> DataFrame:
-    """Normalised betweenness from pivot sources (all nodes when None).
+def betweenness(edges: DataFrame, nodes: DataFrame, sources: DataFrame | None = None, id_col: str = "cell_id", most: int = 1000) -> DataFrame:
+    """Normalised betweenness from ``sources``, by default ``pivots`` of ``most`` nodes (exact where there are no more).
 
-    Path counts come from ``bfs_levels``; dependencies are summed back level by
-    level for all pivots at once.
+    Path counts come level by level; dependencies are summed back in the same
+    levels for all sources at once.
     """
     n = nodes.count()
-    src = (pivots if pivots is not None else nodes).select(id_col)
+    src = cut(sources.select(id_col) if sources is not None else pivots(nodes, most, id_col))
     k = src.count()
-    lv = bfs_levels(edges, src)
-    nb = both_ways(edges.select("src", "dst"))
-    deepest = lv.agg(F.max("depth")).first()[0] or 0
-    delta = cut(lv.where(F.col("depth") == deepest).select("source", "node", F.lit(0.0).alias("delta")))
-    done = [delta]
-    for depth in range(deepest - 1, 0, -1):
-        below = (lv.where(F.col("depth") == depth + 1).join(delta, ["source", "node"])
-                 .select("source", F.col("node").alias("nbr"), ((1 + F.col("delta")) / F.col("sigma")).alias("share")))
-        here = lv.where(F.col("depth") == depth)
-        got = (here.join(nb, "node").join(below, ["source", "nbr"]).groupBy("source", "node")
-               .agg(F.sum(F.col("sigma") * F.col("share")).alias("delta")))
-        delta = cut(here.select("source", "node").join(got, ["source", "node"], "left")
-                    .select("source", "node", F.coalesce("delta", F.lit(0.0)).alias("delta")))
+    levels = _levels(edges, src, 10_000)
+    nb = cut(both_ways(edges.select("src", "dst")))
+    delta, done = levels[-1].select("source", "node", "sigma", F.lit(0.0).alias("delta")), []
+    for here in levels[-2:0:-1]:
         done.append(delta)
-    total = done[0]
-    for part in done[1:]:
-        total = total.unionByName(part)
+        below = delta.select("source", F.col("node").alias("nbr"), ((1 + F.col("delta")) / F.col("sigma")).alias("share"))
+        got = below.join(nb, "nbr").groupBy("source", "node").agg(F.sum("share").alias("share"))
+        delta = cut(here.join(got, ["source", "node"], "left").select("source", "node", "sigma", (F.col("sigma") * F.coalesce("share", F.lit(0.0))).alias("delta")))
+    total = _all(done + [delta])
     scale = (1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0) * (n / max(k, 1))
     per = total.where(F.col("source") != F.col("node")).groupBy(F.col("node").alias(id_col)).agg(F.sum("delta").alias("b"))
     return nodes.select(id_col).join(per, id_col, "left").select(id_col, (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))

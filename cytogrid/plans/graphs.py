@@ -236,9 +236,15 @@ def closeness(spark, d):
     return G.closeness(_backbone(spark, d), D.points(spark, d)).select("cell_id", r("closeness").alias("closeness"))
 
 
-@query("betweenness", "G12")
+@query("betweenness", "G12", f"""WITH RECURSIVE {EDGES_SQL},
+adj AS (SELECT src AS node, dst AS nbr FROM scored WHERE alpha < 0.3 UNION ALL SELECT dst, src FROM scored WHERE alpha < 0.3),
+best(root, node, depth, sigma) USING KEY (root, node) AS (SELECT cell_id, cell_id, 0, 1::DOUBLE FROM points UNION
+  SELECT w.root, a.nbr, min(w.depth) + 1, sum(w.sigma) FROM best w JOIN adj a ON a.node = w.node LEFT JOIN recurring.best k ON k.root = w.root AND k.node = a.nbr WHERE k.root IS NULL GROUP BY 1, 2),
+b AS (SELECT v.node, sum(v.sigma * w.sigma / t.sigma) AS b FROM best v JOIN best w ON w.root = v.node AND w.node <> v.node JOIN best t ON t.root = v.root AND t.node = w.node
+  WHERE v.root <> v.node AND t.depth = v.depth + w.depth GROUP BY 1), n AS (SELECT count(*)::DOUBLE AS n FROM points)
+SELECT cell_id, round(coalesce(b, 0) / ((n - 1) * (n - 2)), 6) AS betweenness FROM points CROSS JOIN n LEFT JOIN b ON b.node = cell_id""", "points")
 def betweenness(spark, d):
-    return G.betweenness(_backbone(spark, d), D.points(spark, d)).select("cell_id", r("betweenness").alias("betweenness"))
+    return G.betweenness(_backbone(spark, d), D.points(spark, d), D.points(spark, d)).select("cell_id", r("betweenness").alias("betweenness"))
 
 
 @query("global_efficiency", "G11", f"""WITH RECURSIVE {EDGES_SQL},
@@ -250,9 +256,13 @@ def global_efficiency(spark, d):
     return G.global_efficiency(_backbone(spark, d), D.points(spark, d)).select(r("efficiency").alias("efficiency"))
 
 
-@query("eigenvector_centrality", "G13")
+@query("eigenvector_centrality", "G13", f"""WITH RECURSIVE {EDGES_SQL},
+adj AS (SELECT src AS node, dst AS nbr FROM scored WHERE alpha < 0.3 UNION ALL SELECT dst, src FROM scored WHERE alpha < 0.3 UNION ALL SELECT cell_id, cell_id FROM points),
+pw(k, node, v) AS (SELECT 0, cell_id, 1::DOUBLE FROM points UNION ALL SELECT min(k) + 1, a.node, sum(v) FROM pw JOIN adj a ON a.nbr = pw.node WHERE k < 100 GROUP BY 2)
+SELECT node AS cell_id, round(v / sqrt(sum(v * v) OVER ()), 4) AS centrality FROM pw WHERE k = 100""", "points")
 def eigenvector_centrality(spark, d):
-    return G.eigenvector_centrality(_backbone(spark, d), D.points(spark, d)).select("cell_id", r("centrality", 4).alias("centrality"))
+    # all rounds, so that the SQL twin knows their number
+    return G.eigenvector_centrality(_backbone(spark, d), D.points(spark, d), rounds=100, tol=0.0).select("cell_id", r("centrality", 4).alias("centrality"))
 
 
 @query("communities", "G15")

@@ -42,11 +42,21 @@ def moran_ranked_genes(spark, d):
     return global_rank(s, [F.desc("k"), F.asc("gene")], "svg_rank").where(F.col("svg_rank") <= 10).select("gene", "svg_rank")
 
 
-@query("moran_significance", "G20 M33")
+@query("moran_significance", "G20 M33", f"""WITH {KNN4}, {DENSE}, z AS (SELECT cell_id, gene, v - m AS z FROM dense JOIN mu USING (gene)),
+den AS (SELECT gene, sum(z * z) AS ss, count(*) AS n FROM z GROUP BY 1), w AS (SELECT count(*)::DOUBLE AS w FROM knn),
+num AS (SELECT a.gene, sum(a.z * b.z) AS i FROM knn JOIN z a ON a.cell_id = src JOIN z b ON b.cell_id = dst AND b.gene = a.gene GROUP BY 1),
+m AS (SELECT gene, n::DOUBLE AS n, w, n / w * i / ss AS moran_i FROM num JOIN den USING (gene), w),
+s1 AS (SELECT sum(c * c) / 2 AS s1 FROM (SELECT least(src, dst), greatest(src, dst), 1.0::DOUBLE * count(*) AS c, unnest([1, 2]) FROM knn GROUP BY 1, 2)),
+s2 AS (SELECT sum(c * c)::DOUBLE AS s2 FROM (SELECT v, count(*)::DOUBLE AS c FROM (SELECT src AS v FROM knn UNION ALL SELECT dst FROM knn) GROUP BY 1)),
+t AS (SELECT gene, moran_i, (moran_i + 1 / (n - 1)) / sqrt((n * n * s1 - n * s2 + 3 * w * w) / ((n * n - 1) * w * w) - 1 / ((n - 1) * (n - 1))) AS z FROM m, s1, s2),
+h AS (SELECT *, greatest(10 - abs(z), 0) / 2000 AS h FROM t),
+p AS (SELECT gene, moran_i, z, any_value(h) / 3 / sqrt(2 * pi()) * sum((CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(abs(z) + i * h, 2) / 2)) AS tail FROM h CROSS JOIN range(0, 2001) r(i) GROUP BY 1, 2, 3),
+q AS (SELECT *, row_number() OVER (ORDER BY p, gene) AS r, count(*) OVER () AS n FROM (SELECT gene, moran_i, z, CASE WHEN z >= 0 THEN tail ELSE 1 - tail END AS p FROM p))
+SELECT gene, round(moran_i, 5) AS moran_i, round(z, 4) AS z, round(least(min(n * p / r) OVER (ORDER BY p DESC, gene DESC ROWS UNBOUNDED PRECEDING), 1), 4) AS p_adj FROM q""", "cells expr")
 def moran_significance(spark, d):
     c, w = D.cells(spark, d), _knn(spark, d)
     z = A.moran_z(A.moran_geary(_x(spark, d), c, w), w, c.agg(F.count(F.lit(1)).alias("n")))
-    return MT.adjust(z, "bh").select("gene", r("moran_i", 5).alias("moran_i"), r("z", 4).alias("z"), r("p_adj", 5).alias("p_adj"))
+    return MT.adjust(z, "bh").select("gene", r("moran_i", 5).alias("moran_i"), r("z", 4).alias("z"), r("p_adj", 4).alias("p_adj"))
 
 
 EDGE15 = """e AS (SELECT a.cell_id AS src, b.cell_id AS dst, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS dist FROM cells a JOIN cells b

@@ -224,7 +224,8 @@ def upscale(px: DataFrame, factor: int) -> DataFrame:
             .select((F.col("y") * factor + F.col("_i")).alias("y"), (F.col("x") * factor + F.col("_j")).alias("x"), "label"))
 
 
-def place_patches(px: DataFrame, offsets: DataFrame, boxes_clear: bool = True, height: int | None = None, width: int | None = None) -> DataFrame:
+def place_patches(px: DataFrame, offsets: DataFrame, boxes_clear: bool = True, height: int | None = None, width: int | None = None,
+                  bin_size: int = 512) -> DataFrame:
     """Patches on one canvas, ids made global, later patches overwriting earlier ones.
 
     ``px``: (patch, y, x, label) in patch coordinates; ``offsets``: (patch, oy, ox, h, w).
@@ -239,8 +240,10 @@ def place_patches(px: DataFrame, offsets: DataFrame, boxes_clear: bool = True, h
     best = g.groupBy("y", "x").agg(F.max_by("label", "patch").alias("label"), F.max("patch").alias("patch"))
     if boxes_clear:
         o = offsets.select(F.col("patch").alias("_p"), *[F.col(c).alias(f"_{c}") for c in ("oy", "ox", "h", "w")])
-        # offsets: one row per patch; a later box over the pixel wipes it
-        later = ((F.col("_p") > F.col("patch")) & (F.col("y") >= F.col("_oy")) & (F.col("y") < F.col("_oy") + F.col("_h"))
+        o = o.withColumn("_by", F.explode(F.expr(f"sequence(floor(_oy / {bin_size}), floor((_oy + _h - 1) / {bin_size}))"))).withColumn("_bx", F.explode(F.expr(f"sequence(floor(_ox / {bin_size}), floor((_ox + _w - 1) / {bin_size}))")))
+        # a later box over the pixel wipes it; boxes meet pixels by the bins they cover
+        later = ((F.floor(F.col("y") / bin_size) == F.col("_by")) & (F.floor(F.col("x") / bin_size) == F.col("_bx"))
+                 & (F.col("_p") > F.col("patch")) & (F.col("y") >= F.col("_oy")) & (F.col("y") < F.col("_oy") + F.col("_h"))
                  & (F.col("x") >= F.col("_ox")) & (F.col("x") < F.col("_ox") + F.col("_w")))
         best = best.join(o, later, "left_anti")
     return best.select("y", "x", "label")
@@ -261,6 +264,26 @@ def blend_tiles(values: DataFrame, uncovered: float = -10.0, grid: DataFrame | N
     return grid.join(out, ["y", "x"], "left").withColumn("v", F.coalesce("v", F.lit(float(uncovered))))
 
 
+def rasterize_polygons(shapes: DataFrame, shape_id: str = "cell_id", ring: str = "ring") -> DataFrame:
+    """Pixels (y, x, label) whose centre (x + 0.5, y + 0.5) lies in a polygon, by the even-odd rule.
+
+    Every side is cut by the pixel rows it spans; between a row's sorted cuts lie
+    its spans, closed on the left and open on the right, so polygons that share
+    a side share no pixel. Where polygons overlap the largest id wins. A null or
+    empty ring has no pixels; a ring may repeat its first vertex at the end.
+    """
+    from cytogrid.operators.spatial import _edges
+    e = shapes.where(F.size(ring) > 2).select(F.col(shape_id).alias("label"), F.explode(_edges(F.col(ring))).alias("e"))
+    e = e.select("label", F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"))
+    pixels = lambda lo, hi: F.sequence(F.ceil(lo - 0.5), F.ceil(hi - 0.5) - 1)
+    cut_by = e.where(F.ceil(F.least("ay", "by") - 0.5) < F.ceil(F.greatest("ay", "by") - 0.5)).withColumn("y", F.explode(pixels(F.least("ay", "by"), F.greatest("ay", "by"))))
+    at = F.col("ax") + (F.col("y") + 0.5 - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))
+    rows = cut_by.groupBy("label", "y").agg(F.sort_array(F.collect_list(at)).alias("c"))  # cuts of one polygon in one row
+    spans = rows.select("label", "y", F.explode(F.expr("transform(sequence(0, size(c) - 2, 2), i -> struct(c[i] as lo, c[i + 1] as hi))")).alias("s"))
+    filled = spans.where(F.ceil(F.col("s.lo") - 0.5) < F.ceil(F.col("s.hi") - 0.5)).select("label", "y", F.explode(pixels(F.col("s.lo"), F.col("s.hi"))).alias("x"))
+    return filled.groupBy(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")).agg(F.max("label").alias("label"))
+
+
 def outlines(px: DataFrame, max_area: int | None = None) -> DataFrame:
     """Outline of the largest part of each label as (label, ring, n_vertices).
 

@@ -225,6 +225,18 @@ def polygon_convexity(spark, d):
     return m.select("cell_id", r(F.col("area") / F.col("hull")).alias("convexity")).where("convexity >= 0.85")
 
 
+@query("rasterize_polygons", "G24", """SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(max(cell_id) AS BIGINT) AS label FROM (SELECT *, x + 0.5 - ox AS dx, abs(y + 0.5 - oy) AS dy FROM shapes, range(0, 50) a(x), range(0, 50) b(y))
+WHERE dy < 0.75 * r AND dx >= 2 * dy / 3 - r AND dx < r - 2 * dy / 3 GROUP BY 1, 2""", "shapes")
+def rasterize_polygons(spark, d):
+    return R.rasterize_polygons(D.shapes(spark, d)).select("y", "x", F.col("label").cast("long").alias("label"))
+
+
+@query("outline_round_trip", "G24", "SELECT y, x, label FROM raster", "raster")
+def outline_round_trip(spark, d):
+    """Mask to outlines and back."""
+    return R.rasterize_polygons(R.outlines(D.raster(spark, d)), "label").select("y", "x", "label")
+
+
 @query("tile_stats", "A29", """SELECT count(*) AS n, round(avg(r * r * 2.25), 6) AS mean_area, round(quantile_cont(r * r * 2.25, 0.5), 6) AS median_area FROM shapes""", "shapes")
 def tile_stats(spark, d):
     from cytogrid.operators.ordering import exact_quantiles

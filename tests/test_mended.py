@@ -107,3 +107,32 @@ def test_normal_tail_far_out(spark):
         got = spark.range(1).select(SP.normal_log_sf(F.lit(z)), SP.normal_sf(F.lit(z))).first()
         assert abs(got[0] - want) < 1e-4 * 10 ** (-z / 40)
         assert z > 37 or abs(got[1] / math.exp(want) - 1) < 1e-4
+
+
+def test_rasterised_polygons_and_binned_patches(spark):
+    from cytogrid.operators import raster as R
+    shapes = spark.createDataFrame(
+        [(1, [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]),                              # a square
+         (2, [(4.0, 0.0), (7.0, 0.0), (7.0, 4.0), (4.0, 4.0), (4.0, 0.0)]),                  # shares a side, closed
+         (3, [(2.0, 2.0), (3.0, 2.0), (3.0, 3.0), (2.0, 3.0)]),                              # lies on the first
+         (4, [(10.0, 0.0), (16.0, 0.0), (16.0, 6.0), (13.0, 1.0), (10.0, 6.0)]),             # two spans in a row
+         (5, [(0.2, 9.0), (0.4, 9.0), (0.3, 9.4)]), (6, []), (7, None)],                     # between centres, empty, null
+        "cell_id long, ring array<struct<x:double,y:double>>")
+    got = {(r.y, r.x): r.label for r in R.rasterize_polygons(shapes).collect()}
+    want = {(y, x): 1 for y in range(4) for x in range(4)} | {(y, x): 2 for y in range(4) for x in range(4, 7)} | {(2, 2): 3}
+    assert {k: v for k, v in got.items() if v != 4} == want
+    assert sorted(x for y, x in got if y == 4 and x > 6) == [10, 15] and not any(y == 5 for y, x in got) and sorted(x for y, x in got if y == 0 and x > 6) == list(range(10, 16))
+
+    px = spark.createDataFrame([(p, y, x, 1) for p in range(3) for y in range(4) for x in range(4) if (x + y + p) % 2], "patch int, y int, x int, label int")
+    offsets = spark.createDataFrame([(0, 0, 0, 4, 4), (1, 2, 2, 4, 4), (2, 1, 3, 4, 4)], "patch int, oy int, ox int, h int, w int")
+    rows = lambda size: sorted(map(tuple, R.place_patches(px, offsets, bin_size=size).collect()))
+    assert rows(2) == rows(512) and len(rows(2)) < px.count()
+
+
+def test_pivots_estimate_and_cover(spark):
+    from cytogrid.operators import graph as G
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(6)], "src long, dst long, weight double")
+    nodes = spark.range(7).withColumnRenamed("id", "cell_id")
+    every = {r.cell_id: r.betweenness for r in G.betweenness(edges, nodes).collect()}
+    assert [round(every[i] * 30) for i in range(7)] == [2 * i * (6 - i) for i in range(7)]
+    assert G.pivots(nodes, 3).count() == 3 and len(G.betweenness(edges, nodes, most=3).collect()) == 7

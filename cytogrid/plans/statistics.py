@@ -111,10 +111,14 @@ def kernel_mass(spark, d):
     return A.kernel_mass(D.cells(spark, d), 0.8).select(r("p").alias("p"))
 
 
-@query("kernel_length_search", "M11")
+@query("kernel_length_search", "M11", """WITH RECURSIVE e AS (SELECT (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) AS d2 FROM cells a JOIN cells b ON a.cell_id < b.cell_id AND abs(a.y - b.y) < 13), n AS (SELECT count(*) AS n FROM cells),
+b(k, lo, hi, mid, got) AS (SELECT 0, 0.3::DOUBLE, 1.5::DOUBLE, 0.9::DOUBLE, 2 * sum(exp(-d2 / (2 * 0.81))) / any_value(n) FROM e, n UNION ALL
+ SELECT k + 1, lo, hi, (lo + hi) / 2, 2 * sum(exp(-d2 / ((lo + hi) * (lo + hi) / 2))) / any_value(n)
+ FROM (SELECT k, CASE WHEN got > 3 THEN lo ELSE mid END AS lo, CASE WHEN got > 3 THEN mid ELSE hi END AS hi FROM b WHERE abs(got - 3) > 0.01) s CROSS JOIN e CROSS JOIN n GROUP BY k, lo, hi)
+SELECT n AS n_cells, round(mid, 6) AS length FROM b, n WHERE abs(got - 3) <= 0.01""", "cells")
 def kernel_length_search(spark, d):
     l = A.search_length(D.cells(spark, d), 3.0, 0.3, 1.5)
-    return D.cells(spark, d).agg(F.count(F.lit(1)).alias("n_cells")).withColumn("length", F.lit(l).cast("double"))
+    return D.cells(spark, d).agg(F.count(F.lit(1)).alias("n_cells")).withColumn("length", r(F.lit(l)))
 
 
 @query("radius_search", "M10", """WITH RECURSIVE b AS (SELECT DISTINCT cell_type FROM cells WHERE cell_type = 'BUILDING'),

@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUICK = ["roi_filter", "spatial_network_summary", "knn_graph", "disparity_directed", "strongest_edges", "count_matrix", "marker_summary", "rank_sum_test",
          "morans_i_gearys_c", "benjamini_hochberg", "transcripts_in_polygons", "raster_lookup", "merge_layers", "lr_pathway_totals", "consensus_relabel",
-         "csv_round_trip", "geojson_round_trip", "tile_round_trip", "container_round_trip"]
+         "csv_round_trip", "geojson_round_trip", "tile_round_trip", "container_round_trip", "rasterize_polygons", "set_difference", "betweenness"]
 NAMES = sorted(ORACLE) if os.environ.get("CYTOGRID_ALL") else QUICK
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")

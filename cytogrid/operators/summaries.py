@@ -1,7 +1,7 @@
 """Tables and summaries: crosstabs, describe, top-k, elbow, set votes, reports."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -113,3 +113,19 @@ def compare_reports(original: DataFrame, refined: DataFrame, metrics: Sequence[s
     j = side(original, "original").join(side(refined, "refined"), "metric")
     diff = F.col("refined") - F.col("original")
     return j.withColumn("diff", diff).withColumn("pct_change", F.try_divide(F.lit(100.0) * diff, F.col("original")))
+
+
+def merge_suffixed(left: DataFrame, right: DataFrame, on: Sequence[str], suffixes: tuple[str, str] = ("_x", "_y"), how: str = "inner") -> DataFrame:
+    """Join on ``on``; other columns that both sides have get the suffix of their side. Null keys match nothing, repeated keys give every combination."""
+    both = (set(left.columns) & set(right.columns)) - set(on)
+    named = lambda df, end: df.select(*[F.col(f"`{c}`").alias(c + end if c in both else c) for c in df.columns])
+    return named(left, suffixes[0]).join(named(right, suffixes[1]), list(on), how)
+
+
+def concat_aligned(frames: Mapping[str, DataFrame], on: Sequence[str]) -> DataFrame:
+    """Tables side by side, aligned on ``on`` (unique in each): columns ``name_column``, null where a table lacks the key."""
+    parts = [df.select(*on, *[F.col(f"`{c}`").alias(f"{name}_{c}") for c in df.columns if c not in on]) for name, df in frames.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, list(on), "full")
+    return out

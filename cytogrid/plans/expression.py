@@ -130,14 +130,25 @@ def join_on_coordinates(spark, d):
     return t.join(b, ["x", "y", "order_id"], "left").agg(F.count(F.lit(1)).alias("n"), r(F.sum("qb"), 4).alias("qv"))
 
 
-@query("merge_with_suffix", "J5 J7", """SELECT gene, a.total AS total_full, b.total AS total_null, round(a.total - coalesce(b.total, 0), 6) AS llr FROM
+@query("merge_with_suffix", "J5", """SELECT gene, a.total AS total_full, b.total AS total_null, round(a.total - coalesce(b.total, 0), 6) AS llr FROM
 (SELECT gene, sum(value) AS total FROM panel GROUP BY 1) a LEFT JOIN (SELECT gene, sum(value) AS total FROM panel WHERE value > 1 GROUP BY 1) b USING (gene)""", "panel")
 def merge_with_suffix(spark, d):
+    from cytogrid.operators.summaries import merge_suffixed
     e = D.panel(spark, d)
-    a = e.groupBy("gene").agg(F.sum("value").alias("total_full"), F.sum(F.when(F.col("value") > 1, F.col("value"))).alias("total_null"))
+    total = lambda x: x.groupBy("gene").agg(F.sum("value").alias("total"))
+    a = merge_suffixed(total(e), total(e.where(F.col("value") > 1)), ["gene"], ("_full", "_null"), "left")
     return a.withColumn("llr", r(F.col("total_full") - F.coalesce("total_null", F.lit(0.0))))
 
 
+@query("concat_aligned", "J7", """SELECT gene, low_n, low_total, high_n, high_total FROM
+(SELECT gene, count(*) AS low_n, sum(value) AS low_total FROM panel WHERE value <= 1 GROUP BY 1) FULL JOIN (SELECT gene, count(*) AS high_n, sum(value) AS high_total FROM panel WHERE value > 1 GROUP BY 1) USING (gene)""", "panel")
+def concat_aligned(spark, d):
+    from cytogrid.operators.summaries import concat_aligned as op
+    e = D.panel(spark, d)
+    part = lambda x: x.groupBy("gene").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return op({"low": part(e.where("value <= 1")), "high": part(e.where("value > 1"))}, ["gene"])
+
+
 @query("map_ids_with_fallback", "J6 S15 F16", """WITH m AS (SELECT p_brand AS k, arg_max(p_name, p_partkey) AS v FROM part WHERE p_size > 45 AND p_partkey % 2 = 0 GROUP BY 1)
 SELECT coalesce(v, gene) AS mapped, sum(value) AS total FROM expr LEFT JOIN m ON k = gene GROUP BY 1""", "expr")
 def map_ids_with_fallback(spark, d):

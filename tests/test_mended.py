@@ -136,3 +136,13 @@ def test_pivots_estimate_and_cover(spark):
     every = {r.cell_id: r.betweenness for r in G.betweenness(edges, nodes).collect()}
     assert [round(every[i] * 30) for i in range(7)] == [2 * i * (6 - i) for i in range(7)]
     assert G.pivots(nodes, 3).count() == 3 and len(G.betweenness(edges, nodes, most=3).collect()) == 7
+
+
+def test_suffix_merge_and_aligned_concat(spark):
+    from cytogrid.operators import summaries as U
+    a = spark.createDataFrame([(1, 10), (2, 20), (2, 21), (None, 30)], "k int, v int")
+    b = spark.createDataFrame([(2, 5, "x"), (3, 6, "y"), (None, 7, "z")], "k int, v int, w string")
+    m = U.merge_suffixed(a, b, ["k"], ("_l", "_r"))
+    assert m.columns == ["k", "v_l", "v_r", "w"] and sorted(map(tuple, m.collect())) == [(2, 20, 5, "x"), (2, 21, 5, "x")]
+    c = U.concat_aligned({"a": a.where("v in (10, 20)"), "b": b.where("k > 1")}, ["k"])
+    assert sorted(map(tuple, c.select("k", "a_v", "b_v", "b_w").collect())) == [(1, 10, None, None), (2, 20, 5, "x"), (3, None, 6, "y")]

@@ -129,3 +129,20 @@ def concat_aligned(frames: Mapping[str, DataFrame], on: Sequence[str]) -> DataFr
     for part in parts[1:]:
         out = out.join(part, list(on), "full")
     return out
+
+
+def central_difference(curve: DataFrame, order: Sequence[str], value: str, h: float = 1.0) -> DataFrame:
+    """``slope`` of a curve sampled every ``h`` along ``order``: central differences inside, second-order one-sided ones at both ends.
+
+    Every point hands its share to the points whose slope it is part of, so no
+    window runs over the whole curve. Fewer than three points have no slope (null).
+    """
+    ranked = global_rank(curve, list(order), "_r", "_n")
+    at, n, v = F.col("_r"), F.col("_n"), F.col(value).cast("double")
+    share = lambda to, weight, when: F.when(when, F.struct(to.cast("long").alias("to"), (weight * v).alias("d")))
+    inside = lambda to: (to > 1) & (to < n)
+    first = F.when(at == 1, -1.5).when(at == 2, 2.0).when(at == 3, -0.5)
+    last = F.when(at == n, 1.5).when(at == n - 1, -2.0).when(at == n - 2, 0.5)
+    shares = F.array_compact(F.array(share(at + 1, F.lit(-0.5), inside(at + 1)), share(at - 1, F.lit(0.5), inside(at - 1)), share(F.lit(1), first, at <= 3), share(n, last, at >= n - 2)))
+    slopes = (ranked.where(n >= 3).select(F.explode(shares).alias("s")).groupBy(F.col("s.to").alias("_r")).agg((F.sum("s.d") / F.lit(float(h))).alias("slope")))
+    return ranked.join(slopes, "_r", "left").select(*curve.columns, "slope")

@@ -112,6 +112,14 @@ def discrete_difference(spark, d):
     return ranked.join(prev, "_r", "left").select("k", "n", F.coalesce(F.col("n") - F.col("_p"), F.lit(0)).alias("rise"))
 
 
+@query("central_difference", "W12", """WITH c AS (SELECT l_suppkey AS k, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1),
+w AS (SELECT k, n, lag(n) OVER o AS p1, lag(n, 2) OVER o AS p2, lead(n) OVER o AS q1, lead(n, 2) OVER o AS q2 FROM c WINDOW o AS (ORDER BY k))
+SELECT k, round(CASE WHEN p1 IS NULL THEN -1.5 * n + 2 * q1 - 0.5 * q2 WHEN q1 IS NULL THEN 1.5 * n - 2 * p1 + 0.5 * p2 ELSE (q1 - p1) / 2 END, 6) AS slope FROM w""")
+def central_difference(spark, d):
+    c = D.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return U.central_difference(c, ["k"], "n").select("k", r("slope").alias("slope"))
+
+
 @query("density_histogram", "A25", """WITH e AS (SELECT min(value) AS a, max(value) AS b, count(*) AS n FROM events), c AS (SELECT CAST(least(99, floor((value - a) / ((b - a) / 100))) AS INT) AS bin, count(*) AS k FROM events, e GROUP BY 1)
 SELECT CAST(i AS INT) AS bin, coalesce(k, 0) AS n, round(a + i * ((b - a) / 100), 6) AS "left", round(coalesce(k, 0) / (n * ((b - a) / 100)), 6) AS density FROM range(100) t(i) CROSS JOIN e LEFT JOIN c ON bin = i""")
 def density_histogram(spark, d):

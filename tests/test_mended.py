@@ -146,3 +146,11 @@ def test_suffix_merge_and_aligned_concat(spark):
     assert m.columns == ["k", "v_l", "v_r", "w"] and sorted(map(tuple, m.collect())) == [(2, 20, 5, "x"), (2, 21, 5, "x")]
     c = U.concat_aligned({"a": a.where("v in (10, 20)"), "b": b.where("k > 1")}, ["k"])
     assert sorted(map(tuple, c.select("k", "a_v", "b_v", "b_w").collect())) == [(1, 10, None, None), (2, 20, 5, "x"), (3, None, 6, "y")]
+
+
+def test_central_difference_is_exact_on_a_parabola(spark):
+    from cytogrid.operators import summaries as U
+    c = spark.range(40).selectExpr("id as x", "cast(id * id as double) as v").repartition(7)
+    assert {(r.x, r.slope) for r in U.central_difference(c, ["x"], "v", 0.5).collect()} == {(i, 4.0 * i) for i in range(40)}
+    assert [r.slope for r in U.central_difference(c.where("x < 2"), ["x"], "v").collect()] == [None, None]
+    assert U.central_difference(c.where("x < 0"), ["x"], "v").collect() == []

@@ -10,6 +10,7 @@ pairs.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -138,13 +139,13 @@ def hex16(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component, the one with the smallest doc_id; all columns of ``docs`` as they were.
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", find: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """One row of each component that ``find`` names, the one with the smallest doc_id; all columns of ``docs`` as they were.
 
     Rows are told apart by their place in ``docs``, so of repeated rows one
     stays; ``docs`` must be a scan, which reads the same twice.
     """
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    found = durable(near_duplicates(numbered.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("text"), "__row"), "__id", "text", ["__row"]))
+    found = durable(find(numbered.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("text"), "__row"), "__id", "text", ["__row"]))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")).alias("best"))
     return numbered.join(first.select(F.col("best.__row").alias("__row")), "__row", "left_semi").drop("__row")

@@ -12,13 +12,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from cytogrid.llm.common import Words, join_small, map_text, segment_sums, text_chunks
+from cytogrid.llm.common import Words, durable, join_small, map_text, segment_sums, text_chunks
 
 ORDER = 4
 BITS = 16  # of a character in a packed n-gram; characters beyond the basic plane share hashed codes
-TABLE = 1 << 18
 BOUND = 1  # a word's start and end
 UND = "und"
 FIELDS = [T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False), T.StructField("cross_entropy", T.DoubleType()),
@@ -134,16 +133,14 @@ class Identifier:
                 "cross_entropy": pa.array(low, mask=none), "n_symbols_read": size}
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER, table: int = TABLE) -> Identifier:
-    """Models from all rows of ``docs`` with a language.
-
-    At most ``table`` of the most frequent n-grams of a language are kept (ties by n-gram): the bound on what each task loads.
-    """
-    counts = gram_counts(docs, text, lang, order)
-    few = counts.withColumn("__r", F.row_number().over(W.partitionBy("lang", F.pmod(F.xxhash64("gram"), F.lit(64))).orderBy(F.desc("n"), "gram"))).where(F.col("__r") <= max(1, table // 64))
-    found = few.select("lang", "gram", "n").toArrow()
-    names, key, n = found.column("lang").to_numpy(), found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy()
-    return Identifier({name: KneserNey(key[names == name], n[names == name], order) for name in set(names.tolist())})
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER) -> Identifier:
+    """Models from all rows of ``docs`` with a language, with every n-gram that occurs: totals, followers and discounts are those of the complete counts."""
+    counts = durable(gram_counts(docs, text, lang, order))
+    models = {}
+    for name in [r.lang for r in counts.select("lang").distinct().collect()]:  # a language at a time, so that its names do not travel with the rows
+        found = counts.where(F.col("lang") == name).select("gram", "n").toArrow()
+        models[name] = KneserNey(found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy(), order)
+    return Identifier(models)
 
 
 def predict(docs: DataFrame, model: Identifier, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -151,8 +148,9 @@ def predict(docs: DataFrame, model: Identifier, text: str = "text", keep: list[s
 
     Null text and text without letters give ``und`` with score 0. Ties go to the first language by name.
     """
-    # the model travels with the function: at most TABLE n-grams for each language
-    return map_text(docs, lambda: model.judge, FIELDS, text, keep)
+    # the whole tables are broadcast; a worker loads them once for all its tasks
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return map_text(docs, lambda: shared.value.judge, FIELDS, text, keep)
 
 
 def calibrate(predicted: DataFrame, share: float = 0.999, slack: float = 1.25) -> DataFrame:

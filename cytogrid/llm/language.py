@@ -153,10 +153,29 @@ def predict(docs: DataFrame, model: Identifier, text: str = "text", keep: list[s
     return map_text(docs, lambda: shared.value.judge, FIELDS, text, keep)
 
 
-def calibrate(predicted: DataFrame, share: float = 0.999, slack: float = 1.25) -> DataFrame:
-    """Largest cross-entropy accepted for each predicted language and length class: ``slack`` times the ``share`` quantile of training texts."""
-    return (predicted.where(F.col("cross_entropy").isNotNull()).groupBy("lang_pred", length_class().alias("length_class"))
-            .agg((F.percentile_approx("cross_entropy", share, 1000) * slack).alias("limit")))
+def calibrate(predicted: DataFrame, share: float = 0.999, slack: float = 1.25, reach: float = 4.0, weight: float = 4.0) -> DataFrame:
+    """Largest cross-entropy accepted for each predicted language and length class: ``slack`` times the bound of training texts.
+
+    A bound is the ``share`` quantile, or the median and ``reach`` interquartile
+    ranges where that is less, so no single text sets it. It is averaged, as
+    if of ``weight`` texts, with that of the nearest shorter class of the
+    language, the first class with that of the language, and the language with
+    that of all languages. Rows without a class hold for the whole language, the
+    row without a language for all.
+    """
+    rows = predicted.where(F.col("cross_entropy").isNotNull()).select("lang_pred", length_class().alias("length_class"), "cross_entropy")
+    sets = rows.groupingSets([["lang_pred", "length_class"], ["lang_pred"], []], "lang_pred", "length_class")
+    found = sets.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("cross_entropy", [0.25, 0.5, 0.75, share], 1000).alias("q")).where("n > 0").collect()
+    bound = {(r.lang_pred, r.length_class): (r.n, min(r.q[3], r.q[1] + reach * max(r.q[2] - r.q[0], 0.05 * r.q[1]))) for r in found}
+    blend = lambda key, parent: (bound[key][0] * bound[key][1] + weight * parent) / (bound[key][0] + weight)
+    limits = {}
+    if bound:
+        limits[None, None] = bound[None, None][1]
+        for name in sorted({k[0] for k in bound} - {None}):
+            parent = limits[name, None] = blend((name, None), limits[None, None])
+            for c in sorted(k[1] for k in bound if k[0] == name and k[1] is not None):
+                parent = limits[name, c] = blend((name, c), parent)
+    return predicted.sparkSession.createDataFrame([(a, c, v * slack) for (a, c), v in limits.items()], "lang_pred string, length_class int, limit double")
 
 
 def length_class():
@@ -165,7 +184,15 @@ def length_class():
 
 
 def accept(predicted: DataFrame, limits: DataFrame, name: str = "accepted") -> DataFrame:
-    """Adds whether each text is accepted; a length class never seen in training has no limit."""
+    """Adds whether each text is accepted: by the limit of its length class, else of the nearest shorter class, else of the language, else of all languages.
+
+    Without any training text there is no limit.
+    """
+    rows = limits.collect()  # a few for each language
+    whole = {r.lang_pred: r.limit for r in rows if r.length_class is None}
     marked = predicted.withColumn("length_class", length_class())
-    joined = join_small(marked, limits, ["lang_pred", "length_class"])
-    return joined.withColumn(name, (F.col("lang_pred") != UND) & (F.coalesce(F.col("cross_entropy") <= F.col("limit"), F.lit(True)))).drop("length_class", "limit")
+    top = marked.sparkSession.createDataFrame([(n, c, max([(r.length_class, r.limit) for r in rows if r.lang_pred == n and r.length_class is not None and r.length_class <= c], default=(0, whole[n]))[1])
+                                               for n in whole if n is not None for c in range(32)], "lang_pred string, length_class int, limit double")
+    joined = join_small(marked, top, ["lang_pred", "length_class"])
+    limit = F.coalesce("limit", F.lit(whole.get(None)).cast("double"))
+    return joined.withColumn(name, (F.col("lang_pred") != UND) & F.coalesce(F.col("cross_entropy") <= limit, F.lit(True))).drop("length_class", "limit")

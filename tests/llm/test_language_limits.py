@@ -21,3 +21,21 @@ def test_models_keep_every_gram_of_a_large_alphabet(spark):
     for k in plain.levels:
         for a, b in zip(model.levels[k], plain.levels[k]):
             assert np.array_equal(a, b)
+
+
+PREDICTED = "lang_pred string, cross_entropy double, n_symbols_read long"
+
+
+def test_unseen_length_classes_and_languages_have_limits(spark):
+    seen = [("en", 3.0 + 0.01 * (i % 20), 300) for i in range(400)]
+    limits = language.calibrate(spark.createDataFrame(seen, PREDICTED))
+    asked = [("en", 9.0, 200_000), ("en", 3.1, 200_000), ("en", 9.0, 2), ("xx", 9.0, 300), ("xx", 3.1, 300), ("und", 0.0, 0)]
+    got = [r.accepted for r in language.accept(spark.createDataFrame(asked, PREDICTED), limits).collect()]
+    assert got == [False, True, False, False, True, False]
+
+
+def test_one_training_text_does_not_set_the_limit(spark):
+    seen = [("en", 3.0 + 0.01 * (i % 20), 300) for i in range(200)]
+    limit = lambda rows: {(r.lang_pred, r.length_class): r.limit for r in language.calibrate(spark.createDataFrame(rows, PREDICTED)).collect()}
+    clean, junk = limit(seen), limit(seen + [("en", 12.0, 300), ("en", 12.0, 200_000)])
+    assert junk["en", 4] < 1.25 * clean["en", 4] and junk["en", 8] < 0.6 * 1.25 * 12.0

@@ -4,6 +4,7 @@ from __future__ import annotations
 import os
 import sys
 import types
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from cytogrid.session import cut
+from cytogrid.session import cut, shared_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 2 << 20
@@ -233,3 +234,10 @@ def salted_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column], na
 
 def durable(df: DataFrame) -> DataFrame:
     return cut(df)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read from there: every reader sees the same rows with the same values."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cytogrid.llm.common import durable, join_small, map_text
+from cytogrid.llm.common import durable, join_small, map_text, stored
 from cytogrid.llm.components import components
 
 SHINGLE = 3
@@ -142,10 +142,11 @@ def hex16(fp: str = "fp"):
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", find: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
     """One row of each component that ``find`` names, the one with the smallest doc_id; all columns of ``docs`` as they were.
 
-    Rows are told apart by their place in ``docs``, so of repeated rows one
-    stays; ``docs`` must be a scan, which reads the same twice.
+    Rows are told apart by a number, so of repeated rows one stays. The numbered
+    rows are stored first: numbered anew for the last join, they would change
+    with the splits of a scan.
     """
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
     found = durable(find(numbered.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("text"), "__row"), "__id", "text", ["__row"]))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")).alias("best"))
     return numbered.join(first.select(F.col("best.__row").alias("__row")), "__row", "left_semi").drop("__row")

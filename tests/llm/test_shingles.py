@@ -2,6 +2,7 @@ import random
 import re
 
 import corpus_pipeline
+from cytogrid.llm import simhash
 
 
 def plain_sets(text):
@@ -51,3 +52,19 @@ def test_stage_against_all_pairs(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string").repartition(5).write.parquet(str(tmp_path / "d"))
     kept = corpus_pipeline.near_duplicates(spark, spark.read.parquet(str(tmp_path / "d")), "").collect()
     assert {r.doc_id for r in kept} == plain_kept(rows)
+
+
+def test_numbers_hold_when_the_splits_change(spark, tmp_path):
+    """The splits differ between the first job and the last, as after the loss of an executor."""
+    spark.createDataFrame([(i // 2, f"text {i // 2} " * 50) for i in range(4000)], "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "d"))
+
+    def find(rows, *args):
+        found = simhash.near_duplicates(rows, *args).localCheckpoint()
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        return found
+    try:
+        kept = simhash.keep_first(spark.read.parquet(str(tmp_path / "d")), find=find).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = simhash.near_duplicates(spark.read.parquet(str(tmp_path / "d"))).select("component_id").distinct().collect()
+    assert sorted(r.doc_id for r in kept) == sorted(r.component_id for r in want)

@@ -3,8 +3,8 @@
 Two public vocabularies read every distinct word of a text: one gives characters
 per token and the entropy of the text's token distribution, the other the share
 of tokens that fall back to single bytes. Bands of normal values are taken per
-language (or script, where no language is given) from all documents, and texts
-outside the bands of their language are rejected. Base metrics count characters,
+language (or script, where no language is given) from all documents, leaning on
+those of the script where documents are few, and texts outside the bands of their language are rejected. Base metrics count characters,
 symbols, repeated lines and words in repeated five-word windows.
 """
 from __future__ import annotations
@@ -150,22 +150,44 @@ def text_metrics(docs: DataFrame, vocabulary: str, pieces: str, text: str = "tex
     return map_text(docs, make, FIELDS, text, keep, TOKEN_CHUNK_BYTES)
 
 
-def bands(metrics: DataFrame, group: str, reach: float = 4.0, least: int = 50) -> DataFrame:
-    """Normal range of the metrics per group over all documents that pass the base rules.
+BOUNDS = ["cpt_low", "cpt_high", "byte_high", "entropy_low"]
 
-    A bound lies ``reach`` interquartile ranges outside the quartiles. Groups of
-    fewer than ``least`` documents get no band of their own.
+
+def bands(metrics: DataFrame, group: str, reach: float = 4.0) -> DataFrame:
+    """Normal range of the metrics per group over all documents that pass the base rules, and their number ``n``.
+
+    A bound lies ``reach`` interquartile ranges outside the quartiles.
     """
     wide = lambda c, floor: F.greatest(F.col(f"{c}_q")[1] - F.col(f"{c}_q")[0], F.lit(floor)) * reach
     quartiles = (metrics.where(~F.col("base_failed") & F.col("chars_per_token").isNotNull()).groupBy(group)
-                 .agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(c, [0.25, 0.75], 1000).alias(f"{c}_q") for c in ("chars_per_token", "byte_share", "token_entropy")])
-                 .where(F.col("n") >= least))
-    return quartiles.select(group, (F.col("chars_per_token_q")[0] - wide("chars_per_token", 0.1)).alias("cpt_low"), (F.col("chars_per_token_q")[1] + wide("chars_per_token", 0.1)).alias("cpt_high"),
+                 .agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(c, [0.25, 0.75], 1000).alias(f"{c}_q") for c in ("chars_per_token", "byte_share", "token_entropy")]))
+    return quartiles.select(group, "n", (F.col("chars_per_token_q")[0] - wide("chars_per_token", 0.1)).alias("cpt_low"), (F.col("chars_per_token_q")[1] + wide("chars_per_token", 0.1)).alias("cpt_high"),
                             (F.col("byte_share_q")[1] + wide("byte_share", 0.02)).alias("byte_high"), (F.col("token_entropy_q")[0] - wide("token_entropy", 0.25)).alias("entropy_low"))
 
 
-# bounds of any text where its language has no band: characters per token, byte share, entropy in bits
-FALLBACK = {"cpt_low": 1.0, "cpt_high": 12.0, "byte_high": 0.5, "entropy_low": 2.0}
+# bounds of characters per token, byte share and entropy in bits by script, in the order of BOUNDS: about half and three times the characters per
+# token, and 0.2 above the byte share, that the two public vocabularies give plain sentences (Latin: Vietnamese 0.76 to English 4.09)
+FIXED = {"latin": (0.4, 12.0, 0.25, 2.0), "greek": (0.25, 1.5, 0.2, 2.0), "cyrillic": (0.4, 2.4, 0.2, 2.0), "hebrew": (0.25, 1.5, 0.2, 2.0), "arabic": (0.45, 2.9, 0.2, 2.0),
+         "devanagari": (0.4, 2.4, 0.3, 2.0), "thai": (0.45, 2.7, 0.2, 2.0), "hangul": (0.25, 1.5, 0.25, 2.0), "kana": (0.25, 1.7, 0.35, 2.0), "han": (0.2, 1.3, 0.2, 2.0)}
+OTHER = (0.2, 12.0, 0.9, 2.0)
+
+
+def with_bounds(metrics: DataFrame, reach: float, weight: float = 25.0) -> DataFrame:
+    """Adds BOUNDS: those of the text's group, averaged, as if of ``weight`` documents, with those of its script, and these likewise with FIXED.
+
+    Every group is averaged by its number of documents; there is no size at which the verdict changes over.
+    """
+    joined = metrics
+    for group, tag in (("band_group", "own"), ("script", "wide")):
+        found = bands(metrics, group, reach)
+        joined = join_small(joined, found.select(group, *[F.col(c).alias(f"{tag}_{c}") for c in ["n", *BOUNDS]]), [group])
+    for k, name in enumerate(BOUNDS):
+        bound = F.coalesce(F.create_map(*[F.lit(x) for s, v in FIXED.items() for x in (s, v[k])])[F.col("script")], F.lit(OTHER[k]))
+        for tag in ("wide", "own"):
+            n = F.coalesce(f"{tag}_n", F.lit(0))
+            bound = (n * F.coalesce(f"{tag}_{name}", F.lit(0.0)) + weight * bound) / (n + weight)
+        joined = joined.withColumn(name, bound)
+    return joined
 
 
 def judge(docs: DataFrame, vocabulary: str, pieces: str, text: str = "text", lang: str = "lang", keep: list[str] | None = None, reach: float = 4.0) -> DataFrame:
@@ -177,9 +199,7 @@ def judge(docs: DataFrame, vocabulary: str, pieces: str, text: str = "text", lan
     """
     cols = list(dict.fromkeys((docs.columns if keep is None else keep) + [lang]))
     m = durable(text_metrics(docs, vocabulary, pieces, text, cols).withColumn("band_group", F.coalesce(F.col(lang), F.concat(F.lit("script:"), "script"))))
-    joined = join_small(m, bands(m, "band_group", reach), ["band_group"])
-    for name, value in FALLBACK.items():
-        joined = joined.withColumn(name, F.coalesce(name, F.lit(value)))
+    joined = with_bounds(m, reach)
     reason = (F.when(F.col("base_failed"), "base").when(F.col("chars_per_token").isNull(), "no tokens")
               .when(~F.col("chars_per_token").between(F.col("cpt_low"), F.col("cpt_high")), "characters per token").when(F.col("byte_share") > F.col("byte_high"), "byte fallback")
               .when((F.col("token_entropy") < F.col("entropy_low")) & (F.col("token_entropy") < 0.5 * F.log2("n_tokens")), "token entropy"))

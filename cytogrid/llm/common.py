@@ -241,3 +241,38 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+# ------------------------------------------------------------- byte tokens
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def byte_table(inside: Callable[[int], bool]) -> np.ndarray:
+    return np.array([inside(b) for b in range(256)])
+
+
+def byte_tokens(texts: pa.Array, inside: np.ndarray, lead: int | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of bytes of the table ``inside`` within each text (null: none), A-Z in lower case.
+
+    A byte behind the byte ``lead`` is inside too. Gives the tokens, the offsets of
+    the rows among them, the UTF-8 bytes of all rows and the place of each
+    token's first byte there. Valid only for tables that never part a character.
+    """
+    texts = texts.fill_null("").cast(pa.large_string())
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[at[0]:at[-1]] if len(texts) and texts.buffers()[2] else np.zeros(0, np.uint8)
+    at = at - at[0]
+    mask = inside[data]
+    if lead is not None:
+        mask[1:] |= data[:-1] == lead
+    begins = mask.copy()
+    begins[1:] &= ~mask[:-1]
+    first = at[:-1][at[:-1] < at[1:]]
+    begins[first] = mask[first]
+    starts = np.flatnonzero(begins)
+    kept = _LOWER[data[mask]]
+    ends = np.append((np.cumsum(mask) - mask)[starts], len(kept))
+    tokens = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(kept)])
+    return tokens, np.searchsorted(starts, at), data, starts

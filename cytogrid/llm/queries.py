@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cytogrid.llm import ann, fertility, kd_shards, language, mixing, packing, quality_model, simhash, token_files, url_rules
+from cytogrid.llm import ann, fertility, kd_shards, language, mixing, packing, phrases, quality_model, simhash, token_files, url_rules
 from cytogrid.llm.common import durable
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -139,3 +139,33 @@ def op10_kneser_ney(spark, sf_dir):
     found = durable(language.predict(marked, model, keep=["doc_id", "held_out", "labelled"]))
     limits = language.calibrate(found.where(~F.col("held_out") & F.col("labelled")))
     return language.accept(found, limits).select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "accepted")
+
+
+@query
+def op11_setm(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"), longest=3, least=10, cover=50, top=2000)
+
+
+ORACLE["op11_setm"] = r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS piece, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)),
+sizes AS (SELECT lang, sum(len(words))::BIGINT AS n FROM pieces GROUP BY lang),
+places AS (SELECT lang, words, unnest(generate_series(1, len(words))) AS i FROM pieces),
+grams AS (SELECT lang, words[i:i + m - 1] AS words, m FROM places, (VALUES (1), (2), (3)) AS t(m) WHERE i + m - 1 <= len(words)),
+f AS (SELECT lang, words, m, count(*)::HUGEINT AS f FROM grams GROUP BY lang, words, m HAVING count(*) >= 10),
+parts AS (SELECT lang, words, m, f, k, words[1:k] AS one, words[k + 1:m] AS two FROM f, (VALUES (1), (2)) AS t(k) WHERE k < m),
+cuts AS (
+  SELECT c.lang, c.words, c.m, c.f AS a, x.f AS l, y.f AS r, (1000000 * c.f * c.f) // (x.f * y.f) AS score, k
+  FROM parts c JOIN f x ON x.lang = c.lang AND x.words = c.one JOIN f y ON y.lang = c.lang AND y.words = c.two),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+above AS (
+  SELECT lang, words, max(f) AS f FROM (SELECT lang, words[1:2] AS words, f FROM f WHERE m = 3 UNION ALL SELECT lang, words[2:3], f FROM f WHERE m = 3) GROUP BY lang, words),
+free AS (
+  SELECT b.lang, array_to_string(b.words, ' ') AS phrase, b.a, b.l, b.r, b.score
+  FROM best b LEFT JOIN above u ON b.m = 2 AND u.lang = b.lang AND u.words = b.words WHERE u.f IS NULL OR 100 * u.f < 50 * b.a)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM free) JOIN sizes USING (lang) WHERE rank <= 2000
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cytogrid.llm import ann, fertility, kd_shards, language, mixing, packing, phrases, quality_model, simhash, token_files, url_rules
+from cytogrid.llm import ann, fertility, kd_shards, language, mixing, packing, phrases, positional, quality_model, simhash, token_files, url_rules
 from cytogrid.llm.common import durable
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -169,3 +169,30 @@ free AS (
 SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM free) JOIN sizes USING (lang) WHERE rank <= 2000
 """
+
+
+@query
+def op13_positional_index(spark, sf_dir):
+    return positional.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+
+
+ORACLE["op13_positional_index"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark),
+windows AS (
+  SELECT item_id, least(len(words), 10) AS length, array_to_string(words[i:i + least(len(words), 10) - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(generate_series(1, greatest(len(words) - 9, 1))) AS i FROM items WHERE len(words) > 0)),
+lengths AS (SELECT DISTINCT length FROM windows),
+places AS (SELECT row, words, unnest(generate_series(1, len(words))) AS i FROM docs),
+runs AS (SELECT row, i, length, array_to_string(words[i:i + length - 1], ' ') AS phrase FROM places, lengths WHERE i + length - 1 <= len(words)),
+found AS (SELECT r.row, r.i, r.length, w.item_id FROM runs r JOIN windows w ON w.length = r.length AND w.phrase = r.phrase),
+hit AS (SELECT row, count(DISTINCT word) AS n_hit FROM (SELECT row, unnest(generate_series(i, i + length - 1)) AS word FROM found) GROUP BY row),
+named AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item_id::VARCHAR AS item FROM found) GROUP BY row)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (row) LEFT JOIN named USING (row)
+"""

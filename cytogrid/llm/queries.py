@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cytogrid.llm import ann, fertility, kd_shards, language, mixing, packing, phrases, positional, quality_model, simhash, token_files, url_rules
+from cytogrid.llm import ann, fertility, kd_shards, language, mixing, packing, phrases, positional, quality_model, simhash, token_files, url_rules, variants
 from cytogrid.llm.common import durable
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -171,6 +171,41 @@ FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC
 """
 
 
+@query
+def op12_edit_composition(spark, sf_dir):
+    return variants.spellings(table(spark, sf_dir, "documents"), least=3, times=2, damage=97)
+
+
+ORACLE["op12_edit_composition"] = r"""
+WITH crc AS (
+  SELECT list(v ORDER BY b) AS t
+  FROM (SELECT b, list_reduce(list_prepend(b, [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) AS v FROM range(256) r(b))),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, len(x) // 2 + 1), lambda i: ('0x' || x[2 * i - 1:2 * i])::BIGINT)),
+                                              lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM counted, crc),
+vocabulary AS (
+  SELECT word, sum(n)::BIGINT AS n
+  FROM (SELECT CASE WHEN h % 97 = 0 THEN run[:h % len(run)] || run[h % len(run) + 2:] ELSE run END AS word, n FROM hashed) WHERE len(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+less AS (SELECT word, n, unnest(generate_series(1, len(word))) AS i FROM vocabulary),
+cut AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM less),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN vocabulary b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN vocabulary b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS other, max(m) AS m FROM near GROUP BY word),
+judged AS (
+  SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 2 * v.n THEN other END AS form, CASE WHEN m >= 2 * v.n THEN m END AS form_n FROM vocabulary v LEFT JOIN best USING (word)),
+ends AS (
+  WITH RECURSIVE chain AS (SELECT word, word AS root, 0 AS steps FROM judged UNION ALL SELECT c.word, j.form, steps + 1 FROM chain c JOIN judged j ON j.word = c.root WHERE j.form IS NOT NULL)
+  SELECT word, arg_max(root, steps) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n::BIGINT AS form_n FROM judged JOIN ends USING (word)
+"""
+
+
 @query
 def op13_positional_index(spark, sf_dir):
     return positional.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)

@@ -5,6 +5,7 @@ import os
 import sys
 import types
 import uuid
+import weakref
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -240,7 +241,24 @@ def stored(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read from there: every reader sees the same rows with the same values."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    _stored[id(out)] = weakref.ref(out, lambda _, key=id(out): _stored.pop(key, None)), path
+    return out
+
+
+_stored: dict[int, tuple] = {}
+
+
+def remove_folder(spark, path: str) -> None:
+    """Deletes a folder of the shared store, wherever it is."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables made by ``stored`` that nothing will read again."""
+    for df in tables:
+        remove_folder(df.sparkSession, _stored.pop(id(df))[1])
 
 
 # ------------------------------------------------------------- byte tokens

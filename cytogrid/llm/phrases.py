@@ -17,16 +17,16 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from cytogrid.llm.common import byte_table, byte_tokens, rows_of, stored, text_chunks
+from cytogrid.llm.common import byte_table, byte_tokens, release, rows_of, stored, text_chunks
 from cytogrid.operators.ordering import OrderedBlocks
 
-SLICE_BYTES = 16 << 20
+HELD_BYTES = 16 << 20
 BLOCK_WORDS = 2_000_000
 COUNTER_BITS, INDEX_BITS = 16, 27  # a phrase's number: task, block of the task, place in the block
 UND = "und"
 BREAKS = byte_table(lambda b: b in b".,;:!?\n\x0b\x0c\r")
 INSIDE = byte_table(lambda b: b not in b" \t") & ~BREAKS
-PER_SALT = 50_000
+PER_PART, FAN = 50_000, 25
 
 
 def packed(codes: np.ndarray) -> bytes:
@@ -37,7 +37,7 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), "<i4")
 
 
-def blocks(texts: pa.Array):
+def blocks(texts: pa.Array, size: int):
     """Blocks of the words of ``texts``: word codes with -1 between pieces, the distinct words, and the counts of each."""
     words, rows, data, starts = byte_tokens(texts, INSIDE)
     if not len(words):
@@ -48,7 +48,7 @@ def blocks(texts: pa.Array):
     opens = np.flatnonzero(new)
     at = 0
     while at < len(words):  # cut where a piece begins
-        later = opens[np.searchsorted(opens, at + BLOCK_WORDS):]
+        later = opens[np.searchsorted(opens, at + size):]
         stop = int(later[0]) if len(later) else len(words)
         found = words.slice(at, stop - at).dictionary_encode()
         codes = found.indices.to_numpy(zero_copy_only=False)
@@ -57,21 +57,34 @@ def blocks(texts: pa.Array):
         at = stop
 
 
-def relation(docs: DataFrame, text: str, lang: str) -> DataFrame:
+def relation(docs: DataFrame, text: str, lang: str, size: int = BLOCK_WORDS) -> DataFrame:
     """The words of all documents by block: block, lang, n_words, n_codes, codes, words, counts."""
     def run(batches):
-        task, number = TaskContext.get().partitionId(), 0
-        for chunk in text_chunks(batches, "text", SLICE_BYTES):
+        task, number, held, total = TaskContext.get().partitionId(), 0, {}, 0
+
+        def flush(name):
+            nonlocal number, total
+            texts = pa.concat_arrays(held.pop(name))
+            total -= texts.nbytes
+            for codes, words, counts in blocks(texts, size):
+                if number >> COUNTER_BITS or len(words) >> INDEX_BITS or task >> (63 - COUNTER_BITS - INDEX_BITS):
+                    raise ValueError("more blocks or words in a task than a phrase number can tell apart")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([task << COUNTER_BITS | number]), pa.array([name], pa.string()), pa.array([int(counts.sum())]), pa.array([len(codes)]), pa.array([packed(codes)], pa.binary()),
+                     pa.array([words.cast(pa.string())], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64()))],
+                    names=["block", "lang", "n_words", "n_codes", "codes", "words", "counts"])
+                number += 1
+
+        for chunk in text_chunks(batches, "text"):
             langs = chunk.column("lang").fill_null(UND).dictionary_encode()
             for k, name in enumerate(langs.dictionary.to_pylist()):
-                for codes, words, counts in blocks(chunk.column("text").filter(pc.equal(langs.indices, k))):
-                    if number >> COUNTER_BITS or len(words) >> INDEX_BITS or task >> (63 - COUNTER_BITS - INDEX_BITS):
-                        raise ValueError("more blocks or words in a task than a phrase number can tell apart")
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([task << COUNTER_BITS | number]), pa.array([name], pa.string()), pa.array([int(counts.sum())]), pa.array([len(codes)]), pa.array([packed(codes)], pa.binary()),
-                         pa.array([words.cast(pa.string())], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64()))],
-                        names=["block", "lang", "n_words", "n_codes", "codes", "words", "counts"])
-                    number += 1
+                own = chunk.column("text").filter(pc.equal(langs.indices, k))
+                held.setdefault(name, []).append(own)
+                total += own.nbytes
+            while total > HELD_BYTES:  # the language that holds most
+                yield from flush(max(held, key=lambda name: sum(x.nbytes for x in held[name])))
+        for name in sorted(held):
+            yield from flush(name)
 
     source = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
     return stored(source.mapInArrow(run, "block long, lang string, n_words long, n_codes long, codes binary, words array<string>, counts array<long>"))
@@ -119,6 +132,10 @@ def semi_join(level: DataFrame, marks: DataFrame, extended: bool) -> DataFrame:
                 own = np.full(max(int(codes.max()), int(idx.max())) + 2, -1, np.int32)
                 own[idx[order]] = np.arange(len(idx))
                 new = own[codes]  # the last entry stands for -1
+            gap = new < 0
+            alone = ~gap & np.append(True, gap[:-1]) & np.append(gap[1:], True)
+            gap |= alone  # joins nothing
+            new = np.where(gap, -1, new)[~(gap & np.append(True, gap[:-1]))]  # one gap is as good as many
             out.append((key[0].as_py(), len(new), packed(new), found.column("gid").to_numpy()[order]))
         return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary()),
                          pa.array([r[3] for r in out], pa.list_(pa.int64()))], names=["block", "n_codes", "codes", "gids"])
@@ -151,7 +168,8 @@ def cut_score(m: int) -> Column:
     return F.array_min(F.array(*one))
 
 
-def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 3, least: int = 10, cover: int = 50, top: int | None = 2000) -> DataFrame:
+def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 3, least: int = 10, cover: int = 50, top: int | None = 2000,
+                 block_words: int = BLOCK_WORDS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the first ``top`` phrases of two to ``longest`` words of each language (None: all).
 
     Words are what blanks part within pieces, lower-cased A-Z; a null text is
@@ -161,19 +179,19 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     frequent phrase, then by bytes. Other columns do not matter; a table without
     words gives no rows.
     """
-    base = relation(docs, text, lang)
-    sizes = base.groupBy("lang").agg(F.sum("n_words").alias("n"))
+    base = relation(docs, text, lang, block_words)
+    sizes = stored(base.groupBy("lang").agg(F.sum("n_words").alias("n")))
     words = base.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("idx", "w")).select("lang", F.col("w.words").alias("word"), "block", F.col("idx").cast("long").alias("idx"), F.col("w.counts").alias("n"))
     marks = frequent(words, ["lang", "word"], least)
     none = F.array().cast("array<long>")
-    known = marks.where("first").select("gid", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "total", none.alias("pre"), none.alias("suf"))
+    known = stored(marks.where("first").select("gid", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "total", none.alias("pre"), none.alias("suf")))
     level, scored = semi_join(base, marks, False), None
+    release(base, marks)
     for m in range(2, longest + 1):
         counted = pairs(level)
         if m < longest:
             marks = frequent(counted, ["left", "right"], least)
             heads = marks.where("first").select("gid", "left", "right", "total")
-            level = semi_join(level, marks, True)
         else:
             place = F.min(F.shiftleft("block", INDEX_BITS) + F.col("idx"))
             heads = counted.groupBy("left", "right").agg(F.sum("n").alias("total"), place.alias("gid")).where(F.col("total") >= least)
@@ -182,6 +200,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
         longer = stored(heads.join(one, "left").join(two, "right").select(
             "gid", "left", "right", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "total",
             F.concat("pre", F.array("n_left")).alias("pre"), F.concat("suf", F.array("n_right")).alias("suf")))
+        if m < longest:
+            done, level = level, semi_join(level, marks, True)
+            release(done, marks)
+        else:
+            release(level)
         if m > 2:  # of the longer phrases that hold one, those with one more word are the most frequent
             above = longer.select(F.explode(F.array("left", "right")).alias("gid"), F.col("total").alias("above")).groupBy("gid").agg(F.max("above").alias("above"))
             free = known.join(above, "gid", "left").where(F.col("above").isNull() | (100 * F.col("above") < cover * F.col("total")))
@@ -191,11 +214,13 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     own = known.withColumn("cut", cut_score(longest)).select("lang", "phrase", "total", "cut")
     scored = stored((own if scored is None else scored.union(own)).select("lang", "phrase", F.col("total").alias("a"), F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score")))
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]
-    if top is not None:  # the first of each part, then of all parts
-        salts = max(8, -(-rows_of(scored) // PER_SALT))
-        part = W.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(salts))).orderBy(*order)
-        some = scored.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top)
-        ranked = some.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
+    if top is not None:  # the first of ever fewer parts
+        parts, ranked = max(1, -(-rows_of(scored) // PER_PART)), scored
+        while parts > 1:
+            part = W.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(parts))).orderBy(*order)
+            ranked = ranked.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top)
+            parts = -(-parts // FAN)
+        ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     else:
         ranked = OrderedBlocks(scored, order, ["lang"]).row_number("rank").df
     return ranked.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

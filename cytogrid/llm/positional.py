@@ -67,7 +67,7 @@ class Index:
         return own.select("segment", "doc", F.col("d.ids").alias("doc_id"), F.col("d.sizes").alias("n_words"))
 
 
-def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
+def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", segment_bytes: int = SEGMENT_BYTES) -> Index:
     """Index of all words of all documents, written to the shared folder. Null texts have no words; repeated rows are documents of their own."""
     kind = docs.schema[doc_id].dataType
     schema = T.StructType([T.StructField("segment", T.LongType()), T.StructField("term", T.StringType()), T.StructField("n", T.LongType()), T.StructField("places", T.BinaryType()),
@@ -75,7 +75,7 @@ def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
-        for chunk in text_chunks(batches, "text", SEGMENT_BYTES):
+        for chunk in text_chunks(batches, "text", segment_bytes):
             words, at, _, _ = byte_tokens(chunk.column("text"), WORD)
             found = words.dictionary_encode()
             codes = found.indices.to_numpy(zero_copy_only=False)

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from cytogrid.llm.common import byte_table, byte_tokens, rows_of, stored, text_chunks
+from cytogrid.llm.common import byte_table, byte_tokens, stored, text_chunks
 
 SLICE_BYTES = 8 << 20
 LEAD = 0xC3  # first UTF-8 byte of U+00C0 to U+00FF
@@ -178,7 +178,7 @@ def pairs_of(short: list[str], long: list[str], depth: int, back: bool, out_one:
                         out_two += [two + k for k in r]
 
 
-def near(vocabulary: DataFrame) -> DataFrame:
+def near(vocabulary: DataFrame, crowd: int = CROWD) -> DataFrame:
     """word, n_near, best_n and best of the words of ``vocabulary`` (word, n; distinct, durable) with words one edit apart: their number and the most frequent one, ties to the first in code-point order."""
     letters = F.length("word")
     deals = F.array(*[F.struct(F.lit(back).alias("back"), m.alias("m"), (F.floor((m + 1) / 2) if back else F.floor(m / 2)).cast("int").alias("depth"))
@@ -189,7 +189,7 @@ def near(vocabulary: DataFrame) -> DataFrame:
     group = ["back", "m", "depth", "begin"]
     while True:
         rows = rows.withColumn("begin", begin)
-        crowded = stored(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CROWD).select(*group))
+        crowded = stored(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > crowd).select(*group))
         if crowded.isEmpty():
             settled = rows if settled is None else settled.unionByName(rows)
             break
@@ -259,10 +259,7 @@ def near(vocabulary: DataFrame) -> DataFrame:
 
 
 def roots(forms: DataFrame) -> DataFrame:
-    """word, root: the end of the chain from each word of ``forms`` (word, form), by doubling the steps taken.
-
-    A form is at least ``times`` as frequent as its word, so chains end.
-    """
+    """word, root: the end of the chain from each word of ``forms`` (word, form), by doubling the steps taken. Chains must end."""
     now = stored(forms.select("word", F.col("form").alias("root"), F.lit(True).alias("moved")))
     while not now.where("moved").isEmpty():
         ahead = now.select(F.col("word").alias("root"), F.col("root").alias("next"))

@@ -5,13 +5,13 @@ import os
 import sys
 import types
 import uuid
-import weakref
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from cytogrid.session import cut, shared_dir
 
@@ -237,30 +237,6 @@ def durable(df: DataFrame) -> DataFrame:
     return cut(df)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read from there: every reader sees the same rows with the same values."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.parquet(path)
-    _stored[id(out)] = weakref.ref(out, lambda _, key=id(out): _stored.pop(key, None)), path
-    return out
-
-
-_stored: dict[int, tuple] = {}
-
-
-def remove_folder(spark, path: str) -> None:
-    """Deletes a folder of the shared store, wherever it is."""
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
-
-
-def release(*tables: DataFrame) -> None:
-    """Deletes tables made by ``stored`` that nothing will read again."""
-    for df in tables:
-        remove_folder(df.sparkSession, _stored.pop(id(df))[1])
-
-
 # ------------------------------------------------------------- byte tokens
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -294,3 +270,40 @@ def byte_tokens(texts: pa.Array, inside: np.ndarray, lead: int | None = None) ->
     ends = np.append((np.cumsum(mask) - mask)[starts], len(kept))
     tokens = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(kept)])
     return tokens, np.searchsorted(starts, at), data, starts
+
+
+# ------------------------------------------------------------------ storage
+
+_paths: dict[str, SparkSession] = {}
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read from there: every reader sees the same rows with the same values."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _paths[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store, whatever file system holds it."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables made by ``stored`` that nothing will read again."""
+    for df in tables:
+        remove_folder(_paths.pop(df._stored_at), df._stored_at)
+
+
+@contextmanager
+def releasing():
+    """Deletes at its end all tables that were stored within it; what was made of them must be written by then."""
+    before = set(_paths)
+    yield
+    for path in [p for p in _paths if p not in before]:
+        remove_folder(_paths.pop(path), path)

@@ -147,6 +147,7 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", find
     with the splits of a scan.
     """
     numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
-    found = durable(find(numbered.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("text"), "__row"), "__id", "text", ["__row"]))
+    found = stored(find(numbered.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("text"), "__row"), "__id", "text", ["__row"]).select("root", "__id", "__row"))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")).alias("best"))
-    return numbered.join(first.select(F.col("best.__row").alias("__row")), "__row", "left_semi").drop("__row")
+    gone = stored(found.join(first, "root").where(F.col("__row") != F.col("best.__row")).select("__row"))
+    return join_small(numbered, gone, ["__row"], "left_anti").drop("__row")

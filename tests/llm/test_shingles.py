@@ -59,7 +59,7 @@ def test_numbers_hold_when_the_splits_change(spark, tmp_path):
     spark.createDataFrame([(i // 2, f"text {i // 2} " * 50) for i in range(4000)], "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "d"))
 
     def find(rows, *args):
-        found = simhash.near_duplicates(rows, *args).localCheckpoint()
+        found = simhash.near_duplicates(rows, *args).checkpoint()
         spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
         return found
     try:

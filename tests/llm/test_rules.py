@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import Counter
@@ -158,6 +159,68 @@ def test_shards_of_odd_documents(odd_docs, no_docs):
     assert kd_shards.shards(odd_docs, target_bytes=10**9).select("shard").distinct().count() == 1
 
 
+def make_docs(spark, rows):
+    return spark.createDataFrame([(d, t, "en", s) for d, t, s in rows], "doc_id long, text string, lang string, source string").repartition(5)
+
+
+def loads(rows, n):
+    return [sum(r.size for r in rows if r.shard == k) for k in range(n)]
+
+
+def test_a_thousand_repeats_of_one_row_are_parted(spark):
+    docs = make_docs(spark, [(7, "the same row, repeated", "s")] * 1000 + [(i, f"row {i}", "s") for i in range(1000)])
+    load = check_shards(kd_shards.shards(docs, 10).collect(), docs.collect(), 10)
+    assert max(load) - sum(load) / 10 <= 38 and min(load) - sum(load) / 10 >= -38
+
+
+def test_a_document_larger_than_a_shard_has_one_of_its_own(spark):
+    docs = make_docs(spark, [(-1, "x" * 50_000, "s"), (-2, "y" * 9_000, "s")] + [(i, "z" * (30 + i % 11), "s") for i in range(1000)])
+    rows = kd_shards.shards(docs, 10).collect()
+    load = sorted(check_shards(rows, docs.collect(), 10))
+    assert load[-1] == 50_016 and load[-2] == 9_016 and load[-3] - load[0] < 150
+
+
+def test_sources_with_one_prefix_are_told_apart(spark):
+    docs = make_docs(spark, [(5, f"t {i:03d}", f"https://host/{i % 8}") for i in range(800)] + [(5, "t 900", None)])
+    rows = kd_shards.shards(docs, 8, metadata=("source",)).withColumnRenamed("text_crc32", "c").collect()
+    source = {}
+    for r in docs.collect():
+        source[zlib.crc32(r.text.encode())] = r.source
+    assert all(len({source[r.c] for r in rows if r.shard == k}) <= 3 for k in range(8))
+
+
+def plain_tree(rows, leaves, first=0):
+    """rows: (key tuple, size, number); the shard of each by exact weighted medians."""
+    if leaves == 1 or not rows:
+        return {number: first for _, _, number in rows}
+    bits = kd_shards.TIE_BITS
+    dims = range(len(rows[0][0]))
+    dim = max(dims, key=lambda d: ((max(k[d] for k, _, _ in rows) >> bits) - (min(k[d] for k, _, _ in rows) >> bits), -d))
+    goal, before, left = sum(s for _, s, _ in rows) * (leaves // 2) / leaves, 0, []
+    for key in sorted({k[dim] for k, _, _ in rows}):
+        own = [r for r in rows if r[0][dim] == key]
+        size = sum(s for _, s, _ in own)
+        if before + size > goal and not goal - before >= before + size - goal:
+            break
+        left += own
+        before += size
+        if before > goal:
+            break
+    gone = {n for _, _, n in left}
+    right = [r for r in rows if r[2] not in gone]
+    mine = min(leaves - 1, max(1, min(len(left), max(leaves // 2, leaves - len(right)))))
+    return {**plain_tree(left, mine, first), **plain_tree(right, leaves - mine, first + mine)}
+
+
+@pytest.mark.parametrize("shards", [2, 7, 40])
+def test_tree_against_a_plain_one(spark, shards):
+    rng = random.Random(shards)
+    rows = [(n, rng.randrange(1, 400), [(rng.randrange(1 << b) << kd_shards.TIE_BITS) + rng.randrange(1 << 32) for b in (30, 2, 8)]) for n in range(1500)]
+    table = spark.createDataFrame(rows, "row long, size long, k array<long>").repartition(4).checkpoint()
+    got = {r.row: r.shard for r in kd_shards.grow(table, shards, 3).collect()}
+    assert got == plain_tree([(tuple(k), s, n) for n, s, k in rows], shards)
+
+
 # ------------------------------------------------------------- fertility
 
 def plain_repeats(words, width=5):

@@ -92,29 +92,34 @@ class LabelModel:
     posterior: dict[int, float]
 
 
-def fit_labels(counts: dict[int, int], rounds: int = 100, prior: float = 0.8) -> LabelModel:
+def fit_labels(counts: dict[int, int], rounds: int = 100, prior: float = 0.8, trust: float = 0.02) -> LabelModel:
     """Expectation-maximisation over pattern counts.
 
     Each class has its own chance of every vote. Starting from labellers that are
     right nine times in ten keeps the classes from trading places, and a labeller
-    may never vote bad more often on good documents than on bad ones.
+    may never vote bad more often on good documents than on bad ones. The start
+    counts as ``trust`` times as many documents as there are, so that the classes
+    stay apart where one pattern is nearly all of the corpus.
     """
     keys = np.array(sorted(counts), dtype=np.int64)
     n = np.array([counts[k] for k in keys.tolist()], dtype=np.float64)
     vote = keys[:, None] // 3 ** np.arange(LABELLERS) % 3
     one = np.stack([vote == v for v in range(3)], axis=2).astype(np.float64)  # pattern, labeller, vote
-    bad = np.tile([0.3, 0.3, 0.4], (LABELLERS, 1))
-    good = np.tile([0.02, 0.2, 0.78], (LABELLERS, 1))
+    never = np.array([rule[4] > rule[5] for rule in RULES])[:, None]  # these vote bad or nothing
+    bad = np.where(never, [0.3, 0.69, 0.01], [0.3, 0.3, 0.4])
+    good = np.where(never, [0.02, 0.97, 0.01], [0.02, 0.2, 0.78])
+    start = prior
     p = np.full(len(keys), prior)
+    first = [c * trust * n.sum() + 1 for c in (good, bad)]
     for _ in range(rounds if len(keys) else 0):
         log = np.einsum("pkv,kv->p", one, np.log(good) - np.log(bad)) + np.log(prior) - np.log1p(-prior)
         new = 1 / (1 + np.exp(-np.clip(log, -500, 500)))
-        good = np.einsum("pkv,p->kv", one, n * new) + 1
-        bad = np.einsum("pkv,p->kv", one, n * (1 - new)) + 1
+        good = np.einsum("pkv,p->kv", one, n * new) + first[0]
+        bad = np.einsum("pkv,p->kv", one, n * (1 - new)) + first[1]
         good, bad = good / good.sum(axis=1, keepdims=True), bad / bad.sum(axis=1, keepdims=True)
         swap = good[:, 0] > bad[:, 0]
         good[swap] = bad[swap] = (good[swap] + bad[swap]) / 2
-        prior = float(np.clip((n @ new) / n.sum(), 0.05, 0.99))
+        prior = float(np.clip(((n @ new) / n.sum() + trust * start) / (1 + trust), 0.05, 0.99))
         done, p = np.abs(new - p).max() < 1e-6, new
         if done:
             break
@@ -184,15 +189,17 @@ class Classifier:
 
 
 def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Classifier:
-    """Label model from the votes on all documents, scorer from about ``sample`` documents picked by a hash of their text.
+    """Label model from the votes on all documents, scorer from about ``sample`` of the distinct texts, picked by a hash.
 
-    Without documents the prior stands and the scorer gives one half.
+    However often a text is repeated, it is one text of the sample; all are
+    taken where there are no more than ``sample``. Without documents the prior
+    stands and the scorer gives one half.
     """
     counts = {r["pattern"]: r["count"] for r in vote_patterns(docs, text, []).groupBy("pattern").count().collect()}  # at most 3 ** LABELLERS rows
     labels = fit_labels(counts)
-    total = sum(counts.values())
-    if not total:
+    if not counts:
         return Classifier(labels, np.zeros(BUCKETS), 0.0)
+    total = docs.select(F.xxhash64(F.col(text)).alias("h")).distinct().count()
     part = 1 << 30
     chosen = (docs.select(F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h")).where(F.pmod("h", F.lit(part)) < F.lit(int(min(1.0, sample / total) * part)))
               .distinct())  # copies of one text count once
@@ -207,8 +214,6 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Classifier
 
     fields = [T.StructField("pattern", T.LongType()), T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.FloatType()))]
     rows = map_text(chosen, features, fields, "text", ["h"]).limit(2 * sample).toArrow().sort_by("h").combine_chunks()  # alike in every run
-    if not rows.num_rows:
-        return Classifier(labels, np.zeros(BUCKETS), 0.0)
     buckets, values = (rows.column(c).combine_chunks() for c in ("buckets", "values"))
     offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(buckets).to_numpy(zero_copy_only=False))])
     target = np.array([labels.posterior.get(p, labels.prior) for p in rows.column("pattern").to_pylist()])

@@ -116,6 +116,14 @@ def test_quality_of_odd_texts(odd_docs, no_docs):
     assert sorted(map(str, rows)) == sorted(map(str, quality_model.classify(odd_docs.repartition(7), quality_model.fit(odd_docs.repartition(7))).collect()))
 
 
+def test_one_text_that_dominates_does_not_hide_the_junk(spark):
+    rng = np.random.default_rng(1)
+    good = " ".join(("The " if k % 9 == 0 else "") + "".join(rng.choice(["ra", "lo", "min", "te", "so", "ku"], rng.integers(1, 5))) + ("." if k % 9 == 8 else "") for k in range(300))
+    docs = spark.range(200_000).select(F.lit(good).alias("text")).union(spark.range(12).select(F.concat(F.repeat(F.lit("### $$$ %% || "), 40), F.col("id")).alias("text"))).repartition(4)
+    rows = quality_model.classify(docs, quality_model.fit(docs)).groupBy("text", "kept").count().collect()
+    assert {r.kept for r in rows if r.text == good} == {True} and sum(r["count"] for r in rows if not r.kept) == 12
+
+
 # -------------------------------------------------------------- pipeline
 
 def test_stages_keep_the_columns_and_take_effect(spark, tmp_path):

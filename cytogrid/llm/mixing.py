@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from cytogrid.llm.common import WORD, durable, join_small
+from cytogrid.llm.common import WORD, durable, join_small, salted_rank, stored
 from cytogrid.operators.ordering import OrderedBlocks, global_rank
 
 HASH_BITS = 60
@@ -25,9 +25,27 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def document_hash(doc_id: str = "doc_id") -> Column:
-    """60 bits of the MD5 of the id; rows with one id have one hash and are taken together. Null counts as empty."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def document_hash(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """32 digits of the MD5 of id and text; nulls count as empty."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.md5(F.concat(part(doc_id), F.lit("|"), F.md5(part(text))))
+
+
+def places(digest: Column) -> Column:
+    """The first 60 bits of a digest."""
+    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def numbered(rows: DataFrame, key: str, digest: str, name: str) -> DataFrame:
+    """Adds ``name``, the 60 bits that decide over each row. Rows alike in ``key`` and ``digest`` are numbered, and but for the first get bits of their own, so that a hot row can be cut."""
+    again = stored(rows.groupBy(key, digest).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key, digest))
+    single = join_small(rows, again, [key, digest], "left_anti").withColumn(name, places(F.col(digest)))
+    if again.isEmpty():
+        return single
+    repeated = stored(join_small(rows, again, [key, digest], "left_semi").withColumn("__at", F.monotonically_increasing_id()))
+    ranked = salted_rank(repeated, [key, digest], [F.col("__at")], "__copy", F.col("__at"))
+    own = F.when(F.col("__copy") == 0, F.col(digest)).otherwise(F.md5(F.concat(F.col(digest), F.lit("#"), F.col("__copy").cast("string"))))
+    return single.unionByName(ranked.withColumn(name, places(own)).drop("__at", "__copy"))
 
 
 def source_key(source: str = "source") -> Column:
@@ -90,10 +108,13 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """doc_id, size, source_size, target, copies and taken of every document.
 
     A document is taken as often as its source passes over all of its documents,
-    and once more if its hash is within the threshold.
+    and once more if its hash is within the threshold. Repeated rows, null ids
+    and null texts are documents of their own; a null source is a source. Other
+    columns do not matter, and an empty table has no rows.
     """
-    sized = durable(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(f"`{text}`").alias("size"),
-                                document_hash(f"`{doc_id}`").alias("hash")).withColumn("key", source_key()))
+    rows = stored(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(f"`{text}`").alias("size"), document_hash(f"`{doc_id}`", f"`{text}`").alias("digest"),
+                              source_key(f"`{source}`").alias("key")))
+    sized = stored(numbered(rows, "key", "digest", "hash").drop("digest"))
     wanted = durable(targets(sized.groupBy("key", "source").agg(F.sum("size").alias("source_size")), share, most, weights))
     plan = thresholds(sized, wanted)
     copies = F.col("passes") + (F.col("hash") <= F.col("threshold")).cast("long")
@@ -102,11 +123,15 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **parameters) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; columns as they were."""
-    sized = durable(docs.select(F.col(f"`{source}`").alias("source"), word_count(f"`{text}`").alias("size"), document_hash(f"`{doc_id}`").alias("hash")).withColumn("key", source_key()))
+    """The rows of ``docs``, each as often as the mix takes it, as in ``mix``; columns as they were.
+
+    ``docs`` is read twice. Of rows alike in id, text and source it does not matter which is taken.
+    """
+    marked = docs.withColumns({"__key": source_key(f"`{source}`"), "__digest": document_hash(f"`{doc_id}`", f"`{text}`")})
+    keyed = numbered(marked, "__key", "__digest", "__hash")
+    sized = stored(keyed.select(F.col(f"`{source}`").alias("source"), word_count(f"`{text}`").alias("size"), F.col("__hash").alias("hash"), F.col("__key").alias("key")))
     wanted = durable(targets(sized.groupBy("key", "source").agg(F.sum("size").alias("source_size")), **parameters))
     plan = thresholds(sized, wanted).select(F.col("key").alias("__key"), F.col("passes").alias("__passes"), F.col("threshold").alias("__threshold"))
-    keyed = docs.withColumns({"__key": source_key(f"`{source}`"), "__hash": document_hash(f"`{doc_id}`")})
     copies = (F.col("__passes") + (F.col("__hash") <= F.col("__threshold")).cast("long")).cast("int")
     taken = join_small(keyed, plan, ["__key"], "inner").where(copies > 0)
     return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*[F.col(f"`{c}`") for c in docs.columns])

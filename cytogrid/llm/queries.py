@@ -50,9 +50,11 @@ def op3_hash_mix(spark, sf_dir):
 
 ORACLE["op3_hash_mix"] = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS hash
-  FROM documents),
+  SELECT doc_id, source, size, ('0x' || substr(CASE WHEN copy = 0 THEN digest ELSE md5(digest || '#' || copy) END, 1, 15))::BIGINT AS hash
+  FROM (SELECT *, row_number() OVER (PARTITION BY source, digest) - 1 AS copy
+        FROM (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+                     md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS digest
+              FROM documents))),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM sized GROUP BY source),
 weighed AS (

@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings, strategies as st
 
 from cytogrid.llm import fertility, kd_shards, mixing, url_rules
@@ -289,6 +290,15 @@ def test_false_window_match_is_counted_by_dictionary(monkeypatch):
     assert got.tolist() == [plain_repeats(codes.tolist())]
 
 
+def test_a_source_of_one_repeated_row_meets_its_target(spark):
+    rows = [(3, "the same nine words again and again and again", "a")] * 1000 + [(i, "some words here", "b") for i in range(700)] + [(None, "null ids with one text", "c")] * 900
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    taken = {r.source: r for r in mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("most")).collect()}
+    assert all(abs(r.taken - r.target) <= r.most / 2 for r in taken.values())
+    copies = mixing.mixed_documents(docs).groupBy("source").count().collect()
+    assert {r["source"]: r["count"] * taken[r["source"]].most for r in copies} == {s: r.taken for s, r in taken.items()}
+
+
 # ------------------------------------------------- plain mixture and packing for the pipeline
 
 def plain_mix(docs):
@@ -301,7 +311,7 @@ def plain_mix(docs):
         sizes[d.source] += words[d.doc_id]
     target, out = plain_targets(dict(sizes)), []
     for s in sizes:
-        own = sorted((int(hashlib.md5(str(d.doc_id).encode()).hexdigest()[:15], 16), d.doc_id, d) for d in docs if d.source == s)
+        own = sorted((int(hashlib.md5(f"{d.doc_id}|{hashlib.md5((d.text or '').encode()).hexdigest()}".encode()).hexdigest()[:15], 16), d.doc_id, d) for d in docs if d.source == s)
         passes = int(target[s] // sizes[s]) if sizes[s] else 0
         rest, before = target[s] - passes * sizes[s], 0
         for _, i, d in own:

@@ -261,13 +261,16 @@ def byte_tokens(texts: pa.Array, inside: np.ndarray, lead: int | None = None) ->
     mask = inside[data]
     if lead is not None:
         mask[1:] |= data[:-1] == lead
-    begins = mask.copy()
+    some = at[:-1] < at[1:]
+    begins, stops = mask.copy(), mask.copy()
     begins[1:] &= ~mask[:-1]
-    first = at[:-1][at[:-1] < at[1:]]
-    begins[first] = mask[first]
-    starts = np.flatnonzero(begins)
+    stops[:-1] &= ~mask[1:]
+    for edge, places in ((begins, at[:-1][some]), (stops, at[1:][some] - 1)):  # a token ends with its text
+        edge[places] = mask[places]
+    starts, stops = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    del begins
     kept = _LOWER[data[mask]]
-    ends = np.append((np.cumsum(mask) - mask)[starts], len(kept))
+    ends = np.concatenate([[0], np.cumsum(stops - starts)])
     tokens = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(kept)])
     return tokens, np.searchsorted(starts, at), data, starts
 

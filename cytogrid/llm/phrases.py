@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from cytogrid.llm.common import byte_table, byte_tokens, release, rows_of, stored, text_chunks
 from cytogrid.operators.ordering import OrderedBlocks
 
-HELD_BYTES = 16 << 20
+HELD_BYTES = 12 << 20
 BLOCK_WORDS = 2_000_000
 COUNTER_BITS, INDEX_BITS = 16, 27  # a phrase's number: task, block of the task, place in the block
 UND = "und"
@@ -42,8 +42,9 @@ def blocks(texts: pa.Array, size: int):
     words, rows, data, starts = byte_tokens(texts, INSIDE)
     if not len(words):
         return
-    broken = np.cumsum(BREAKS[data])[starts]
+    broken = np.searchsorted(np.flatnonzero(BREAKS[data]), starts)
     new = np.diff(broken, prepend=broken[0]) > 0
+    del data, starts, broken
     new[rows[:-1][(rows[:-1] > 0) & (rows[:-1] < len(words))]] = True  # a text is a piece of its own
     opens = np.flatnonzero(new)
     at = 0
@@ -64,6 +65,7 @@ def relation(docs: DataFrame, text: str, lang: str, size: int = BLOCK_WORDS) ->
 
         def flush(name):
             nonlocal number, total
+            pa.default_memory_pool().release_unused()
             texts = pa.concat_arrays(held.pop(name))
             total -= texts.nbytes
             for codes, words, counts in blocks(texts, size):

@@ -286,7 +286,9 @@ def eigenvector_centrality(edges: DataFrame, nodes: DataFrame, rounds: int = 100
                            id_col: str = "cell_id", stride: int = 5) -> DataFrame:
     """Power iteration with (A + I) on the unweighted graph, unit 2-norm.
 
-    ``stride`` multiplications are planned together, then checkpointed and rescaled.
+    ``stride`` multiplications are planned together, then checkpointed and
+    rescaled. It is an error if ``rounds`` do not reach ``tol``; with a ``tol`` of 0 all
+    rounds are done.
     """
     n = nodes.count()
     nb = cut(both_ways(edges.select("src", "dst")).unionByName(nodes.select(F.col(id_col).alias("node"), F.col(id_col).alias("nbr"))))
@@ -304,11 +306,17 @@ def eigenvector_centrality(edges: DataFrame, nodes: DataFrame, rounds: int = 100
         moved = pair.agg(F.sum(F.abs(F.col("v") / F.lit(a) - F.col("old") / F.lit(b)))).first()[0]
         if moved is None or moved < n * tol:
             break
+    else:
+        if tol > 0:
+            raise RuntimeError(f"no convergence in {rounds} rounds")
     return x.select(F.col("node").alias(id_col), F.col("v").alias("centrality"))
 
 
-def label_propagation(edges: DataFrame, nodes: DataFrame, rounds: int = 10, id_col: str = "cell_id") -> DataFrame:
-    """Communities by synchronous label propagation (ties to the smaller label), own label counted once."""
+def label_propagation(edges: DataFrame, nodes: DataFrame, rounds: int = 100, id_col: str = "cell_id") -> DataFrame:
+    """Communities by synchronous label propagation (ties to the smaller label), own label counted once.
+
+    It is an error if labels still change after ``rounds``: they may alternate for ever.
+    """
     nb = cut(both_ways(edges.select("src", "dst", "weight")))
     lab = cut(nodes.select(F.col(id_col).alias("node"), F.col(id_col).alias("label")))
     for _ in range(rounds):
@@ -320,4 +328,6 @@ def label_propagation(edges: DataFrame, nodes: DataFrame, rounds: int = 10, id_c
         lab = new
         if same:
             break
+    else:
+        raise RuntimeError(f"labels still change after {rounds} rounds")
     return lab.select(F.col("node").alias(id_col), F.col("label").alias("community"))

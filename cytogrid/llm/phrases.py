@@ -27,6 +27,7 @@ UND = "und"
 BREAKS = byte_table(lambda b: b in b".,;:!?\n\x0b\x0c\r")
 INSIDE = byte_table(lambda b: b not in b" \t") & ~BREAKS
 PER_PART, FAN = 50_000, 25
+BATCH_ROWS = 50_000
 
 
 def packed(codes: np.ndarray) -> bytes:
@@ -153,8 +154,13 @@ def pairs(level: DataFrame) -> DataFrame:
             for block, n, codes, gids in zip(*[batch.column(c).to_pylist() for c in ("block", "n_codes", "codes")], batch.column("gids")):
                 _, which, left, right = steps(unpacked(codes, n))
                 ids = gids.values.to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(ids[left]), pa.array(ids[right]), pa.array(np.full(len(left), block)), pa.array(np.arange(len(left))),
-                                                  pa.array(np.bincount(which, minlength=len(left)))], names=["left", "right", "block", "idx", "n"])
+                times = np.bincount(which, minlength=len(left))
+                del which
+                for i in range(0, len(left), BATCH_ROWS):
+                    some = slice(i, min(i + BATCH_ROWS, len(left)))
+                    place = np.arange(some.start, some.stop)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[left[some]]), pa.array(ids[right[some]]), pa.array(np.full(len(place), block)), pa.array(place), pa.array(times[some])],
+                                                     names=["left", "right", "block", "idx", "n"])
 
     return level.mapInArrow(run, "left long, right long, block long, idx long, n long")
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cytogrid.functions.special import normal_log_sf, normal_sf
 from cytogrid.operators.autocorrelation import gene_sums, lagged
 from cytogrid.operators.expression import gene_moments
+from cytogrid.operators.selection import aggregated_ranks
+from cytogrid.session import cut
 from cytogrid.operators.multitest import adjust
 from cytogrid.operators.spatial import radius_pairs
 
@@ -172,7 +174,23 @@ def type_pair_means(expr: DataFrame, lr: DataFrame, cells: DataFrame, min_prop:
     score = (F.col("src_mean") + F.col("dst_mean")) / 2
     var = (fpc("src") + fpc("dst") + 2 * cov) / 4
     z = F.when(var > 1e-12, (score - (F.col("src_mu") + F.col("dst_mu")) / 2) / F.sqrt(var))
-    return j.select("ligand", "receptor", "src_type", "dst_type", score.alias("score"), z.alias("z"))
+    rows = j.select("ligand", "receptor", "src_type", "dst_type", score.alias("score"), z.alias("z"), "src_mean", "dst_mean")
+    return rows.withColumn("p", F.coalesce(normal_sf(F.col("z")), F.lit(1.0)))
+
+
+def consensus_ranks(expr: DataFrame, lr: DataFrame, cells: DataFrame, min_prop: float = 0.1, cell: str = "cell_id", label: str = "cell_type") -> DataFrame:
+    """Magnitude and specificity of every (ligand, receptor, sending type, receiving type), each an aggregated rank over two scores.
+
+    Magnitude: mean and product of the ligand and receptor means. Specificity: the p of
+    ``type_pair_means`` and the product's share of all types' means that pass ``min_prop``.
+    """
+    t = type_pair_means(expr, lr, cells, min_prop, cell, label).withColumn("product", F.col("src_mean") * F.col("dst_mean"))
+    total = lambda gene, side: t.select(gene, f"{side}_type", f"{side}_mean").distinct().groupBy(gene).agg(F.sum(f"{side}_mean").alias(f"{side}_all"))
+    t = t.join(total("ligand", "src"), "ligand").join(total("receptor", "dst"), "receptor").withColumn("weight", F.try_divide(F.col("product"), F.col("src_all") * F.col("dst_all")))
+    keys = ["ligand", "receptor", "src_type", "dst_type"]
+    t = cut(t.select(*keys, "score", "product", F.round("p", 9).alias("p"), "weight"))
+    magnitude = aggregated_ranks(t, keys, {"score": False, "product": False}, "magnitude_rank")
+    return magnitude.join(aggregated_ranks(t, keys, {"p": True, "weight": False}, "specificity_rank"), keys).join(t, keys)
 
 
 def ligand_target_scores(expr: DataFrame, pairs: DataFrame, weights: DataFrame, cell: str = "cell_id") -> DataFrame:

@@ -118,7 +118,7 @@ def spot_lr_scores(spark, d):
     return s.groupBy("ligand", "receptor").agg(F.count(F.lit(1)).alias("n_spots"), r(F.sum("score"), 4).alias("total"))
 
 
-@query("type_pair_means", "C7 C8 C9", """WITH n AS (SELECT count(*)::DOUBLE AS n FROM cells), k AS (SELECT cell_type, count(*)::DOUBLE AS k FROM cells GROUP BY 1), genes AS (SELECT DISTINCT gene FROM expr),
+TYPE_PAIRS = """WITH n AS (SELECT count(*)::DOUBLE AS n FROM cells), k AS (SELECT cell_type, count(*)::DOUBLE AS k FROM cells GROUP BY 1), genes AS (SELECT DISTINCT gene FROM expr),
 dense AS (SELECT cell_id, cell_type, g.gene, coalesce(value, 0) AS v FROM cells CROSS JOIN genes g LEFT JOIN expr e USING (cell_id, gene)),
 mu AS (SELECT gene, avg(v) AS mu, var_pop(v) AS vr FROM dense GROUP BY 1),
 m AS (SELECT cell_type, gene, avg(v) AS mean, avg(CASE WHEN v > 0 THEN 1 ELSE 0 END) AS prop, count(*)::DOUBLE AS k FROM dense GROUP BY 1, 2),
@@ -126,7 +126,10 @@ cv AS (SELECT ligand, receptor, avg(a.v * b.v) - avg(a.v) * avg(b.v) AS c FROM l
 j AS (SELECT ligand, receptor, a.cell_type AS src_type, b.cell_type AS dst_type, (a.mean + b.mean) / 2 AS score, (p.mu + q.mu) / 2 AS e,
  (p.vr * (n - a.k) / (a.k * (n - 1)) + q.vr * (n - b.k) / (b.k * (n - 1)) + 2 * CASE WHEN a.cell_type = b.cell_type THEN c * (n - a.k) / (a.k * (n - 1)) ELSE -c / (n - 1) END) / 4 AS var
  FROM lr JOIN cv USING (ligand, receptor) JOIN m a ON a.gene = ligand AND a.prop >= 0.1 JOIN m b ON b.gene = receptor AND b.prop >= 0.1 JOIN mu p ON p.gene = ligand JOIN mu q ON q.gene = receptor, n)
-SELECT ligand, receptor, src_type, dst_type, round(score, 6) AS score, round((score - e) / sqrt(var), 4) AS z FROM j""", "cells expr lr")
+"""
+
+
+@query("type_pair_means", "C7 C8 C9", TYPE_PAIRS + """SELECT ligand, receptor, src_type, dst_type, round(score, 6) AS score, round((score - e) / sqrt(var), 4) AS z FROM j""", "cells expr lr")
 def type_pair_means(spark, d):
     t = C.type_pair_means(_x(spark, d), D.lr(spark, d), D.cells(spark, d))
     return t.select("ligand", "receptor", "src_type", "dst_type", r("score").alias("score"), r("z", 4).alias("z"))

@@ -1,6 +1,7 @@
 """Helpers shared by the text operators: word batches, token tables, salted ranks, size-checked joins."""
 from __future__ import annotations
 
+import ctypes
 import os
 import sys
 import types
@@ -28,6 +29,24 @@ def worker_state() -> dict:
 
 # ----------------------------------------------------------------- batches
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, size: str = "8m", usual: str = "67108864b") -> None:
+    """Lets Spark hand workers at most ``size`` of Arrow data at a time, unless the session has a limit of its own: long texts make
+    large batches, which the executor and its worker both hold."""
+    if spark.conf.get(BATCH, usual) == usual:
+        spark.conf.set(BATCH, size)
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system; a worker lives on between tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+    if trim:
+        trim(0)
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], text: str, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Row slices of at most ``size`` bytes of text each; a longer single text stays whole in a slice of its own."""
     for batch in batches:
@@ -59,12 +78,13 @@ def map_text(df: DataFrame, make: Callable[[], Callable[[pa.Array], dict]], fiel
     def run(batches):
         compute = make()
         for chunk in text_chunks(batches, "__text", size):
-            pa.default_memory_pool().release_unused()
+            give_back()
             made = compute(pc.fill_null(chunk.column("__text"), ""))
             if "__rows" in made:
                 chunk = chunk.take(pa.array(made["__rows"]))
             columns = [chunk.column(i) for i in range(len(kept))] + [pa.array(made[n]) if not isinstance(made[n], pa.Array) else made[n] for n in names]
             yield pa.RecordBatch.from_arrays(columns, names=kept + names)
+        give_back()
 
     return source.mapInArrow(run, schema)
 

@@ -190,9 +190,9 @@ def accept(predicted: DataFrame, limits: DataFrame, name: str = "accepted") -> D
     """
     rows = limits.collect()  # a few for each language
     whole = {r.lang_pred: r.limit for r in rows if r.length_class is None}
-    marked = predicted.withColumn("length_class", length_class())
+    marked = predicted.withColumn("__class", length_class())
     top = marked.sparkSession.createDataFrame([(n, c, max([(r.length_class, r.limit) for r in rows if r.lang_pred == n and r.length_class is not None and r.length_class <= c], default=(0, whole[n]))[1])
-                                               for n in whole if n is not None for c in range(32)], "lang_pred string, length_class int, limit double")
-    joined = join_small(marked, top, ["lang_pred", "length_class"])
-    limit = F.coalesce("limit", F.lit(whole.get(None)).cast("double"))
-    return joined.withColumn(name, (F.col("lang_pred") != UND) & F.coalesce(F.col("cross_entropy") <= limit, F.lit(True))).drop("length_class", "limit")
+                                               for n in whole if n is not None for c in range(32)], "lang_pred string, __class int, __limit double")
+    joined = join_small(marked, top, ["lang_pred", "__class"])
+    limit = F.coalesce("__limit", F.lit(whole.get(None)).cast("double"))
+    return joined.withColumn(name, (F.col("lang_pred") != UND) & F.coalesce(F.col("cross_entropy") <= limit, F.lit(True))).drop("__class", "__limit")

@@ -3,15 +3,17 @@
 Centroids come from a bounded sample by k-means with a penalty on full clusters.
 Every vector is written to the list of its nearest centroid and, near a boundary,
 to those of other centroids at nearly the same distance. Centroids are searched
-by a walk on an in-memory neighbour graph; a query reads the lists whose centroid
-lies within a ratio of its nearest one. The ratio is measured on the sample. The
-nearest FIRST lists are read before the others: the k-th distance in them bounds
-what the others return, and names the lists that cannot be passed over where
-vectors lie close together.
+by a walk of bounded width on an in-memory neighbour graph, which widens until
+the farthest centroid found lies beyond all that the query reads; a query reads
+the lists whose centroid lies within a ratio of its nearest one. The ratio is
+measured on the sample. The nearest FIRST lists are read before the others: the
+k-th distance in them bounds what the others return, and names the lists that
+cannot be passed over where vectors lie close together.
 Long lists are dealt out in parts, so identical vectors do not gather in a task.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,10 +32,20 @@ DEGREE = 16
 RECALL = 0.97
 FIRST = 8
 SLACK = 1.02
+WIDTH = 32
+
+
+def bounded_distances(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by the expanded square about the mean of ``b``, and for each row of ``a`` a bound of their rounding error."""
+    middle = b.mean(axis=0) if len(b) else 0.0
+    a, b = a - middle, b - middle
+    left, right = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    error = 8 * (a.shape[1] + 4) * np.finfo(np.float64).eps * (left + right.max(initial=0.0))
+    return np.maximum(left[:, None] + right[None] - 2 * a @ b.T, 0.0), error
 
 
 def square_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2 * a @ b.T, 0.0)
+    return bounded_distances(a, b)[0]
 
 
 def balanced_centroids(x: np.ndarray, n: int, rounds: int = 10, penalty: float = 0.2) -> np.ndarray:
@@ -70,14 +82,14 @@ class Centroids:
         ring = (np.arange(n)[:, None] + 1) % n
         return cls(points, np.concatenate([close, far, ring], axis=1).astype(np.int32))
 
-    def search(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Nearest ``width`` centroids found for each row, nearest first: their numbers and distances (not found: -1 and infinite).
+    def walk(self, x: np.ndarray, width: int) -> np.ndarray:
+        """Squared distance of each row to the centroids that its walk looked at, infinite for the others.
 
         All rows walk together: each step opens every row's nearest unopened
-        candidate and looks at its neighbours, until no row has one left.
+        candidate and looks at its neighbours, until no row has one left that is
+        nearer than the ``width``-th found.
         """
         m, n = len(x), len(self.points)
-        width = min(width, n)
         rows = np.arange(m)
         start = np.linspace(0, n - 1, min(n, 8)).astype(np.int64)
         seen = np.zeros((m, n), bool)
@@ -102,10 +114,30 @@ class Centroids:
             dist[who, near] = ((x[who] - self.points[near]) ** 2).sum(axis=1)
             if step % 8 == 7:
                 worst = np.partition(dist, width - 1, axis=1)[:, width - 1]
+        return dist
+
+    def search(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Nearest ``width`` centroids found for each row, nearest first: their numbers and distances (not found: -1 and infinite)."""
+        width = min(width, len(self.points))
+        dist = self.walk(x, width)
         order = np.argsort(dist, axis=1, kind="stable")[:, :width]
         found = np.take_along_axis(dist, order, axis=1)
         return np.where(np.isfinite(found), order, -1), np.sqrt(found)
 
+    def widening(self, x: np.ndarray, wanted: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and centroids that ``wanted`` picks: it takes rows, numbers and distances, nearest first, and gives a mask that starts with
+        True and ends with False. Rows whose last centroid found is wanted are searched again, four times as wide."""
+        todo, width, picked = np.arange(len(x)), min(WIDTH, len(self.points)), []
+        while len(todo):
+            at, d = self.search(x[todo], width)
+            mask = wanted(todo, at, d) & (at >= 0)
+            more = mask[:, -1] & (width < len(self.points))
+            row, col = np.nonzero(mask & ~more[:, None])
+            picked.append((todo[row], at[row, col]))
+            todo, width = todo[more], min(4 * width, len(self.points))
+        rows, lists = (np.concatenate(c) for c in zip(*picked)) if picked else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return rows, lists
+
     def lists(self, x: np.ndarray) -> list[np.ndarray]:
         """Lists that each vector is written to: its nearest, and up to REPLICAS - 1 more within BOUNDARY of that distance."""
         at, d = self.search(x, REPLICAS)
@@ -186,23 +218,32 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "
     parts = np.maximum(1, -(-length // PART))
     ratio = index.ratio
 
+    half = len(length) // 2
+
     def probe(near: bool):
         def run(batches):
             for b in batches:
                 for i in range(0, b.num_rows, 512):
                     part = b.slice(i, 512)
-                    at, d = index.search(matrix(part.column("v")), len(length))
-                    if near:  # the first lists, and as many as hold enough vectors
-                        wanted = np.cumsum(np.where(at >= 0, length[at], 0), axis=1) - length[at] < 4 * (k + 1)
-                        wanted[:, :FIRST] = True
-                    else:  # a neighbour within the bound is in a list at most twice the bound farther than the nearest: where few lists are, all are read
-                        limit = d[:, 0] + 2 * part.column("bound").to_numpy()
-                        limit = np.maximum(ratio * d[:, 0], np.where(limit <= np.median(d, axis=1), limit, 0)) + 1e-12
-                        wanted = (d <= limit[:, None]) & ~(np.cumsum(np.where(at >= 0, length[at], 0), axis=1) - length[at] < 4 * (k + 1))
-                        wanted[:, :FIRST] = False
-                    wanted &= at >= 0
-                    row, col = np.nonzero(wanted)
-                    lists = at[row, col]
+                    x, bound = matrix(part.column("v")), part.column("bound").to_numpy()
+
+                    def first(rows, at, d):  # these lists, and as many as hold enough vectors
+                        mask = np.cumsum(np.where(at >= 0, length[at], 0), axis=1) - length[at] < 4 * (k + 1)
+                        mask[:, :FIRST] = True
+                        return mask
+
+                    def within(rows, at, d):
+                        # a neighbour within the bound is in a list at most twice the bound farther than the nearest; where half of all lists are, the ratio alone decides
+                        limit = d[:, 0] + 2 * bound[rows]
+                        many = d[:, half] <= limit if d.shape[1] > half else np.zeros(len(d), bool)
+                        return d <= (np.maximum(ratio * d[:, 0], np.where(many, 0.0, limit)) + 1e-12)[:, None]
+
+                    row, lists = index.widening(x, first)
+                    if not near:
+                        read = row * len(length) + lists
+                        row, lists = index.widening(x, within)
+                        new = ~np.isin(row * len(length) + lists, read)
+                        row, lists = row[new], lists[new]
                     times = parts[lists]
                     piece = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                     row = pa.array(np.repeat(row, times))
@@ -222,11 +263,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "
             bounds = ask.column("bound").to_numpy()
             for i in range(0, len(qs), 256):
                 q = qs[i:i + 256]
-                rough = square_distances(q, x)
+                rough, error = bounded_distances(q, x)
                 rough[q_ids[i:i + 256, None] == ids[None]] = np.inf
                 last = np.partition(rough, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
                 most = np.minimum(last, bounds[i:i + 256] ** 2)
-                row, col = np.nonzero((rough <= most[:, None] * (1 + 1e-9) + 1e-9) & np.isfinite(rough))
+                row, col = np.nonzero((rough <= (most * (1 + 1e-12) + 2 * error)[:, None]) & np.isfinite(rough))
                 score = np.sqrt(((q[row] - x[col]) ** 2).sum(axis=1))
                 within = score <= bounds[i + row]
                 row, col, score = row[within], col[within], score[within]

@@ -130,6 +130,33 @@ def test_clusters_ties_and_odd_vectors(spark, n):
             assert got[q] == [(0.0, i) for i in range(0, 40, 3) if i != q][:10]
 
 
+@pytest.mark.parametrize("offset, spread", [(1e4, 1e-3), (1e6, 1.0), (1e8, 1.0)])
+def test_vectors_away_from_the_origin(spark, offset, spread):
+    rng = np.random.default_rng(3)
+    rows = [(i, (offset + spread * rng.normal(size=16)).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = list(range(0, 1500, 20))
+    want = brute(rows, asked, 10)
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), 10).collect():
+        got.setdefault(r.query_id, set()).add((r.score, r.vec_id))
+    assert sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in asked) >= 0.9 * 10 * len(asked)
+    assert all(abs(s - np.linalg.norm(np.subtract(rows[q][1], rows[i][1]))) <= 1e-9 * spread for q in asked for s, i in got[q])
+
+
+def test_walk_opens_few_centroids_and_finds_the_nearest():
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(2000, 16)) + 8 * rng.normal(size=(40, 16))[rng.integers(0, 40, 2000)]
+    index, x = ann.Centroids.build(points), points[rng.integers(0, 2000, 200)] + 0.3 * rng.normal(size=(200, 16))
+    at, d = index.search(x, 32)
+    true = np.argsort(ann.square_distances(x, points), axis=1)[:, :8]
+    assert np.mean([len(set(a[:8]) & set(t)) / 8 for a, t in zip(at, true)]) >= 0.95
+    assert np.isfinite(index.walk(x, 32)).sum(axis=1).mean() < 600
+    rows, lists = index.widening(x, lambda _, at, d: d <= 2 * d[:, :1])  # as wide as it takes
+    dist = np.sqrt(((x[:, None] - points[None]) ** 2).sum(axis=2))
+    assert len(rows) >= 0.95 * (dist <= 2 * dist.min(axis=1, keepdims=True)).sum()
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.nearest(df, df).collect() == []

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cytogrid.llm import language
+from cytogrid.llm.common import BATCH, small_batches
 
 
 def test_models_keep_every_gram_of_a_large_alphabet(spark):
@@ -39,3 +40,20 @@ def test_one_training_text_does_not_set_the_limit(spark):
     limit = lambda rows: {(r.lang_pred, r.length_class): r.limit for r in language.calibrate(spark.createDataFrame(rows, PREDICTED)).collect()}
     clean, junk = limit(seen), limit(seen + [("en", 12.0, 300), ("en", 12.0, 200_000)])
     assert junk["en", 4] < 1.25 * clean["en", 4] and junk["en", 8] < 0.6 * 1.25 * 12.0
+
+
+def test_accept_leaves_columns_of_any_name_alone(spark):
+    predicted = spark.createDataFrame([("en", 2.0, 100, "kept", 7), ("en", 9.0, 100, None, None)], "lang_pred string, cross_entropy double, n_symbols_read long, limit string, length_class int")
+    limits = spark.createDataFrame([(None, None, 3.0), ("en", None, 3.0), ("en", 3, 3.0)], "lang_pred string, length_class int, limit double")
+    got = language.accept(predicted, limits).orderBy("cross_entropy").collect()
+    assert [(r.limit, r.length_class, r.accepted) for r in got] == [("kept", 7, True), (None, None, False)]
+
+
+def test_small_batches_leave_a_limit_of_the_session(spark):
+    before = spark.conf.get(BATCH)
+    small_batches(spark)
+    assert spark.conf.get(BATCH) == "8m"
+    spark.conf.set(BATCH, "32m")
+    small_batches(spark)
+    assert spark.conf.get(BATCH) == "32m"
+    spark.conf.set(BATCH, before)

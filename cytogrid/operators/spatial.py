@@ -266,8 +266,12 @@ def points_in_polygons(points: DataFrame, shapes: DataFrame, bin_size: float, ke
 
 def assign_first(points: DataFrame, shapes: DataFrame, bin_size: float, keys: Sequence[str], shape_id: str = "cell_id",
                  ring: str = "ring", x: str = "x", y: str = "y") -> DataFrame:
-    """One polygon per key: the smallest id of those containing it, NULL if none. Rows with the same keys and place are one point."""
+    """One polygon per key: the smallest id of those containing it, NULL if none. Rows with the same keys and place are one point.
+
+    Polygons with the same outline are one polygon with the smallest of their ids, so copies of a shape cost nothing.
+    """
     at = list(dict.fromkeys([*keys, x, y]))
+    shapes = shapes.groupBy(ring).agg(F.min(shape_id).alias(shape_id))
     h = _polygon_hits(points.select(*at).distinct(), shapes, bin_size, shape_id, ring, x, y)
     g = h.groupBy(*at, "shape_id").agg(F.sum("_hit").alias("_h"))
     odd = (F.col("_h") > 0) & (F.col("_h") % 2 == 1)

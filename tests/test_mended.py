@@ -154,3 +154,13 @@ def test_central_difference_is_exact_on_a_parabola(spark):
     assert {(r.x, r.slope) for r in U.central_difference(c, ["x"], "v", 0.5).collect()} == {(i, 4.0 * i) for i in range(40)}
     assert [r.slope for r in U.central_difference(c.where("x < 2"), ["x"], "v").collect()] == [None, None]
     assert U.central_difference(c.where("x < 0"), ["x"], "v").collect() == []
+
+
+def test_copies_of_an_outline_are_joined_once(spark, monkeypatch):
+    ring = "array(struct(0d as x, 0d as y), struct(10d as x, 0d as y), struct(10d as x, 10d as y), struct(0d as x, 10d as y))"
+    shapes = spark.sql(f"select id + 7 as cell_id, {ring} as ring from range(300)")
+    pts = spark.createDataFrame([(1, 5.0, 5.0), (2, 50.0, 5.0)], "pid long, x double, y double")
+    seen, hits = [], S._polygon_hits
+    monkeypatch.setattr(S, "_polygon_hits", lambda p, s, *a: seen.append(s.count()) or hits(p, s, *a))
+    assert {(r.pid, r.shape_id) for r in S.assign_first(pts, shapes, 4.0, ["pid"]).collect()} == {(1, 7), (2, None)}
+    assert seen == [1]

@@ -21,18 +21,21 @@ def _fraction(a: Column, depth: int = 40) -> Column:
     return 1.0 / f
 
 
-def erfc(x: Column) -> Column:
-    """Complementary error function, whole-stage codegen: absolute error below 1.5e-7, in the tails beyond 4 a relative one below 1e-12."""
+def erfc(x: Column, far: bool = True) -> Column:
+    """Complementary error function, whole-stage codegen: absolute error below 1.5e-7, in the tails beyond 4 a relative one below 1e-12.
+
+    Without ``far`` the polynomial holds in the tails too.
+    """
     a = F.abs(x)
     t = 1.0 / (1.0 + ERF_P * a)
     poly = t * (ERF_A[0] + t * (ERF_A[1] + t * (ERF_A[2] + t * (ERF_A[3] + t * ERF_A[4]))))
-    tail = F.when(a < 4, poly).otherwise(_fraction(F.greatest(a, F.lit(4.0))) / math.sqrt(math.pi)) * F.exp(-a * a)
+    tail = (F.when(a < 4, poly).otherwise(_fraction(F.greatest(a, F.lit(4.0))) / math.sqrt(math.pi)) if far else poly) * F.exp(-a * a)
     return F.when(x >= 0, tail).otherwise(2.0 - tail)
 
 
-def normal_sf(z: Column) -> Column:
+def normal_sf(z: Column, far: bool = True) -> Column:
     """Upper tail of the standard normal."""
-    return 0.5 * erfc(z / F.lit(math.sqrt(2.0)))
+    return 0.5 * erfc(z / F.lit(math.sqrt(2.0)), far)
 
 
 def normal_log_sf(z: Column) -> Column:

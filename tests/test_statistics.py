@@ -256,3 +256,15 @@ def test_require_members_fails_on_unknown(spark):
     a = spark.createDataFrame([("x",), ("q",)], "gene string")
     with pytest.raises(Exception, match="unknown gene"):
         E.require_members(a, spark.createDataFrame([("x",)], "gene string")).collect()
+
+
+def test_adjusted_bootstraps_far_in_the_tail_match_the_sql(spark, tmp_path):
+    import duckdb
+    from cytogrid.plans.catalog import ORACLE, QUERIES
+    rows = [(20 * g + b, g, far if b == 0 else 1.0 + b % 2) for g, far in enumerate((1.4, 3.0, 4.6, 5.2, 40.0)) for b in range(20)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = QUERIES["bootstrap_adjusted"](spark, str(tmp_path))
+    want = con.sql(f"select {', '.join(got.columns)} from ({ORACLE['bootstrap_adjusted']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and float("inf") in [r[3] for r in want]

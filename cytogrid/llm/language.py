@@ -4,7 +4,7 @@ A language's model covers the characters of words, each word with its bounds, in
 n-grams of up to ORDER characters. Counts of the longest n-grams come from all
 training documents; shorter ones count the distinct continuations that
 Kneser-Ney smoothing asks for. Tables are sorted arrays of packed n-grams that are
-searched by bisection. A text gets the language with the smallest cross-entropy
+searched by interpolation. A text gets the language with the smallest cross-entropy
 per character, and is rejected where that lies above a limit calibrated on the
 training documents.
 """
@@ -92,8 +92,28 @@ class KneserNey:
 
     @staticmethod
     def find(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(table, key), max(len(table) - 1, 0))
-        return at, (table[at] == key) if len(table) else np.zeros(len(key), bool)
+        """Place of each key in a sorted table and whether it is there, by interpolation search.
+
+        A guess lies as far between the ends of what is left as the key lies between
+        their values. n-grams come in clusters, so every other guess is the middle.
+        """
+        at, here = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        if not len(table):
+            return at, here
+        left = np.flatnonzero((key >= table[0]) & (key <= table[-1]))
+        low, high, middle = np.zeros(len(left), np.int64), np.full(len(left), len(table) - 1), False
+        while len(left):
+            k, first, last = key[left], table[low], table[high]
+            share = 0.5 if middle else (k - first).astype(np.float64) / np.maximum(last - first, 1)
+            guess = np.minimum(low + (share * (high - low)).astype(np.int64), high)
+            value = table[guess]
+            at[left], here[left] = guess, value == k
+            low, high = np.where(value < k, guess + 1, low), np.where(value > k, guess - 1, high)
+            open_ = (value != k) & (low <= high)
+            left, low, high, middle = left[open_], low[open_], high[open_], not middle
+            inside = (key[left] >= table[low]) & (key[left] <= table[high])
+            left, low, high = left[inside], low[inside], high[inside]
+        return at, here
 
     def log_probability(self, key: np.ndarray) -> np.ndarray:
         """log2 of the probability of the last character of each packed n-gram after the others."""

@@ -57,3 +57,24 @@ def test_small_batches_leave_a_limit_of_the_session(spark):
     small_batches(spark)
     assert spark.conf.get(BATCH) == "32m"
     spark.conf.set(BATCH, before)
+
+
+class Probed(np.ndarray):
+    """A table that counts how often it is read."""
+    reads = 0
+
+    def __getitem__(self, at):
+        Probed.reads += 1
+        return np.asarray(super().__getitem__(at))
+
+
+def test_tables_are_searched_by_interpolation():
+    rng = np.random.default_rng(3)
+    for table in (np.unique(rng.integers(0, 1 << 63, 100_000, dtype=np.uint64)), np.unique(np.uint64(1) << rng.integers(0, 64, 500, dtype=np.uint64)),
+                  np.array([5], np.uint64), np.array([0, (1 << 64) - 1], np.uint64), np.zeros(0, np.uint64)):
+        key = np.concatenate([table[::3], rng.integers(0, 1 << 63, 1000, dtype=np.uint64), np.array([0, 5, 6, (1 << 64) - 1], np.uint64)])
+        Probed.reads = 0
+        at, here = language.KneserNey.find(table.view(Probed), key)
+        assert here.tolist() == np.isin(key, table).tolist()
+        assert (table[at[here]] == key[here]).all() and (at < max(len(table), 1)).all()
+        assert bool(Probed.reads) == bool(len(table))

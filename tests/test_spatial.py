@@ -200,3 +200,14 @@ def test_halo_invariance(spark, core, halo):
 def test_components_on_raster(spark):
     img = np.array([[1, 1, 0, 1], [0, 1, 0, 1], [1, 0, 0, 1]])
     assert sorted(r["count"] for r in R.components(pixels(spark, img)).groupBy("label").count().collect()) == [1, 3, 3]
+
+
+def test_points_of_one_partition_look_for_neighbours_in_many_tasks(spark, tmp_path):
+    path = f"{tmp_path}/cells"
+    spark.range(3000).selectExpr("id as cell_id", "cast(id % 40 as double) as x", "cast(floor(id / 40) as double) as y").coalesce(1).write.parquet(path)
+    near = S.knn(spark.read.parquet(path), 4)
+    sizes = near.withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.countDistinct("src").alias("n")).collect()
+    assert len(sizes) > 1 and max(r.n for r in sizes) < 1500
+    assert near.count() == 12000
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan

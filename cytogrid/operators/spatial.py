@@ -53,7 +53,8 @@ def radius_pairs(points: DataFrame, radius: float, id_col: str = "cell_id",
     # a fixed partition count: points are few bytes, but each meets many others
     probe = probe.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "gx", "gy", "_s")
     d2 = (F.col("px") - F.col("ax")) * (F.col("px") - F.col("ax")) + (F.col("py") - F.col("ay")) * (F.col("py") - F.col("ay"))
-    pairs = (probe.join(build, ["gx", "gy", "_s"])
+    # merged, not broadcast: searches that form the pairs again and again would send the points through the driver each time
+    pairs = (probe.join(build.hint("merge"), ["gx", "gy", "_s"])
              .where((~F.col("own") | (F.col("a") < F.col("id"))) & (d2 <= F.lit(float(radius) * float(radius)))))
     first = F.col("a") < F.col("id")
     along = [(F.when(first, F.col(f"{u}_{c}")).otherwise(F.col(f"{v}_{c}"))).alias(f"{end}_{c}") for c in carry for end, u, v in (("src", "a", "p"), ("dst", "p", "a"))]

@@ -211,3 +211,11 @@ def test_points_of_one_partition_look_for_neighbours_in_many_tasks(spark, tmp_pa
     assert near.count() == 12000
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_radius_pairs_send_no_points_through_the_driver(spark):
+    p = spark.range(200).selectExpr("id as cell_id", "cast(id % 20 as double) as x", "cast(floor(id / 20) as double) as y")
+    pairs = S.radius_pairs(p, 1.0)
+    pairs.collect()
+    plan = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin [gx" in plan

@@ -254,7 +254,10 @@ def _polygon_hits(points: DataFrame, shapes: DataFrame, bin_size: float, shape_i
     px, py = F.col(x), F.col(y)
     side = (F.col("_bx") - F.col("_ax")) * (py - F.col("_ay")) - (F.col("_by") - F.col("_ay")) * (px - F.col("_ax"))
     level = (F.least("_ay", "_by") <= py) & (F.greatest("_ay", "_by") >= py) & (F.greatest("_ax", "_bx") >= px) & (px >= F.col("_minx"))
-    on = (side == 0) & (px >= F.least("_ax", "_bx"))
+    # a point on the side is seldom at zero exactly: the allowance is a few roundings of the coordinates
+    reach = F.abs(F.col("_bx") - F.col("_ax")) + F.abs(F.col("_by") - F.col("_ay"))
+    largest = F.greatest(*[F.abs(c) for c in (F.col("_ax"), F.col("_ay"), F.col("_bx"), F.col("_by"), px, py)])
+    on = (F.abs(side) <= F.lit(1e-14) * reach * largest) & (px >= F.least("_ax", "_bx"))
     crosses = ((F.col("_ay") > py) != (F.col("_by") > py)) & ((side > 0) == (F.col("_by") > F.col("_ay")))
     cond = ((p["gx"] == s["gx"]) & (p["gy"] == s["gy"]) & (p["_s"] == s["_s"]) & level & (on | crosses))
     return p.join(s, cond, "left").select(*[p[c] for c in points.columns], "shape_id", F.when(on, -1_000_000).otherwise(1).alias("_hit"))

@@ -164,3 +164,11 @@ def test_copies_of_an_outline_are_joined_once(spark, monkeypatch):
     monkeypatch.setattr(S, "_polygon_hits", lambda p, s, *a: seen.append(s.count()) or hits(p, s, *a))
     assert {(r.pid, r.shape_id) for r in S.assign_first(pts, shapes, 4.0, ["pid"]).collect()} == {(1, 7), (2, None)}
     assert seen == [1]
+
+
+def test_rounded_points_on_an_outline_are_outside(spark):
+    from cytogrid.sources.driver_tables import HEX
+    ring = "array(" + ", ".join(f"struct({37.5 + a * 2.4!r}d as x, {27.5 + b * 2.4!r}d as y)" for a, b in HEX) + ")"
+    shapes = spark.sql(f"select 7 as cell_id, {ring} as ring")
+    pts = spark.createDataFrame([(1, 36.0, 26.15), (2, 36.0, 26.16), (3, 36.0, 26.14)], "pid long, x double, y double")
+    assert {(r.pid, r.shape_id) for r in S.assign_first(pts, shapes, 5.0, ["pid"]).collect()} == {(1, None), (2, 7), (3, None)}

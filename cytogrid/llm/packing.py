@@ -26,14 +26,15 @@ IDS = T.StructField("ids", T.ArrayType(T.IntegerType()), False)
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, end: int = 1, capacity: int = CAPACITY, text: str = "text", keep: list[str] | None = None,
-                 with_ids: bool = False) -> DataFrame:
+                 with_ids: bool = False, size: int = TOKEN_CHUNK_BYTES, remembered: int = 120_000) -> DataFrame:
     """One row for each piece of a tokenised document: kept columns, start, length, ids_crc32, doc_tokens (and ids).
 
-    Null text counts as empty; every document ends with ``end``, so each has a
+    Texts are read in slices of ``size`` bytes; a worker remembers ``remembered``
+    parts of words. Smaller figures take less memory and more time. Null text counts as empty; every document ends with ``end``, so each has a
     piece. Repeated rows are documents of their own.
     """
     def make():
-        table = TokenTable(vocabulary)
+        table = TokenTable(vocabulary, remembered)
 
         def pieces(texts):
             ids, at = table.rows(texts, end)
@@ -51,7 +52,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end: int = 1, capacity: int =
             return out
         return pieces
 
-    return map_text(docs, make, PIECE + [IDS] * with_ids, text, keep, TOKEN_CHUNK_BYTES)
+    return map_text(docs, make, PIECE + [IDS] * with_ids, text, keep, size)
 
 
 @dataclass
@@ -136,9 +137,10 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataF
     return ranked.mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end: int = 1, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, end: int = 1, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False,
+                   size: int = TOKEN_CHUNK_BYTES, remembered: int = 120_000) -> DataFrame:
     """Tokenise, cut and pack ``docs``: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
-    pieces = durable(token_pieces(docs, vocabulary, end, capacity, text, [doc_id], with_ids))
+    pieces = durable(token_pieces(docs, vocabulary, end, capacity, text, [doc_id], with_ids, size, remembered))
     return pack(pieces, [doc_id, "start", "ids_crc32"], capacity)
 
 

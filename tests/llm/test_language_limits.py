@@ -3,6 +3,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cytogrid.llm import language
 from cytogrid.llm.common import BATCH, small_batches
 
@@ -59,6 +60,15 @@ def test_small_batches_leave_a_limit_of_the_session(spark):
     spark.conf.set(BATCH, before)
 
 
+def test_a_stage_called_by_itself_sets_small_batches(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, None)], "doc_id long, text string")
+    before = spark.conf.get(BATCH)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    set_to = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, before)
+    assert set_to == "2m" and {r.doc_id for r in packed.collect()} == {1, 2}
+
+
 class Probed(np.ndarray):
     """A table that counts how often it is read."""
     reads = 0

@@ -68,3 +68,20 @@ def test_numbers_hold_when_the_splits_change(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     want = simhash.near_duplicates(spark.read.parquet(str(tmp_path / "d"))).select("component_id").distinct().collect()
     assert sorted(r.doc_id for r in kept) == sorted(r.component_id for r in want)
+
+
+def test_edited_copies_that_cannot_be_similar_are_not_compared(spark, monkeypatch):
+    """Copies of one text with too many words of their own share bands, but each is compared about once."""
+    from pyspark.sql import functions as F
+
+    from cytogrid.llm import shingles
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base = [word() for _ in range(100)]
+    rows = [(i, " ".join(base[:85] + [word() for _ in range(15)])) for i in range(200)] + [(200 + i, " ".join(base[:100 - i] + [word() for _ in range(i)])) for i in range(8)]
+    compared, plain = [], shingles.similar
+    monkeypatch.setattr(shingles, "similar", lambda pairs, *a: compared.append(pairs.count()) or plain(pairs, *a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__row", F.col("doc_id")).repartition(5).localCheckpoint()
+    found = shingles.near_duplicates(docs).groupBy("root").agg(F.min("doc_id").alias("doc_id")).collect()
+    assert {r.doc_id for r in found} == plain_kept(rows)
+    assert sum(compared) < 20 * len(rows), compared

@@ -142,6 +142,28 @@ def test_delaunay_matches_empty_circles(spark, k, monkeypatch):
     assert got == brute_delaunay(xy)
 
 
+@pytest.mark.parametrize("crowded", [0, 30, 10_000])
+def test_delaunay_by_tiles(spark, crowded, monkeypatch):
+    from cytogrid.operators import delaunay
+    monkeypatch.setattr(delaunay, "TILE_ROWS", 8)
+    monkeypatch.setattr(delaunay, "CROWDED", crowded)
+    g = np.random.default_rng(11)
+    xy = np.vstack([g.uniform(0, 10, (60, 2)), g.normal(5, 0.05, (40, 2)), [[-300.0, 4.0]]])
+    got = {(r.src, r.dst) for r in delaunay_graph(frame(spark, xy), k=8).collect()}
+    assert got == brute_delaunay(xy)
+
+
+def test_delaunay_asks_for_nearest_points_of_the_rim_only(spark, monkeypatch):
+    from cytogrid.operators import delaunay
+    asked, knn = [], delaunay.knn
+    monkeypatch.setattr(delaunay, "knn", lambda points, *a: (asked.append(points.count()), knn(points, *a))[1])
+    xy = np.random.default_rng(3).uniform(0, 80, (6400, 2))
+    got = {(r.src, r.dst) for r in delaunay_graph(frame(spark, xy)).collect()}
+    assert sum(asked) < 3000
+    hull = len(delaunay._chain(xy[:, 0], xy[:, 1], np.arange(len(xy))))
+    assert len(got) == 3 * len(xy) - 3 - hull  # edges of every triangulation
+
+
 def test_delaunay_merges_stacked_points(spark):
     xy = np.array([[0, 0], [0, 0], [4, 0], [0, 3], [4.5, 3.5]])
     got = {(r.src, r.dst) for r in delaunay_graph(frame(spark, xy)).collect()}

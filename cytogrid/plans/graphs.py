@@ -271,7 +271,7 @@ def eigenvector_centrality(spark, d):
 
 @query("communities", "G15")
 def communities(spark, d):
-    return G.label_propagation(_backbone(spark, d), D.points(spark, d))
+    return G.radius_label_propagation(D.points(spark, d), 4.0, 0.3)
 
 
 @query("delaunay_graph", "G2", """WITH p AS (SELECT a.cell_id AS src, b.cell_id AS dst, (a.x + b.x) / 2 AS mx, (a.y + b.y) / 2 AS my, b.x - a.x AS dx, b.y - a.y AS dy FROM points a JOIN points b ON a.cell_id < b.cell_id),

@@ -2,8 +2,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cytogrid.session import cut
@@ -84,6 +85,56 @@ def window_join(queries: DataFrame, points: DataFrame, radius: float, shape: str
     return probe.join(build, ["gx", "gy", "_s"]).where(hit).withColumn("d2", d2).drop("gx", "gy", "_s")
 
 
+TILE_ROWS = 10_000  # points of one tile of ``with_margin``
+
+
+def with_margin(points: DataFrame, margin: float, id_col: str = "cell_id", x: str = "x", y: str = "y", rows: int = TILE_ROWS) -> DataFrame | None:
+    """(gx, gy, id, x, y, own): points of square tiles, each with all others up to ``margin`` beside it.
+
+    Tiles are as large as ``rows`` own points allow, but no smaller than the
+    margin; None if even those are too full.
+    """
+    p = points.select(F.col(id_col), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    side = 32 * margin
+    while True:
+        most = p.groupBy(_bin(F.col("x"), side), _bin(F.col("y"), side)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= rows:
+            break
+        if side <= margin:
+            return None
+        side = max(margin, side / 2)
+    steps = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("st")
+    reach = margin * (1 + 1e-9)
+    near = lambda c, g: (F.col(c) >= F.col(g) * side - reach) & (F.col(c) <= (F.col(g) + 1) * side + reach)
+    moved = (p.withColumn("_x", _bin(F.col("x"), side)).withColumn("_y", _bin(F.col("y"), side)).select("*", steps)
+             .withColumn("gx", F.col("_x") + F.col("st.i")).withColumn("gy", F.col("_y") + F.col("st.j"))
+             .withColumn("own", (F.col("st.i") == 0) & (F.col("st.j") == 0)))
+    return moved.where(F.col("own") | (near("x", "gx") & near("y", "gy"))).select("gx", "gy", id_col, "x", "y", "own")
+
+
+def near_pairs(x: np.ndarray, y: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j), i <> j, of points at most ``radius`` apart, both ways, block by block. For points of one tile."""
+    col, row = np.floor(x / radius).astype(np.int64), np.floor(y / radius).astype(np.int64)
+    row -= row.min(initial=0) - 1
+    wide = int(row.max(initial=0)) + 2
+    key = (col - col.min(initial=0)) * wide + row
+    order = np.argsort(key, kind="stable")
+    sorted_key = key[order]
+    for c in (-1, 0, 1):  # three bins of one column lie side by side
+        low, high = np.searchsorted(sorted_key, key + c * wide - 1), np.searchsorted(sorted_key, key + c * wide + 1, side="right")
+        many = high - low
+        ends = np.cumsum(many)
+        at = 0
+        while at < len(x):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 5_000_000, side="right")))
+            n = many[at:to]
+            i = np.repeat(np.arange(at, to), n)
+            j = order[np.repeat(low[at:to] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            hit = ((x[j] - x[i]) * (x[j] - x[i]) + (y[j] - y[i]) * (y[j] - y[i]) <= radius * radius) & (i != j)
+            yield i[hit], j[hit]
+            at = to
+
+
 def count_by_type(queries: DataFrame, points: DataFrame, radius: float, id_col: str = "cell_id",
                   type_col: str = "cell_type", shape: str = "disc", x: str = "x", y: str = "y") -> DataFrame:
     """(query id, type, n) neighbours per type, self included.

@@ -161,6 +161,26 @@ def test_low_pass_matches_dense(spark):
     assert np.allclose(dense, want, atol=1e-5)
 
 
+def test_low_pass_by_tiles_matches_joins(spark, monkeypatch):
+    from cytogrid.operators import spatial as S
+    g = np.random.default_rng(4)
+    n = 160
+    m = g.poisson(0.7, (n, 3)).astype(float)
+    x, _ = long(spark, m)
+    xy = np.column_stack([g.uniform(0, 6, n), g.uniform(-40, 40, n)])
+    xy[5] = xy[4]
+    cells = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "cell_id long, x double, y double")
+    e = S.radius_pairs(cells, 1.5).withColumn("weight", F.lit(1.0))
+    want = {(r.cell_id, r.gene): r.value for r in A.low_pass(x, G.laplacian(e, cells, normalized=True).persist(), 1.0, order=3).collect() if r.value > 0}
+    joined, low_pass = [], A.low_pass
+    monkeypatch.setattr(A, "low_pass", lambda *a: (joined.append(1), low_pass(*a))[1])
+    for rows in (40, 4):  # several tiles; too full for tiles
+        monkeypatch.setattr(A, "with_margin", lambda *a: S.with_margin(*a, rows=rows))
+        got = {(r.cell_id, r.gene): r.value for r in A.radius_low_pass(x, cells, 1.5, 1.0, order=3).collect()}
+        assert all(abs(got.get(k, 0) - want.get(k, 0)) < 1e-12 for k in got.keys() | want.keys())
+        assert len(joined) == (rows == 4)
+
+
 def test_enrichment_moments_match_all_permutations(spark):
     pairs = [(0, 1), (1, 2), (2, 3), (0, 3), (1, 4), (4, 5)]
     labels = list("aaabbc")

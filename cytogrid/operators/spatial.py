@@ -88,13 +88,13 @@ def window_join(queries: DataFrame, points: DataFrame, radius: float, shape: str
 TILE_ROWS = 10_000  # points of one tile of ``with_margin``
 
 
-def with_margin(points: DataFrame, margin: float, id_col: str = "cell_id", x: str = "x", y: str = "y", rows: int = TILE_ROWS) -> DataFrame | None:
-    """(gx, gy, id, x, y, own): points of square tiles, each with all others up to ``margin`` beside it.
+def with_margin(points: DataFrame, margin: float, id_col: str = "cell_id", x: str = "x", y: str = "y", rows: int = TILE_ROWS, carry: Sequence[str] = ()) -> DataFrame | None:
+    """(gx, gy, id, x, y, own, ``carry``): points of square tiles, each with all others up to ``margin`` beside it.
 
     Tiles are as large as ``rows`` own points allow, but no smaller than the
     margin; None if even those are too full.
     """
-    p = points.select(F.col(id_col), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    p = points.select(F.col(id_col), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), *carry)
     side = 32 * margin
     while True:
         most = p.groupBy(_bin(F.col("x"), side), _bin(F.col("y"), side)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
@@ -109,7 +109,7 @@ def with_margin(points: DataFrame, margin: float, id_col: str = "cell_id", x: st
     moved = (p.withColumn("_x", _bin(F.col("x"), side)).withColumn("_y", _bin(F.col("y"), side)).select("*", steps)
              .withColumn("gx", F.col("_x") + F.col("st.i")).withColumn("gy", F.col("_y") + F.col("st.j"))
              .withColumn("own", (F.col("st.i") == 0) & (F.col("st.j") == 0)))
-    return moved.where(F.col("own") | (near("x", "gx") & near("y", "gy"))).select("gx", "gy", id_col, "x", "y", "own")
+    return moved.where(F.col("own") | (near("x", "gx") & near("y", "gy"))).select("gx", "gy", id_col, "x", "y", "own", *carry)
 
 
 def near_pairs(x: np.ndarray, y: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -46,20 +46,20 @@ def lr_cell_totals(spark, d):
 
 @query("cci_by_pair", "C5 A22", FLOW + """ SELECT ligand, receptor, a.cell_type AS src_type, b.cell_type AS dst_type, sum(v) AS value FROM s JOIN cells a ON a.cell_id = src JOIN cells b ON b.cell_id = dst GROUP BY 1, 2, 3, 4 HAVING sum(v) >= 40""", "cells expr lr")
 def cci_by_pair(spark, d):
-    return C.type_flow(_x(spark, d), D.lr(spark, d), _w(spark, d), D.cells(spark, d), min_ints=40)
+    return C.radius_type_flow(_x(spark, d), D.lr(spark, d), D.cells(spark, d), 1.5, min_ints=40)
 
 
 @query("cci_matrix", "A21", FLOW + """, f AS (SELECT ligand, receptor, a.cell_type AS src_type, b.cell_type AS dst_type, sum(v) AS value FROM s JOIN cells a ON a.cell_id = src JOIN cells b ON b.cell_id = dst GROUP BY 1, 2, 3, 4 HAVING sum(v) >= 40)
 SELECT src_type, dst_type, sum(value) AS value, count(*) AS n_pairs FROM f GROUP BY 1, 2""", "cells expr lr")
 def cci_matrix(spark, d):
-    return C.type_matrix(C.type_flow(_x(spark, d), D.lr(spark, d), _w(spark, d), D.cells(spark, d), min_ints=40))
+    return C.type_matrix(C.radius_type_flow(_x(spark, d), D.lr(spark, d), D.cells(spark, d), 1.5, min_ints=40))
 
 
 @query("cci_abundance_normalised", "A37 C10", FLOW + """, k AS (SELECT cell_type, count(*) AS k FROM cells GROUP BY 1)
 SELECT k.cell_type, round(coalesce((SELECT sum(v) FROM s JOIN cells a ON a.cell_id = src WHERE a.cell_type = k.cell_type), 0) / k, 6) AS sent,
 round(coalesce((SELECT sum(v) FROM s JOIN cells a ON a.cell_id = dst WHERE a.cell_type = k.cell_type), 0) / k, 6) AS received FROM k""", "cells expr lr")
 def cci_abundance_normalised(spark, d):
-    m = C.type_matrix(C.type_flow(_x(spark, d), D.lr(spark, d), _w(spark, d), D.cells(spark, d), min_ints=0))
+    m = C.type_matrix(C.radius_type_flow(_x(spark, d), D.lr(spark, d), D.cells(spark, d), 1.5, min_ints=0))
     return C.abundance_normalised(m, D.cells(spark, d)).select("cell_type", r("sent").alias("sent"), r("received").alias("received"))
 
 

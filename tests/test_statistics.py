@@ -181,6 +181,26 @@ def test_low_pass_by_tiles_matches_joins(spark, monkeypatch):
         assert len(joined) == (rows == 4)
 
 
+def test_type_flow_by_tiles_matches_joins(spark, monkeypatch):
+    from cytogrid.operators import spatial as S
+    g = np.random.default_rng(6)
+    n = 150
+    x, _ = long(spark, g.poisson(0.8, (n, 4)).astype(float))
+    xy = np.column_stack([g.uniform(0, 5, n), g.uniform(-70, 70, n)])
+    cells = spark.createDataFrame([(i, float(a), float(b), None if i % 7 == 0 else "ab"[i % 2]) for i, (a, b) in enumerate(xy)], "cell_id long, x double, y double, cell_type string")
+    lr = spark.createDataFrame([("g0", "g1"), ("g1", "g1"), ("g2", "g0"), ("g2", "g0"), ("g3", "none")], "ligand string, receptor string")
+    lr = lr.join(x.select("gene").distinct(), lr.ligand == F.col("gene"), "left_semi")
+    weights = C.directed(S.radius_pairs(cells, 1.5).withColumn("weight", F.lit(1.0)))
+    want = {tuple(r) for r in C.type_flow(x, lr, weights, cells, min_ints=3).collect()}
+    joined, flow = [], C.type_flow
+    monkeypatch.setattr(C, "type_flow", lambda *a: (joined.append(1), flow(*a))[1])
+    for rows in (40, 1):  # several tiles; too full for tiles
+        monkeypatch.setattr(C, "with_margin", lambda *a, **k: S.with_margin(*a, rows=rows, **k))
+        assert {tuple(r) for r in C.radius_type_flow(x, lr, cells, 1.5, min_ints=3).collect()} == want
+        assert len(joined) == (rows == 1)
+    assert len(want) > 10
+
+
 def test_enrichment_moments_match_all_permutations(spark):
     pairs = [(0, 1), (1, 2), (2, 3), (0, 3), (1, 4), (4, 5)]
     labels = list("aaabbc")

@@ -86,6 +86,7 @@ def window_join(queries: DataFrame, points: DataFrame, radius: float, shape: str
 
 
 TILE_ROWS = 10_000  # points of one tile of ``with_margin``
+TASK_CELLS = 25_000  # points of one task that works on such tiles
 
 
 def with_margin(points: DataFrame, margin: float, id_col: str = "cell_id", x: str = "x", y: str = "y", rows: int = TILE_ROWS, carry: Sequence[str] = ()) -> DataFrame | None:

@@ -4,6 +4,8 @@ Each builder has a SQL twin in ``CTE``; both read whole tables.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -41,11 +43,17 @@ def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, tuple[str, ...]]:
     return e.select(F.col("vec_id").alias("cell_id"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(dims)]), dims
 
 
+TASK_ROWS = 1_000_000  # line items of one task of a join; without it a task grows with the table
+
+
 def _counts(spark: SparkSession, d: str, gene) -> DataFrame:
     li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("cell_id"))
     p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), gene.alias("gene"))
-    return (li.join(o, "l_orderkey").join(p, "l_partkey").groupBy("cell_id", "gene")
+    n = li.count()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / TASK_ROWS))
+    deal = lambda t, key: t.repartition(tasks, key) if n > TASK_ROWS else t
+    return (deal(deal(li, "l_orderkey").join(o, "l_orderkey"), "l_partkey").join(p, "l_partkey").groupBy("cell_id", "gene")
             .agg(F.count(F.lit(1)).cast("double").alias("value")))
 
 

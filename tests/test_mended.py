@@ -186,3 +186,13 @@ def test_fold_of_a_zero_distance_or_mean_as_in_sql(spark, tmp_path):
     want = con.sql(ORACLE["bootstrap_scores"]).fetchall()
     got = [tuple(r) for r in QUERIES["bootstrap_scores"](spark, str(tmp_path)).collect()]
     assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_count_table_is_dealt_by_rows(spark, monkeypatch):
+    from cytogrid.sources import driver_tables as D
+    d = "/root/testdata/sf0.001"
+    want = {tuple(r) for r in D.expr(spark, d).collect()}
+    monkeypatch.setattr(D, "TASK_ROWS", 500)
+    got = D.expr(spark, d)
+    assert {tuple(r) for r in got.collect()} == want
+    assert got._jdf.queryExecution().toString().count("RepartitionByExpression") >= 2

@@ -32,8 +32,8 @@ def _roi(spark, d):
     return S.roi_filter(D.points(spark, d), ROI)
 
 
-def _edges(spark, d, nodes=None):
-    return G.radius_graph(D.points(spark, d) if nodes is None else nodes, 4.0)  # formed anew by every reader: storing them would take more than forming them
+def _edges(spark, d, nodes=None, reach=4.0):
+    return G.radius_graph(D.points(spark, d) if nodes is None else nodes, reach)  # formed anew by every reader: storing them would take more than forming them
 
 
 def _kept(spark, d, nodes=None):
@@ -145,8 +145,9 @@ def alpha_cut_directed(spark, d):
   row_number() OVER (ORDER BY round(weight, 9) DESC, src, dst) AS rn FROM wedges)
   WHERE rn <= (SELECT CAST(floor(1.5 * count(*)) AS BIGINT) FROM points)""", "points")
 def strongest_edges(spark, d):
-    e = _edges(spark, d).select("src", "dst", F.round("weight", 9).alias("weight"))
-    return G.strongest_edges(e, D.points(spark, d)).select("src", "dst")
+    p = D.points(spark, d)
+    e = _edges(spark, d, p, G.strongest_reach(p, 4.0)).select("src", "dst", F.round("weight", 9).alias("weight"))  # longer edges cannot be among the strongest
+    return G.strongest_edges(e, p).select("src", "dst")
 
 
 KNN_SQL = """WITH knn AS (SELECT * FROM (SELECT a.cell_id AS src, b.cell_id AS dst, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) AS d2,
